@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, simhash
+from . import bpe, decontaminate, exact_dedup, simhash
 
 QUERIES = {
     "op5_simhash": simhash.op5_simhash,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_bpe": bpe.op9_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
