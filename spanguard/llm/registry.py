@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, simhash
+from . import bpe, decontaminate, exact_dedup, secrets, simhash, toxicity
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_simhash": simhash.op5_simhash,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_bpe": bpe.op9_bpe,
