@@ -149,13 +149,8 @@ def features(found: list[Block]) -> np.ndarray:
     return np.column_stack([words, share, before(words), before(share), after(words), after(share), place])
 
 
-#: The labelled table: FEATURES, and 1 for main text.
+#: Labelled blocks of pages without a main element: FEATURES, and 1 for main text.
 LABELLED = (
-    (60, 0.0, 40, 0.0, 50, 0.0, 1, 1), (2, 0.0, 60, 0.0, 80, 0.0, 1, 1), (1, 0.0, 90, 0.0, 3, 0.0, 1, 1), (8, 0.0, 1, 1.0, 70, 0.0, 1, 1),
-    (10, 0.0, 8, 0.0, 120, 0.05, 1, 1), (35, 0.4, 60, 0.0, 20, 0.0, 1, 1), (5, 1.0, 40, 0.0, 60, 0.1, 1, 1), (120, 0.02, 0, 0.0, 0, 0.0, 1, 1),
-    (15, 0.2, 15, 0.1, 15, 0.2, 1, 1), (3, 0.0, 2, 0.0, 2, 0.0, 1, 1), (4, 0.0, 30, 0.0, 8, 0.5, 1, 1), (25, 0.0, 3, 0.0, 10, 0.9, 1, 1),
-    (60, 0.0, 40, 0.0, 50, 0.0, -1, 0), (2, 0.0, 60, 0.0, 80, 0.0, -1, 0), (1, 1.0, 1, 1.0, 1, 1.0, -1, 0), (9, 0.0, 1, 1.0, 10, 0.0, -1, 0),
-    (12, 0.1, 70, 0.0, 0, 0.0, -1, 0), (45, 0.0, 5, 0.0, 30, 0.0, -1, 0), (20, 0.5, 4, 1.0, 4, 1.0, -1, 0), (7, 0.0, 50, 0.0, 2, 1.0, -1, 0),
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0), (3, 1.0, 2, 1.0, 4, 1.0, 0, 0), (12, 0.9, 6, 0.8, 15, 0.7, 0, 0), (6, 0.0, 1, 1.0, 2, 1.0, 0, 0),
     (4, 0.0, 0, 0.0, 3, 1.0, 0, 0), (30, 0.8, 10, 0.9, 12, 1.0, 0, 0), (10, 0.1, 3, 0.7, 0, 0.0, 0, 0), (5, 0.0, 4, 0.0, 2, 0.5, 0, 0),
     (2, 0.0, 3, 0.0, 3, 0.0, 0, 0), (8, 0.0, 3, 0.9, 1, 1.0, 0, 0), (50, 0.6, 3, 1.0, 3, 1.0, 0, 0), (9, 0.5, 90, 0.0, 4, 1.0, 0, 0),
@@ -196,8 +191,15 @@ def classify(tree: tuple, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def labelled_table() -> np.ndarray:
+    """LABELLED, and blocks inside and outside a main element among all kinds of neighbours."""
+    around = ((0, 0.0), (1, 1.0), (8, 0.1), (70, 0.0))
+    placed = [(n, share, *before, *after, place, place == 1) for place in (1, -1) for n in (1, 6, 25, 120) for share in (0.0, 0.5, 1.0) for before in around for after in around]
+    return np.array([*LABELLED, *placed], float)
+
+
 def trained_tree() -> tuple:
-    table = np.array(LABELLED, float)
+    table = labelled_table()
     return grow(table[:, :-1], table[:, -1])
 
 
