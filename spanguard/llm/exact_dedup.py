@@ -52,7 +52,8 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     once = seen.where(~F.col("__maybe")).select("__id", F.col("__id").alias("__keep"), F.lit(1).cast("long").alias("__size"), F.lit(True).alias("__kept"), "__sha")
     # Rows that repeat id, length and digest are counted before the shuffle.
     each = seen.where("__maybe").groupBy("__sha", "__n", "__id").agg(F.count(F.lit(1)).alias("__c"))
-    best = each.groupBy(F.col("__sha").alias("__of")).agg(F.min(_order()).alias("__best"), F.sum("__c").alias("__size"))
+    # Cut, so that the join reads both sides from shuffles of its own, whose hot parts can be split.
+    best = cut(each.groupBy(F.col("__sha").alias("__of")).agg(F.min(_order()).alias("__best"), F.sum("__c").alias("__size")))
     rows = each.join(best, F.col("__sha") == F.col("__of"))
     rows = rows.select("__id", F.col("__best.c").alias("__keep"), "__size", (F.col("__best") == _order()).alias("__first"), "__sha", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__c"))).alias("__i"))
     many = rows.select("__id", "__keep", "__size", (F.coalesce("__first", F.lit(False)) & (F.col("__i") == 1)).alias("__kept"), "__sha")
