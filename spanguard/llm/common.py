@@ -59,3 +59,10 @@ def text_slices(column: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[tupl
 def as_column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
     found = batch.column(name)
     return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, which bounds what a worker holds besides the batch itself."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, rows):
+            yield batch.slice(s, rows)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_column, table, text_slices
+from .common import as_column, parts, table, text_slices
 from .words import mix, split_words
 
 #: Coordinates sampled in each repetition, the share of coordinates that agree at the most edits (a low
@@ -211,10 +211,10 @@ def find(index: ItemIndex, column: pa.Array) -> list[tuple[int, int, int, int, i
             inside = (place >= bounds[row][:, None]) & (place < end[:, None])
             context = np.where(inside, w.hash[np.clip(place, 0, w.hash.size - 1)], PAD)
             waiting[k].append((first + row, start - bounds[row], context, end - bounds[row]))
-    for c, parts in zip(index.classes, waiting):
-        if not parts:
+    for c, held in zip(index.classes, waiting):
+        if not held:
             continue
-        rows, starts, context, length = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        rows, starts, context, length = (np.concatenate([h[i] for h in held]) for i in range(4))
         for a in range(0, rows.size, 4096):
             b = min(a + 4096, rows.size)
             keys = c.sampler.keys(context[a:b, c.before :])
@@ -296,7 +296,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own, texts = shared.value
             index = _index(texts, similarity)
-            for batch in batches:
+            for batch in parts(batches, 2048):
                 got = find(index, as_column(batch, "__text"))
                 if not got:
                     continue
@@ -319,7 +319,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _index(shared.value, similarity)
-            for batch in batches:
+            for batch in parts(batches, 2048):
                 keep = np.ones(batch.num_rows, dtype=bool)
                 keep[[r for r, *_ in find(index, as_column(batch, text_col))]] = False
                 yield batch.filter(pa.array(keep))

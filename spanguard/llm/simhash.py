@@ -388,47 +388,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, grams): the distinct 64-bit hashes of the word shingles, sorted, as bytes."""
+    """(node, grams): the distinct 64-bit hashes of the word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for whole in batches:
-            for s in range(0, whole.num_rows, 512):
-                batch = whole.slice(s, 512)
+            for s in range(0, whole.num_rows, 256):
+                batch = whole.slice(s, 256)
                 sets = []
                 for x in as_column(batch, "__text"):
                     h = np.array([digest(g, 7) for g in shingles(_words(x.as_py()), shingle)], dtype=np.uint64)
-                    sets.append(np.unique(h).tobytes())
-                yield pa.RecordBatch.from_arrays([as_column(batch, "node"), pa.array(sets, pa.binary())], ["node", "grams"])
+                    sets.append(np.unique(h).view(np.int64))
+                yield pa.RecordBatch.from_arrays([as_column(batch, "node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
 
-    return docs.select("node", F.col("text").cast("binary").alias("__text")).mapInArrow(run, "node long, grams binary")
+    return docs.select("node", F.col("text").cast("binary").alias("__text")).mapInArrow(run, "node long, grams array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, ids: int, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have that Jaccard similarity; only texts in pairs are shuffled."""
+    """The pairs (u, v) whose shingle sets have that Jaccard similarity; only texts in pairs are shuffled.
+
+    The sets are compared in the JVM, so no batch of them crosses into Python.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     bits = bloom.size_for(ids)
     words = cut(bloom.build(wanted, "node", bits))
     sets = _shingle_sets(bloom.flag(docs, "node", words, bits, "__in").where("__in").select("node", "text"), shingle)
     left = sets.select(F.col("node").alias("__a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("node").alias("__b"), F.col("grams").alias("gb"))
-    both = pairs.join(left, F.col("a") == F.col("__a")).join(right, F.col("b") == F.col("__b")).select("a", "b", "ga", "gb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(as_column(batch, "ga"), as_column(batch, "gb")):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                low, high = sorted((p.size, q.size))
-                if low < similarity * high:
-                    keep.append(False)
-                    continue
-                common = np.intersect1d(p, q, assume_unique=True).size
-                keep.append(common >= similarity * (p.size + q.size - common))
-            got = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([as_column(got, "a"), as_column(got, "b")], ["u", "v"])
-
-    return both.mapInArrow(run, "u long, v long")
+    both = pairs.join(left, F.col("a") == F.col("__a")).join(right, F.col("b") == F.col("__b"))
+    both = both.where(F.least(F.size("ga"), F.size("gb")) >= similarity * F.greatest(F.size("ga"), F.size("gb")))
+    both = both.withColumn("__n", F.size(F.array_intersect("ga", "gb")))
+    return both.where(F.col("__n") >= similarity * (F.size("ga") + F.size("gb") - F.col("__n"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tau: int = 8) -> DataFrame:
@@ -461,11 +451,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     member = member.join(rows.select("node", "__id"), F.col("u") == F.col("node"))
     order = F.struct(F.col("__id").isNull().alias("a"), F.col("__id").alias("b"), F.col("node").alias("c"))
     stays = member.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.c").alias("__stay"))
-    gone = cut(member.select("node").distinct().join(stays, F.col("node") == F.col("__stay"), "left_anti"))
+    gone = cut(member.select(F.col("node").alias("__gone")).distinct().join(stays, F.col("__gone") == F.col("__stay"), "left_anti"))
     bits = bloom.size_for(gone.count())
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = bloom.flag(docs.select(*columns, node.alias("__node")), "__node", cut(bloom.build(gone, "node", bits)), bits, "__maybe")
-    kept = marked.where("__maybe").join(gone, F.col("__node") == F.col("node"), "left_anti")
+    marked = bloom.flag(docs.select(*columns, node.alias("__node")), "__node", cut(bloom.build(gone, "__gone", bits)), bits, "__maybe")
+    kept = marked.where("__maybe").join(gone, F.col("__node") == F.col("__gone"), "left_anti")
     return marked.where(~F.col("__maybe")).select(*columns).unionByName(kept.select(*columns))
 
 

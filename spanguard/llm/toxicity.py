@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_column, table, text_slices
+from .common import as_column, parts, table, text_slices
 from .words import split_words
 
 #: Bound of the training sample: about so many labelled rows with each combination of labels; folds; the
@@ -155,7 +155,7 @@ def score(docs: DataFrame, chain: Chain, keep: list[str], text_col: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # MOST_WORDS weights a category
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             p = shared.value.probabilities(as_column(batch, "__text"))
             yield pa.RecordBatch.from_arrays([*(as_column(batch, c) for c in keep), *(pa.array(x) for x in p.T)], schema.fieldNames())
 
@@ -168,7 +168,7 @@ def drop_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", text_col:
     k = chain.categories.index(category)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             yield batch.filter(pa.array(shared.value.probabilities(as_column(batch, text_col))[:, k] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
