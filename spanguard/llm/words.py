@@ -85,7 +85,7 @@ def split_words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Wor
     edge[:-1] = mask
     edge[1:] ^= mask  # now true where the mask changes
     edge[0] = mask[0] if raw.size else False
-    inner = offsets[1:-1]
+    inner = np.unique(offsets[1:-1])  # empty texts repeat an offset
     inner = inner[(inner > 0) & (inner < raw.size)]
     cuts = inner[mask[inner] & mask[inner - 1]] if inner.size else inner
     at = np.flatnonzero(edge)
