@@ -154,6 +154,7 @@ LABELLED = (
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0), (3, 1.0, 2, 1.0, 4, 1.0, 0, 0), (12, 0.9, 6, 0.8, 15, 0.7, 0, 0), (6, 0.0, 1, 1.0, 2, 1.0, 0, 0),
     (4, 0.0, 0, 0.0, 3, 1.0, 0, 0), (30, 0.8, 10, 0.9, 12, 1.0, 0, 0), (10, 0.1, 3, 0.7, 0, 0.0, 0, 0), (5, 0.0, 4, 0.0, 2, 0.5, 0, 0),
     (2, 0.0, 3, 0.0, 3, 0.0, 0, 0), (8, 0.0, 3, 0.9, 1, 1.0, 0, 0), (50, 0.6, 3, 1.0, 3, 1.0, 0, 0), (9, 0.5, 90, 0.0, 4, 1.0, 0, 0),
+    (2, 1.0, 0, 0.0, 60, 0.0, 0, 0), (3, 0.9, 5, 0.0, 70, 0.0, 0, 0), (10, 0.8, 2, 1.0, 45, 0.0, 0, 0), (1, 1.0, 40, 0.0, 50, 0.0, 0, 0),
     (45, 0.0, 6, 0.0, 60, 0.0, 0, 1), (80, 0.05, 45, 0.0, 30, 0.0, 0, 1), (30, 0.1, 80, 0.05, 2, 1.0, 0, 1), (25, 0.0, 30, 0.1, 8, 0.0, 0, 1),
     (5, 0.0, 60, 0.0, 70, 0.0, 0, 1), (9, 0.0, 40, 0.0, 55, 0.1, 0, 1), (7, 0.0, 2, 1.0, 90, 0.0, 0, 1), (12, 0.0, 25, 0.0, 30, 0.05, 0, 1),
     (150, 0.0, 0, 0.0, 0, 0.0, 0, 1), (20, 0.0, 0, 0.0, 40, 0.0, 0, 1), (3, 0.0, 70, 0.0, 40, 0.0, 0, 1), (60, 0.2, 9, 0.3, 50, 0.1, 0, 1),
