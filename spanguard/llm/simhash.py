@@ -199,7 +199,7 @@ def allocate(choices, names: dict, cells: dict, n: int, tau: int) -> Plan:
             for t in range(min(tau, w) + 1):
                 keys = math.comb(w, t)
                 pairs = n * n / 2 * sum(dist[d] * math.comb(w - d, t - d) for d in range(t + 1))
-                of[t] = (n * keys * KEY_NS + pairs * PAIR_NS, keys, pairs)
+                of[t] = (max(n, 1) * keys * KEY_NS + pairs * PAIR_NS, keys, pairs)  # few keys also without rows
             cost.append(of)
         want = tau - m + 1
         state: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
