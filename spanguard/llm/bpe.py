@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_column, table
+from .common import as_column, map_arrow, table
 
 #: Pre-tokens of up to CACHED_CHARS characters are kept with their ids, CACHED of them in each of two generations.
-CACHED, CACHED_CHARS = 300_000, 48
+CACHED, CACHED_CHARS = 150_000, 48
 
 #: What the split pattern of the public rank files is for text in ASCII only; faster than Unicode classes.
 _ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\x0b\x0c\rA-Za-z0-9]+|[ \t\n\x0b\x0c\r]+(?![^ \t\n\x0b\x0c\r])|[ \t\n\x0b\x0c\r]+"
@@ -118,7 +118,7 @@ class Codec:
 
     def __init__(self, rank_file: bytes, pattern: str):
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line.strip())}
-        self.queue = RankQueue(ranks)
+        self.ranks, self._queue = ranks, None
         self.split = regex.compile(pattern).findall
         self.split_ascii = re.compile(_ASCII_PATTERN).findall if pattern == _UNICODE_PATTERN else self.split
         self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
@@ -127,6 +127,13 @@ class Codec:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    @property
+    def queue(self) -> RankQueue:
+        """Made when it is needed: workers that only decode don't hold it."""
+        if self._queue is None:
+            self._queue = RankQueue(self.ranks)
+        return self._queue
+
     def _missing(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
@@ -176,7 +183,7 @@ def _map(df: DataFrame, keep: list[str], given: str, gives: list[tuple[str, T.Da
                 made = [pa.array([r[i] for r in rows], arrow[t]) for i, (_, t) in enumerate(gives)]
                 yield pa.RecordBatch.from_arrays([*(as_column(batch, c) for c in keep), *made], [*keep, *(n for n, _ in gives)])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def encode(docs: DataFrame, rank_file: bytes, pattern: str, keep: list[str], text_col: str = "text") -> DataFrame:

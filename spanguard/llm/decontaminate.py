@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_column, parts, table, text_slices
+from .common import as_column, map_arrow, parts, table, text_slices
 from .words import mix, split_words
 
 #: Coordinates sampled in each repetition, the share of coordinates that agree at the most edits (a low
@@ -307,7 +307,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                     schema.fieldNames(),
                 )
 
-        rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, schema)
+        rows = map_arrow(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("__text")), run, schema)
         out = rows if out is None else out.unionByName(rows)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -324,7 +324,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
                 keep[[r for r, *_ in find(index, as_column(batch, text_col))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_column, table
+from .common import as_column, map_arrow, table
 
 #: Elements that end a text block, elements whose content is never text, and elements without an end tag.
 BLOCK_TAGS = frozenset("address article aside blockquote body center caption dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -223,7 +223,7 @@ def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFr
                 texts = [main_text(x.as_py(), tree) for x in as_column(batch, "__html")]
                 yield pa.RecordBatch.from_arrays([*(as_column(batch, c) for c in keep), pa.array(texts, pa.string())], schema.fieldNames())
 
-    return pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").alias("__html")).mapInArrow(run, schema)
+    return map_arrow(pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").alias("__html")), run, schema)
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_column, table, text_slices
+from .common import as_column, map_arrow, table, text_slices
 from .words import Words, mix, split_words
 
 #: Weights of a language; about so many texts of each language are drawn for training, and each sequence of
@@ -290,7 +290,7 @@ def predict(docs: DataFrame, model: Crf, keep: list[str], text_col: str = "text"
                 made.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays([*(as_column(batch, c) for c in keep), *made], schema.fieldNames())
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text")), run, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_column, parts, table
+from .common import as_column, map_arrow, parts, table
 
 #: Kinds in the order in which spans of the same start are listed.
 KINDS = ("assign", "access", "hex", "novel")
@@ -110,7 +110,7 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
             spans = [[{"kind": KINDS[k], "start": s, "end": e, "marginal": c} for s, k, e, c in scan_text(x.as_py(), novelty)] for x in as_column(batch, "__text")]
             yield pa.RecordBatch.from_arrays([*(as_column(batch, c) for c in keep), pa.array(spans, arrow)], schema.fieldNames())
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text")), run, schema)
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import as_column, cut, table
+from .common import as_column, cut, map_arrow, table
 from .components import connected, local_roots
 from .words import mix
 
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text_col: str, shingle: int =
             yield pa.RecordBatch.from_arrays([*(as_column(batch, c) for c in keep), pa.array(out)], [*keep, "fp"])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("binary").alias("__text"))
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 # ---------------------------------------------------------------- plan of the probes
@@ -142,7 +142,7 @@ def _sums(df: DataFrame, of, schema: str) -> dict:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["cell", "n"])
 
-    rows = df.select("fp").mapInArrow(run, schema).groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = map_arrow(df.select("fp"), run, schema).groupBy("cell").agg(F.sum("n").alias("n"))
     return {r.cell: r.n for r in rows.collect()}  # at most 4,096 or some 20,000 cells
 
 
@@ -250,7 +250,7 @@ def probe_keys(nodes: DataFrame, plan: Plan) -> DataFrame:
                 again = pa.array(np.tile(np.arange(len(fp)), len(masks)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(as_column(batch, c).take(again) for c in batch.schema.names)], ["key", *batch.schema.names])
 
-    return nodes.mapInArrow(run, schema)
+    return map_arrow(nodes, run, schema)
 
 
 def _deal(keys: DataFrame) -> DataFrame:
@@ -336,7 +336,7 @@ def hamming_links(nodes: DataFrame, plan: Plan, tau: int) -> DataFrame:
             if us:
                 yield contracted()
 
-    return _deal(probe_keys(nodes, plan)).mapInArrow(run, "u long, v long")
+    return map_arrow(_deal(probe_keys(nodes, plan)), run, "u long, v long")
 
 
 def candidate_pairs(nodes: DataFrame, plan: Plan, tau: int, nearest_only: bool) -> DataFrame:
@@ -361,7 +361,7 @@ def candidate_pairs(nodes: DataFrame, plan: Plan, tau: int, nearest_only: bool)
                 if a.size:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    found = _deal(probe_keys(nodes, plan)).mapInArrow(run, "a long, b long")
+    found = map_arrow(_deal(probe_keys(nodes, plan)), run, "a long, b long")
     return found.where("a != b").distinct()
 
 
@@ -401,7 +401,7 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
                     sets.append(np.unique(h).view(np.int64))
                 yield pa.RecordBatch.from_arrays([as_column(batch, "node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
 
-    return docs.select("node", F.col("text").cast("binary").alias("__text")).mapInArrow(run, "node long, grams array<long>")
+    return map_arrow(docs.select("node", F.col("text").cast("binary").alias("__text")), run, "node long, grams array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, ids: int, shingle: int, similarity: float) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_column, parts, table, text_slices
+from .common import as_column, map_arrow, parts, table, text_slices
 from .words import split_words
 
 #: Bound of the training sample: about so many labelled rows with each combination of labels; folds; the
@@ -159,7 +159,7 @@ def score(docs: DataFrame, chain: Chain, keep: list[str], text_col: str = "text"
             p = shared.value.probabilities(as_column(batch, "__text"))
             yield pa.RecordBatch.from_arrays([*(as_column(batch, c) for c in keep), *(pa.array(x) for x in p.T)], schema.fieldNames())
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text")), run, schema)
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -171,7 +171,7 @@ def drop_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", text_col:
         for batch in parts(batches):
             yield batch.filter(pa.array(shared.value.probabilities(as_column(batch, text_col))[:, k] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 #: The chain of the queries: the two judgements that the labels table holds.

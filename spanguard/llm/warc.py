@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import as_column, cut, shared_dir, table
+from .common import as_column, cut, map_arrow, shared_dir, table
 
 #: Fixed values of the formats: magic numbers of the dictionary's skippable frame, of a Zstandard frame and
 #: of a trained dictionary; the base-32 alphabets of conv() and of digests.
@@ -219,7 +219,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done]), pa.array([d[1] for d in done], pa.int64())], ["path", "records"])
 
-    return cut(records.mapInArrow(run, "path string, records long"))
+    return cut(map_arrow(records, run, "path string, records long"))
 
 
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, error string"
@@ -264,7 +264,7 @@ def read_archives(manifest: DataFrame, folder: str, strict: bool = True) -> Data
                 if held:
                     yield batch_of(held)
 
-    return manifest.repartition("path").mapInArrow(run, RECORD)
+    return map_arrow(manifest.repartition("path"), run, RECORD)
 
 
 # ---------------------------------------------------------------- operator
