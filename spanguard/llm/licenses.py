@@ -88,7 +88,7 @@ def known() -> list[tuple[str, str]]:
 
 #: Every known text holds one of these in its canonical form, and so in its lower-case form with the marks
 #: and spellings before; a text without any of them isn't looked up.
-ANCHORS = ("licen", "permission", "redistribution", "warrant", "as is", "as-is")
+ANCHORS = ("licen", "permission", "redistribution", "released", "distributed")
 _ANCHOR = "|".join(ANCHORS)
 #: Lines that only state who holds the copyright, and what stands for a mark.
 _COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|all rights reserved|©)[^\n]*$"
