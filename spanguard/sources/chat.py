@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Host fragments in the order in which they are tried.
 HOSTS = (("anthropic.com", "anthropic"), ("openai.com", "openai"), ("googleapis.com", "google"))
 # Fixed value: hosts whose traffic is read by default.
-DOMAINS = ("api.anthropic.com", "api.openai.com", "generativelanguage.googleapis.com", "chat.openai.com", "claude.ai")
+DOMAINS = ("api.anthropic.com", "api.openai.com", "generativelanguage.googleapis.com", "api.mistral.ai", "api.groq.com")
 
 MESSAGES = "array<struct<role:string,content:string>>"
 _OBJECTS = "array<string>"
