@@ -5,6 +5,9 @@ t_i, with sum(t_i) = tau - partitions + 1, so that two fingerprints within tau b
 some partition i. Dynamic programming allocates the thresholds, and the number of partitions is chosen, so
 that probes plus estimated candidates cost least; the estimates come from histograms over all fingerprints.
 Fingerprints are then dealt by their probe keys and verified.
+
+The pipeline's stage links by Jaccard similarity instead, which SimHash distances don't bound: its candidates
+come from MinHash bands, are joined to clusters, and each cluster is compared on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -32,6 +35,10 @@ KEY_NS, PAIR_NS = 1500.0, 2.0
 BLOCK = 8192
 SEGMENT_BITS = 8
 MOST_PARTITIONS = 10
+#: Minima in a band, and the share of pairs at the least similarity that no band may find.
+BAND_ROWS, MISS = 5, 1e-4
+#: Texts of a cluster that are compared at once (two such blocks at most), and shingles that a step counts.
+GROUP, TOKENS = 512, 4096
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -65,8 +72,8 @@ def _words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text_col: str, shingle: int = 3, features: str = "shingles") -> DataFrame:
-    """keep, plus fp: the SimHash of the texts' word shingles (or of their distinct words); null is empty."""
+def fingerprints(docs: DataFrame, keep: list[str], text_col: str, shingle: int = 3) -> DataFrame:
+    """keep, plus fp: the SimHash of the texts' word shingles; null is empty."""
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,8 +81,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text_col: str, shingle: int =
             texts = as_column(batch, "__text")
             out = np.zeros(len(texts), dtype=np.int64)
             for i, x in enumerate(texts):
-                words = _words(x.as_py())
-                out[i] = fingerprint(list(set(words)) if features == "words" else shingles(words, shingle))
+                out[i] = fingerprint(shingles(_words(x.as_py()), shingle))
             yield pa.RecordBatch.from_arrays([*(as_column(batch, c) for c in keep), pa.array(out)], [*keep, "fp"])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("binary").alias("__text"))
@@ -339,32 +345,6 @@ def hamming_links(nodes: DataFrame, plan: Plan, tau: int) -> DataFrame:
     return map_arrow(_deal(probe_keys(nodes, plan)), run, "u long, v long")
 
 
-def candidate_pairs(nodes: DataFrame, plan: Plan, tau: int, nearest_only: bool) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes (fp, node, comp) of different components within tau bits.
-
-    nearest_only: a node of a bucket is paired with the first node there that is near, not with all.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _runs(batches):
-            node, comp = part["node"], part["comp"]
-            paired = np.zeros(node.size, dtype=bool)
-            for i, j in _near(part, tau):
-                if nearest_only:
-                    j, at = np.unique(j, return_index=True)
-                    i = i[at]
-                    new = ~paired[j]
-                    i, j = i[new], j[new]
-                    paired[j] = True
-                apart = comp[i] != comp[j]
-                a, b = node[i[apart]], node[j[apart]]
-                if a.size:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    found = map_arrow(_deal(probe_keys(nodes, plan)), run, "a long, b long")
-    return found.where("a != b").distinct()
-
-
 # ---------------------------------------------------------------- operators
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tau: int = 2) -> DataFrame:
     """One row per row of docs: id, fp (long), component_id.
@@ -387,65 +367,218 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of, F.col("fp") == F.col("__fp")).select(F.col("__id").alias(id_col), "fp", "component_id")
 
 
-def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, grams): the distinct 64-bit hashes of the word shingles."""
+@dataclass(frozen=True)
+class Sketch:
+    """Minima of shingle hashes under random multipliers: bands of BAND_ROWS make keys, their low bytes a sketch.
+
+    A pair whose sets have the similarity agrees in each minimum with that probability, however its texts were
+    edited. bands and least follow from it: a pair misses every band with a probability of MISS at most, and
+    agrees in fewer than `least` minima with a tenth of that.
+    """
+
+    bands: int
+    least: int
+    by: np.ndarray
+
+    @classmethod
+    def make(cls, similarity: float, seed: int = 11) -> Sketch:
+        if not 0.3 <= similarity <= 1:
+            raise ValueError("similarity has to be from 0.3 to 1")
+        bands = math.ceil(math.log(MISS) / math.log(max(1e-9, 1 - similarity**BAND_ROWS)))
+        n, least, below = bands * BAND_ROWS, 0, 0.0
+        while least < n:
+            below += math.comb(n, least) * similarity**least * (1 - similarity) ** (n - least)
+            if below > MISS / 10:
+                break
+            least += 1
+        rng = np.random.Generator(np.random.PCG64(seed))
+        return cls(bands, least, rng.integers(0, 2**63, n).astype(np.uint64) << np.uint64(1) | np.uint64(1))
+
+    def minima(self, grams: np.ndarray) -> np.ndarray:
+        low = np.full(self.by.size, 2**64 - 1, dtype=np.uint64)
+        for s in range(0, grams.size, 1024):  # bounds the products of a long text
+            np.minimum(low, (grams[s : s + 1024, None] * self.by[None, :]).min(axis=0), out=low)
+        return low
+
+    def keys(self, minima: np.ndarray) -> np.ndarray:
+        """texts x bands."""
+        rows = minima.reshape(len(minima), self.bands, BAND_ROWS)
+        key = mix(np.broadcast_to(np.arange(1, self.bands + 1, dtype=np.uint64), rows.shape[:2]).copy())
+        for r in range(BAND_ROWS):
+            key = mix(key ^ rows[:, :, r])
+        return key
+
+
+def _grams(text: bytes | None, shingle: int) -> np.ndarray:
+    """The distinct 64-bit hashes of the word shingles, sorted."""
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(g, 7) for g in shingles(_words(text), shingle)], dtype=np.uint64))
+
+
+def _sketches(docs: DataFrame, shingle: int, sketch: Sketch) -> DataFrame:
+    """(node, __id, keys, sketch) of texts that have words."""
+    schema = T.StructType([docs.schema["node"], docs.schema["__id"], T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for whole in batches:
             for s in range(0, whole.num_rows, 256):
                 batch = whole.slice(s, 256)
-                sets = []
-                for x in as_column(batch, "__text"):
-                    h = np.array([digest(g, 7) for g in shingles(_words(x.as_py()), shingle)], dtype=np.uint64)
-                    sets.append(np.unique(h).view(np.int64))
-                yield pa.RecordBatch.from_arrays([as_column(batch, "node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
+                low = np.array([sketch.minima(_grams(x.as_py(), shingle)) for x in as_column(batch, "__text")])
+                keys = sketch.keys(low).view(np.int64)
+                each = pa.ListArray.from_arrays(np.arange(len(low) + 1, dtype=np.int32) * sketch.bands, keys.ravel())
+                yield pa.RecordBatch.from_arrays([as_column(batch, "node"), as_column(batch, "__id"), each, pa.array([x.tobytes() for x in low.astype(np.uint8)], pa.binary())], schema.fieldNames())
+
+    return map_arrow(docs.select("node", "__id", F.col("text").cast("binary").alias("__text")), run, schema)
+
+
+def _shared(keys: DataFrame) -> DataFrame:
+    """The rows (key, node) whose key another row has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches):
+            same = part["key"][1:] == part["key"][:-1]
+            here = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            if here.any():
+                yield pa.RecordBatch.from_arrays([pa.array(part[c][here]) for c in ("key", "node")], ["key", "node"])
+
+    return map_arrow(keys.repartition("key").sortWithinPartitions("key"), run, "key long, node long")
 
-    return map_arrow(docs.select("node", F.col("text").cast("binary").alias("__text")), run, "node long, grams array<long>")
 
+def _alike(key: np.ndarray, sketch: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j, same bucket, at least so many bytes of the sketches equal), a bounded number at a time."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.concatenate([first, [key.size]]))
+    bucket = np.repeat(size, size)
+    for o in range(1, min(32, key.size)):  # small buckets, all at once
+        i = np.flatnonzero((key[:-o] == key[o:]) & (bucket[:-o] <= 32))
+        if not i.size:
+            break
+        i = i[(sketch[i] == sketch[i + o]).sum(axis=1) >= least]
+        if i.size:
+            yield i, i + o
+    for s, n in zip(first[size > 32], size[size > 32]):
+        for a in range(s, s + n, 256):
+            for b in range(a, s + n, 256):
+                x, y = sketch[a : min(a + 256, s + n)], sketch[b : min(b + 256, s + n)]
+                i, j = np.nonzero((x[:, None] == y[None, :]).sum(axis=2, dtype=np.int16) >= least)
+                i, j = i + a, j + b
+                ordered = i < j
+                if ordered.any():
+                    yield i[ordered], j[ordered]
 
-def _verified(pairs: DataFrame, docs: DataFrame, ids: int, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have that Jaccard similarity; only texts in pairs are shuffled.
 
-    The sets are compared in the JVM, so no batch of them crosses into Python.
+def _stars(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) that connect the nodes of the pairs: a row for each node, not for each pair."""
+    us, vs, held = [], [], 0
+    for u, v in pairs:
+        us.append(u)
+        vs.append(v)
+        held += u.size
+        if held > 1 << 19:
+            u, v = local_roots(np.concatenate(us), np.concatenate(vs))
+            us, vs, held = [u], [v], u.size
+    if us:
+        u, v = local_roots(np.concatenate(us), np.concatenate(vs))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def sketch_links(nodes: DataFrame, sketch: Sketch) -> DataFrame:
+    """Edges (u, v) that connect all nodes (node, keys, sketch) that share a key and have sketches alike."""
+    shared = cut(_shared(nodes.select(F.explode("keys").alias("key"), "node")))
+    rows = shared.join(nodes.select(F.col("node").alias("__n"), "sketch"), F.col("node") == F.col("__n")).select("key", "node", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches):
+            node, bytes_ = part["node"], np.frombuffer(b"".join(part["sketch"]), dtype=np.uint8).reshape(len(part["node"]), -1)
+            yield from _stars((node[i], node[j]) for i, j in _alike(part["key"], bytes_, sketch.least))
+
+    return map_arrow(_deal(rows), run, "u long, v long")
+
+
+def similar_sets(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i < j) of sets with that Jaccard similarity, exactly; sides of two kinds are only compared with each other."""
+    size = np.array([x.size for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, token, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(many > 1) - 1
+    twice = many[token] > 1  # others are in one set only
+    owner, token = owner[twice], number[token[twice]]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for t in range(0, int(token[-1]) + 1 if token.size else 0, TOKENS):
+        a, b = np.searchsorted(token, [t, t + TOKENS])
+        has = np.zeros((len(sets), min(TOKENS, int(token[-1]) + 1 - t)), dtype=np.float32)
+        has[owner[a:b], token[a:b] - t] = 1
+        both += has @ has.T
+    near = (both > 0) & (both >= similarity * (size[:, None] + size[None, :] - both.astype(np.float64)))
+    if side.any() and not side.all():
+        near &= side[:, None] != side[None, :]
+    return np.nonzero(np.triu(near, 1))
+
+
+def _verified(clusters: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges (u, v) that connect the members of each cluster (u, root) whose shingle sets have that similarity.
+
+    Each text goes to its cluster once; every pair in it is compared on the whole sets, and only links leave the
+    task. A cluster of over GROUP texts is compared in block pairs, so no task holds an unbounded cluster.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    bits = bloom.size_for(ids)
-    words = cut(bloom.build(wanted, "node", bits))
-    sets = _shingle_sets(bloom.flag(docs, "node", words, bits, "__in").where("__in").select("node", "text"), shingle)
-    left = sets.select(F.col("node").alias("__a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("node").alias("__b"), F.col("grams").alias("gb"))
-    both = pairs.join(left, F.col("a") == F.col("__a")).join(right, F.col("b") == F.col("__b"))
-    both = both.where(F.least(F.size("ga"), F.size("gb")) >= similarity * F.greatest(F.size("ga"), F.size("gb")))
-    both = both.withColumn("__n", F.size(F.array_intersect("ga", "gb")))
-    return both.where(F.col("__n") >= similarity * (F.size("ga") + F.size("gb") - F.col("__n"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tau: int = 8) -> DataFrame:
+    member = cut(clusters.unionByName(clusters.select(F.col("root").alias("u"), "root").distinct()))
+    count = member.count()
+    bits = bloom.size_for(count)
+    words = cut(bloom.build(member, "u", bits))
+    texts = bloom.flag(docs, "node", words, bits, "__in").where("__in").dropDuplicates(["node"]).select("node", F.col("text").cast("binary").alias("text"))
+    many = member.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("__b"))
+    rows = member.join(many, "root").withColumn("__own", F.pmod(F.xxhash64("u"), F.col("__b")).cast("int"))
+    rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
+    rows = rows.withColumn("key", F.xxhash64("root", F.least("__own", "__other"), F.greatest("__own", "__other")))
+    rows = rows.withColumn("side", (F.col("__own") > F.col("__other")).cast("int"))
+    rows = rows.join(texts, F.col("u") == F.col("node")).select("key", "side", "node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compared() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for key, side, node, sets in _groups(batches, shingle):
+                if len(sets) > 1:
+                    i, j = similar_sets(sets, side, similarity)
+                    yield node[i], node[j]
+
+        yield from _stars(compared())
+
+    return map_arrow(rows.repartition("key").sortWithinPartitions("key"), run, "u long, v long")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(key, sides, nodes, shingle sets) of each run of equal keys."""
+    last, sides, nodes, sets = None, [], [], []
+    for batch in batches:
+        for key, side, node, text in zip(*(as_column(batch, c) for c in ("key", "side", "node", "text"))):
+            if key.as_py() != last:
+                if sets:
+                    yield last, np.array(sides), np.array(nodes), sets
+                last, sides, nodes, sets = key.as_py(), [], [], []
+            sides.append(side.as_py())
+            nodes.append(node.as_py())
+            sets.append(_grams(text.as_py(), shingle))
+    if sets:
+        yield last, np.array(sides), np.array(nodes), sets
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row left of each group of near-duplicates, the one with the smallest id (null ids last).
 
     Two texts are linked if their sets of `shingle`-word shingles (lower-cased, fewer words: the whole
-    sequence) have a Jaccard similarity of `similarity` or more, and their SimHashes over distinct words differ
-    in tau bits or fewer; groups are connected components. Candidates come from the pigeonhole probes, every
-    link is verified on the whole sets. Texts without words are left alone. Rows that repeat both id and text
-    count as one document: they stay or go together. All columns are kept.
+    sequence) have a Jaccard similarity of `similarity` or more; groups are connected components. Candidates
+    come from MinHash bands over the same shingles, which miss such a pair with a probability of about MISS
+    whatever the edits; every link is verified on the whole sets. Texts without words are left alone. Rows that
+    repeat both id and text count as one document: they stay or go together. All columns are kept.
     """
+    sketch = Sketch.make(similarity)
     node = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     slim = docs.select(node.alias("node"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("text"))
     spoken = slim.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    rows = cut(fingerprints(spoken, ["node", "__id"], "text", features="words"))
-    count = rows.count()
-    plan = make_plan(rows, tau)
-    nodes = rows.select("fp", "node").dropDuplicates(["node"])
-    near = cut(candidate_pairs(nodes.withColumn("comp", F.col("node")), plan, tau, nearest_only=True))
-    links = cut(_verified(near, slim, count, shingle, similarity))
-    comp = connected(links)
-    known = nodes.join(comp, nodes["node"] == comp["u"], "left").select("fp", "node", F.coalesce("root", "node").alias("comp"))
-    # Pairs that one link each has not joined yet.
-    rest = candidate_pairs(cut(known), plan, tau, nearest_only=False)
-    rest = cut(rest.join(near, ["a", "b"], "left_anti"))
-    links = links.unionByName(_verified(rest, slim, count, shingle, similarity))
-    comp = cut(connected(links))
+    rows = cut(_sketches(spoken, shingle, sketch))
+    clusters = connected(sketch_links(rows.select("node", "keys", "sketch").dropDuplicates(["node"]), sketch))
+    comp = cut(connected(_verified(clusters, spoken, shingle, similarity)))
     # Members of components, the one that stays, and the others by a filter of bounded size.
     member = comp.unionByName(comp.select(F.col("root").alias("u"), "root").distinct())
     member = member.join(rows.select("node", "__id"), F.col("u") == F.col("node"))

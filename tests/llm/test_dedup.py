@@ -153,6 +153,51 @@ def test_drop_near_duplicates_of_planted_groups(spark):
     assert not left
 
 
+@pytest.mark.parametrize("kind", ["appended", "truncated", "inserted"])
+def test_drop_near_duplicates_of_texts_edited_in_one_run(spark, kind):
+    rnd = random.Random(kind)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows, copies = [], set()
+    for _ in range(150):
+        base = [rnd.choice(vocab) for _ in range(rnd.randint(60, 400))]
+        n, run = len(base), [rnd.choice(vocab) for _ in range(100)]
+        share = rnd.uniform(0.13, 0.18)
+        at = {"appended": n, "inserted": rnd.randrange(n), "truncated": 0}[kind]
+        copy = base[: n - int(n * share)] if kind == "truncated" else base[:at] + run[: int(n * share)] + base[at:]
+        rows.append((len(rows), " ".join(base)))
+        if 0.8 <= jaccard(rows[-1][1], " ".join(copy)) < 0.88:
+            copies.add(len(rows))
+            rows.append((len(rows), " ".join(copy)))
+    assert len(copies) > 100
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in rows} - copies
+
+
+def test_sketch_finds_pairs_at_the_least_similarity():
+    sketch, rng = simhash.Sketch.make(0.8), np.random.default_rng(4)
+    for _ in range(2000):
+        grams = rng.integers(0, 2**63, 110).astype(np.uint64)
+        low = np.array([sketch.minima(grams[:99]), sketch.minima(grams[11:])])  # 88 of 110 in both
+        keys = sketch.keys(low)
+        assert (keys[0] == keys[1]).any() and (low[0].astype(np.uint8) == low[1].astype(np.uint8)).sum() >= sketch.least
+
+
+def test_clusters_in_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 4)
+    monkeypatch.setattr(simhash, "TOKENS", 16)
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rnd.choice("xyz") + w if rnd.random() < 0.02 else w for w in base)) for i in range(40)]
+    root = {i: i for i, _ in rows}
+    for a, x in rows:
+        for b, y in rows:
+            if a < b and root[a] != root[b] and jaccard(x, y) >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    assert 1 < len(set(root.values())) < 40
+    assert {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == set(root.values())
+
+
 def test_drop_near_duplicates_of_odd_rows(odd, none):
     out = simhash.drop_near_duplicates(odd)
     got = [r.doc_id for r in out.collect()]
