@@ -5,6 +5,9 @@ Hamming distance. Each repetition draws its own walk and samples a few coordinat
 window and an item whose samples agree in some repetition are a candidate, which the exact edit distance
 (bit-parallel, free ends in the text) accepts or rejects. Windows are embedded only where they can match at
 all: an item-sized window with k word edits or fewer shares all but 2k of its word pairs with the item.
+
+The walks of long items agree too rarely for any fixed number of repetitions, so what they don't settle is
+verified too: each run of text in which some item-sized window holds that many word pairs of one item.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ from pyspark.sql import types as T
 from .common import as_column, map_arrow, parts, table, text_slices
 from .words import mix, split_words
 
-#: Coordinates sampled in each repetition, the share of coordinates that agree at the most edits (a low
-#: estimate), and the recall to reach; together they give the number of repetitions.
+#: Coordinates sampled in each repetition, the share of coordinates that agree at the most edits of a short
+#: item, and the share to find by them; together they give the number of repetitions. The rest is verified.
 SAMPLED, AGREE, RECALL = 2, 0.5, 0.99
 #: Items whose texts have more bytes than this in all are handled in several passes over the documents.
 BLOCK_BYTES = 32 << 20
@@ -124,6 +127,8 @@ class SizeClass:
     sampler: Sampler
     keys: np.ndarray  # sorted
     items: np.ndarray  # item of each key
+    pairs: np.ndarray  # word pairs of the members, sorted
+    owners: np.ndarray  # item of each word pair
 
 
 class ItemIndex:
@@ -136,6 +141,8 @@ class ItemIndex:
             w = split_words(raw, offsets)
             self.items += np.split(w.hash, w.first_of_row(len(offsets) - 1)[1:-1])
         self.similarity = similarity
+        self.size = np.array([w.size for w in self.items], dtype=np.int64)
+        self.edits = np.array([most_edits(w.size, similarity) for w in self.items], dtype=np.int64)
         pairs = [_pairs(w) for w in self.items if w.size > 1]
         singles = [mix(w) for w in self.items if w.size == 1]
         found = np.unique(np.concatenate([*pairs, *singles])) if pairs or singles else np.zeros(0, np.uint64)
@@ -165,7 +172,10 @@ class ItemIndex:
             keys = sampler.keys(rows)
             order = np.argsort(keys.ravel(), kind="stable")
             items = np.broadcast_to(np.array(members), keys.shape).ravel()
-            out.append(SizeClass(low, edits, max(1, low - 1 - 2 * edits), width, edits, sampler, keys.ravel()[order], items[order]))
+            own = [np.unique(_pairs(self.items[i])) for i in members]
+            pairs, owners = np.concatenate(own), np.repeat(members, [x.size for x in own])
+            by = np.argsort(pairs, kind="stable")
+            out.append(SizeClass(low, edits, max(1, low - 1 - 2 * edits), width, edits, sampler, keys.ravel()[order], items[order], pairs[by], owners[by]))
         return out
 
 
@@ -180,6 +190,8 @@ def find(index: ItemIndex, column: pa.Array) -> list[tuple[int, int, int, int, i
     """
     found: dict[tuple[int, int], tuple[int, int, int, int]] = {}
     waiting: list[list[tuple]] = [[] for _ in index.classes]
+    texts: list[tuple[int, np.ndarray, np.ndarray]] = []  # first row, word hashes, first word of each row
+    dense: list[tuple[int, SizeClass, np.ndarray]] = []  # of these texts: word pairs in windows of a class that pass
     low_bits = np.uint64((1 << index.bits) - 1)
     for first, stop, raw, offsets in text_slices(column):
         w = split_words(raw, offsets)
@@ -198,6 +210,7 @@ def find(index: ItemIndex, column: pa.Array) -> list[tuple[int, int, int, int, i
         hit &= w.row[1:] == w.row[:-1]
         if not hit.any():
             continue
+        texts.append((first, w.hash, bounds))
         for k, c in enumerate(index.classes):
             total = np.zeros(hit.size + c.low + 1, dtype=np.int32)
             np.cumsum(hit, out=total[1 : hit.size + 1])
@@ -205,6 +218,10 @@ def find(index: ItemIndex, column: pa.Array) -> list[tuple[int, int, int, int, i
             start = np.flatnonzero(total[c.low - 1 : c.low - 1 + hit.size] - total[: hit.size] >= c.need)
             if not start.size:
                 continue
+            cover = np.zeros(hit.size + c.low, dtype=np.int32)
+            np.add.at(cover, start, 1)
+            np.add.at(cover, start + c.low - 1, -1)
+            dense.append((len(texts) - 1, c, np.flatnonzero(hit & (np.cumsum(cover)[: hit.size] > 0))))
             row = w.row[start]
             end = bounds[row + 1]
             place = start[:, None] + np.arange(-c.before, c.width)[None, :]
@@ -239,9 +256,46 @@ def find(index: ItemIndex, column: pa.Array) -> list[tuple[int, int, int, int, i
                     there = (context[part][:, :, None] == item[None, None, :]).any(axis=1).sum(axis=1)
                     for x in part[there >= least].tolist():
                         _verify(index, found, int(rows[x]), i, int(starts[x]) - c.before, context[x], int(length[x]))
+    for t, c, at in dense:
+        _verify_rest(index, found, *texts[t], c, at)
     return sorted((r, i, *v) for (r, i), v in found.items())
 
 
+def _verify_rest(index: ItemIndex, found: dict, first: int, words: np.ndarray, bounds: np.ndarray, c: SizeClass, at: np.ndarray) -> None:
+    """Verify each run of words that can hold an item of the class; at: its word pairs in windows that pass.
+
+    A window of an item's size at the start of a match holds all but 2k of its word pairs, so some `need` pairs
+    of the item in order lie that close, and the match starts and ends within reach of them.
+    """
+    pair = mix(words[at] * _PAIR + words[at + 1])
+    lo, hi = np.searchsorted(c.pairs, pair, side="left"), np.searchsorted(c.pairs, pair, side="right")
+    many = hi - lo
+    if not many.any():
+        return
+    slot = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    item, place = c.owners[slot], np.repeat(at, many)
+    order = np.lexsort((place, item))
+    item, place = item[order], place[order]
+    row = np.searchsorted(bounds, place, side="right") - 1
+    size, edits = index.size[item], index.edits[item]
+    last = np.arange(item.size) + np.maximum(1, size - 1 - 2 * edits) - 1
+    inside = last < item.size
+    last = np.minimum(last, item.size - 1)
+    near = np.flatnonzero(inside & (item[last] == item) & (row[last] == row) & (place[last] - place <= size - 2))
+    if not near.size:
+        return
+    item, row, size = item[near], row[near], size[near]
+    start = np.maximum(place[last[near]] - size + 2, bounds[row])
+    stop = np.minimum(place[near] + size + edits[near], bounds[row + 1])
+    new = np.ones(near.size, dtype=bool)  # runs that overlap are one
+    new[1:] = (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (start[1:] > stop[:-1])
+    cuts = np.flatnonzero(new)
+    for a, b in zip(cuts, np.append(cuts[1:], near.size) - 1):
+        r = int(row[a])
+        s, e = int(start[a : b + 1].min()), int(stop[a : b + 1].max())
+        _verify(index, found, first + r, int(item[a]), s - int(bounds[r]), words[s:e], int(bounds[r + 1] - bounds[r]))
+
+
 def _verify(index: ItemIndex, found: dict, row: int, i: int, first: int, context: np.ndarray, length: int) -> None:
     have = found.get((row, i))
     if have is not None and have[0] == 0 and have[1] <= first + (context == PAD).argmin():
@@ -286,7 +340,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     Words are lower-cased runs of letters and digits. An item of L words is found where some run of a text's
     words is within floor(L * (1 - similarity)) word edits of it; items under five words have to match
-    exactly. Null or empty texts and items without words match nothing; repeated rows are each reported.
+    exactly. None is missed at a similarity of 0.75 or more. Null or empty texts and items without words match nothing; repeated rows are each reported.
     """
     out = None
     schema = T.StructType([docs.schema[id_col], T.StructField(item_id, items.schema[item_id].dataType), *(T.StructField(c, T.LongType()) for c in ("edits", "item_words")), T.StructField("similarity", T.DoubleType()), *(T.StructField(c, T.LongType()) for c in ("start_word", "end_word"))])

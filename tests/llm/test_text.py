@@ -245,6 +245,27 @@ def test_leaks_equal_brute_force_and_reach_recall(spark):
     assert {r.doc_id for r in decontaminate.drop_leaks(left, right).collect()} == {d for d, _ in docs} - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("kind", ["deletions", "insertions", "mixed"])
+def test_leaks_of_long_items_are_all_found(kind):
+    rnd = random.Random(9)
+    vocab = [f"v{i}" for i in range(400)]
+    items = [[rnd.choice(vocab) for _ in range(n)] for n in (12, 40, 100, 130, 150, 200, 250, 300) for _ in range(5)]
+    docs = []
+    for x in items:
+        k, w = decontaminate.most_edits(len(x), 0.8), list(x)
+        if kind == "mixed":
+            w = edited(x, rnd, k)
+        for i in sorted(rnd.sample(range(len(x)), k), reverse=True) if kind != "mixed" else []:
+            w[i : i + 1] = [] if kind == "deletions" else [x[i], f"e{rnd.randrange(99)}"]
+        around = [[rnd.choice(vocab) for _ in range(rnd.randint(0, 80))] for _ in range(2)]
+        docs.append(around[0] + w + around[1])
+    index = decontaminate.ItemIndex([" ".join(x) for x in items], 0.8)
+    got = {(r, i): d for r, i, d, *_ in decontaminate.find(index, pa.array([" ".join(x) for x in docs]))}
+    assert [i for i in range(len(items)) if (i, i) not in got] == []
+    for (r, i), d in got.items():
+        assert d == decontaminate.fit_distance(*(list(map(hash, x)) for x in (items[i], docs[r])))[0] <= decontaminate.most_edits(len(items[i]), 0.8)
+
+
 def test_leaks_of_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog near the river"), (2, None), (3, ""), (4, "word"), (None, "12 345")], "item_id long, text string")
     got = sorted((r.doc_id, r.item_id or 0, r.edits) for r in decontaminate.leaks(odd, items).collect())
