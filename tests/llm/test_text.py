@@ -152,12 +152,28 @@ def test_bpe_equals_tiktoken(codec, tik):
     rnd = random.Random(2)
     letters = "aab  \n\t\x1c\x85\xa0 é'st123,.!日本<|endoftext|>ſK"
     texts = ["", "it's 1999", "a" * 3000, "ab" * 2000, " " * 500 + "x", "日本語テキスト" * 30] + ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) for _ in range(500)]
-    for t in texts:
-        ids = codec.encode(t)
+    for t, ids in zip(texts, codec.encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == tik.encode_ordinary(t)
         assert codec.decode(ids) == t.encode()
 
 
+def test_bpe_classes_of_latin_texts_are_the_unicode_ones(codec):
+    import regex
+
+    inside = regex.compile(f"[{bpe.CLOSED}]").match
+    for c in filter(inside, map(chr, range(0x2100))):
+        for t in (f"a{c}1", f" {c}{c} x", f"1{c}", f".{c}\n"):
+            assert codec.split_latin(t) == codec.split(t), repr(t)
+
+
+def test_bpe_forgets_and_learns_again(codec, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED", 3)
+    monkeypatch.setattr(bpe, "STEP_CHARS", 20)
+    texts = [f"some{i} wordsand{i % 7} {'long' * (i % 20)}" for i in range(80)]
+    again = bpe.Codec(*bpe.public_vocabulary())
+    assert again.encode(texts) == again.encode(texts) == codec.encode(texts)
+
+
 def test_bpe_merges_equal_a_plain_loop():
     rnd = random.Random(3)
     ranks = {bytes([b]): b for b in range(256)}
@@ -177,7 +193,7 @@ def test_bpe_merges_equal_a_plain_loop():
                 break
             i = min(pairs)[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        assert queue.encode(piece) == [ranks[p] for p in parts]
+        assert queue.encode([b"ab", piece, b""])[1] == np.array([ranks[p] for p in parts], "<u4").tobytes()
         assert not any(queue.low)
 
 
