@@ -2,9 +2,10 @@
 
 import base64
 import hashlib
-import html as entities
 import io
 import re
+import time
+from html.parser import HTMLParser
 import uuid
 
 import pytest
@@ -114,12 +115,83 @@ def test_pages_without_a_main_element():
     assert html.main_text(page, TREE) == " ".join(f"{long} Short one. {long}".split())
 
 
-def test_generated_pages_equal_their_article(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+LONG = "Rivers carry silt from the hills down to the plain, where farmers have used it for many hundreds of years."
+HELD_OUT = [  # pages that the tree has not seen
+    (f"<div class='layout no-sidebar'><article><h1>Silt</h1><p>{LONG}</p></article></div><footer>About us</footer>", f"Silt {LONG}"),
+    (f"<article class='search result'><h2>One</h2><p>{LONG}</p></article>", f"One {LONG}"),
+    (f"<form id='aspnetForm'><nav><a>Home</a></nav><main><p>{LONG}</p><p>End.</p></main></form>", f"{LONG} End."),
+    (f"<article><p>One <svg class='i'/> two</p><p>{LONG}</p><svg><title>x</title></svg><p>three</p></article>", f"One two {LONG} three"),
+    (f"<article><p>Before</p><canvas/><p>{LONG}</p><iframe src=x></iframe><p>after</p></article>", f"Before {LONG} after"),
+    (f"<article><p>Press <button>here</p><p>{LONG}</p><p>then <button>no</button> stop</p></article>", f"Press {LONG} then stop"),
+    ("<article><p>Let <math><mi>x</mi>=<mn>2</mn></math> be given.</p></article>", "Let x=2 be given."),
+    (f"<article><p>{LONG}</p></article><article class='user-post'><p>{LONG}</p></article>", LONG),
+    (f"<article><p>{LONG}</p><article><p>First!</p></article><p>Last line.</p></article>", f"{LONG} Last line."),
+    (f"<div id=nav><a>a</a></div><div><h1>Rivers</h1><p>{LONG}</p><p>{LONG} {LONG}</p></div><div class=footer>Imprint and contact</div>", f"Rivers {LONG} {LONG} {LONG}"),
+    (f"<td><a>x</a></td><td><a>y</a></td><p>{LONG} {LONG}</p><ul><li><a>More</a></li><li><a>Even more here</a></li></ul>", f"{LONG} {LONG}"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), HELD_OUT)
+def test_held_out_pages(page, text):
+    assert html.main_text(page, TREE) == text
+
+
+class Plain(HTMLParser):
+    """Text of the article by a tree of elements, with nothing of the operator's code."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.beside, self.out = 0, 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag in ("script", "style", "form", "aside", "nav", "footer"):
+            self.beside += 1
+        if tag in ("p", "h1", "br", "li", "ul", "div", "td"):
+            self.out.append(" ")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in ("script", "style", "form", "aside", "nav", "footer"):
+            self.beside -= 1
+        if tag in ("p", "h1", "br", "li", "ul", "div", "td"):
+            self.out.append(" ")
+
+    def handle_data(self, data):
+        if self.inside > 0 and not self.beside:
+            self.out.append(data)
+
+
+def test_generated_pages_equal_a_plain_parser(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r.text for r in html.extract(rows, ["page_id"]).collect()}
     for r in rows.collect():
-        inside = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1]
-        assert got[r.page_id] == " ".join(entities.unescape(re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1|br)>", " ", inside))).split())
+        plain = Plain()
+        plain.feed(r.html)
+        plain.close()
+        assert got[r.page_id] == " ".join("".join(plain.out).split())
+
+
+def test_labelled_rows_are_learnt():
+    x, y = html.labelled_table()
+    assert len(y) < 300 and (html.classify(TREE, x) == (y > 0)).mean() > 0.99
+    asked = set()
+
+    def walk(t):
+        if len(t) > 1:
+            asked.add(html.FEATURES[t[0]])
+            walk(t[2])
+            walk(t[3])
+
+    walk(TREE)
+    assert {"words", "link_share"} <= asked and asked & {"words_before", "words_after", "link_share_before", "link_share_after"}
+
+
+@pytest.mark.parametrize("page", ["<div>" * 40_000 + "</p></section>" * 20_000, "<svg>" * 60_000, "<button>a" * 40_000, "<span class=ad>" * 30_000 + "</b>" * 60_000, "<a '>" * 60_000, "x < y " * 100_000, "<p class='a b'>word " * 30_000])
+def test_pages_take_linear_time(page):
+    began = time.process_time()
+    html.main_text(page, TREE)
+    assert time.process_time() - began < 3
 
 
 def test_odd_pages(pages):
