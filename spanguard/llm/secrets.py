@@ -7,6 +7,7 @@ dictionary can compress, is reported besides the matches of the fixed patterns.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,16 +24,24 @@ KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so shorter ones only would be dropped
+_MIXED = re.compile(r"(?:[A-Za-z]++[0-9]|[0-9]++[A-Za-z])[A-Za-z0-9]*+").finditer
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Words that announce a credential, how many characters after them a candidate may begin, and what one is.
+#: Words that announce a credential, how many characters after them a candidate may begin, and what one is: a
+#: whole run of these characters with a piece between separators that mixes letters and digits.
 CONTEXT_WORDS = ("access", "auth", "bearer", "cert", "client", "cookie", "cred", "jwt", "key", "login", "pass", "private", "pwd", "secret", "session", "sig", "token")
 CONTEXT_CHARS = 48
 _CONTEXT = re.compile("|".join(CONTEXT_WORDS), re.I | re.A)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Characters of surrounding text that the compressor sees before and after; marginal bytes for each
-#: character from which a string counts as incompressible.
-BEFORE, AFTER, NOVEL = 512, 256, 0.8
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
+#: Characters of surrounding text that the compressor sees before and after; the share of its alphabet's entropy
+#: from which a string counts as incompressible.
+BEFORE, AFTER, NOVEL = 512, 256, 0.85
+#: Characters of such a piece at least; names with numbers in them have shorter ones.
+MIXED = 8
+
+LEVEL = 6
+#: Follows what is compressed, since the compressor looks for no matches in the last bytes.
+TAIL = b" " * 32
 
 #: Words that identifiers and prose around secrets consist of; the compressor's dictionary.
 _FIRST = "access account admin api app application auth authorization aws backup base bearer bucket build cache certificate channel client cloud cluster config connection console container controller cookie credential database default deploy dev development domain endpoint env environment example file gateway github google host http https instance internal jwt key local login machine master message node oauth organization password path pipeline platform policy port private production profile project provider proxy public queue region registry release remote request resource response role root route runtime sandbox schema secret secure server service session setting signature staging storage stripe subscription system team template tenant test token topic url user username vault version webhook worker workflow workspace".split()
@@ -45,10 +54,19 @@ class Novelty:
 
     def __init__(self) -> None:
         primed = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.zip = zstandard.ZstdCompressor(level=6, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
+        primed.precompute_compress(level=LEVEL)
+        self.zip = zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def marginal(self, before: bytes, string: bytes, after: bytes) -> int:
-        return len(self.zip.compress(before + after + string)) - len(self.zip.compress(before + after))
+        return len(self.zip.compress(before + after + string + TAIL)) - len(self.zip.compress(before + after + TAIL))
+
+
+def entropy_bytes(string: str) -> float:
+    """Bytes that a random string of this length takes over the least alphabet, of common ones, that holds it."""
+    kinds = re.search("[0-9]", string), re.search("[a-z]", string), re.search("[A-Z]", string), re.search("[+/_=-]", string)
+    if not kinds[3] and not (kinds[1] and kinds[2]) and not re.search("[G-Zg-z]", string):
+        return len(string) * 0.5
+    return len(string) * math.log2(max(2, sum(n for n, k in zip((10, 26, 26, 2), kinds) if k))) / 8
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int | None]]:
@@ -64,26 +82,28 @@ def base_spans(text: str) -> list[tuple[int, int, int, int | None]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int, int | None]], novelty: Novelty) -> list[tuple[int, int, int, int | None]]:
-    """(start, kind, end, marginal bytes) of incompressible strings in a sensitive context, outside the base spans."""
-    taken = sorted((s, e) for s, _, e, _ in base)
-    found, seen = [], -1
-    for m in _CONTEXT.finditer(text):
-        at = m.end()
-        while (c := _CANDIDATE.search(text, at, min(len(text), m.end() + CONTEXT_CHARS + 4096))) and c.start() <= m.end() + CONTEXT_CHARS:
-            at = s = c.start()
-            e = at = c.end()
-            while e < len(text) and re.match(r"[A-Za-z0-9+/_=-]", text[e]):
-                e = at = e + 1
-            if s <= seen:
-                continue
-            seen = s
-            string = text[s:e]
-            if any(s < b and a < e for a, b in taken) or not re.search(r"[0-9]", string) or not re.search(r"[A-Za-z]", string):
-                continue
-            before, after = text[max(0, s - BEFORE) : s].encode(), text[e : e + AFTER].encode()
-            cost = novelty.marginal(before, string.encode(), after)
-            if cost >= NOVEL * len(string):
-                found.append((s, 3, e, cost))
+    """(start, kind, end, marginal bytes) of incompressible strings in a sensitive context, outside the base spans.
+
+    Candidates are whole runs, so they don't overlap; each is compressed once, among surroundings of bounded size.
+    """
+    found: list[tuple[int, int, int, int | None]] = []
+    words, taken = _CONTEXT.finditer(text), iter(sorted((s, e) for s, _, e, _ in base))
+    word, last, span, reach = next(words, None), -1 - CONTEXT_CHARS, next(taken, None), -1
+    if word is None:
+        return found
+    for m in _CANDIDATE.finditer(text):
+        s, e = m.span()
+        while word is not None and word.start() < e:  # the last word that begins before the run ends
+            last, word = word.end(), next(words, None)
+        while span is not None and span[0] < e:
+            reach, span = max(reach, span[1]), next(taken, None)
+        string = m[0]
+        if last < s - CONTEXT_CHARS or reach > s or all(x.end() - x.start() < MIXED for x in _MIXED(string)):
+            continue
+        before, after = text[max(0, s - BEFORE) : s].encode(), text[e : e + AFTER].encode()
+        cost = novelty.marginal(before, string.encode(), after)
+        if cost >= NOVEL * entropy_bytes(string):
+            found.append((s, 3, e, cost))
     return found
 
 
