@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import own_name
+
 #: Bits of a filter for each key it is built from, and the most bits of any filter: 2**28 bits are
 #: at most 2**22 words of 64 bits, which bounds what is broadcast. A filter that is built from more
 #: keys than it has room for flags more rows than need be; nothing is lost by that.
@@ -35,12 +37,17 @@ def build(df: DataFrame, key: str, bits: int, least: int = 1) -> DataFrame:
 
 
 def flag(df: DataFrame, key: str, words: DataFrame, bits: int, name: str) -> DataFrame:
-    """df with a boolean column: false means that the key is surely not in the filter."""
-    out, kept = df, df.columns
-    hit = F.lit(True)
-    for i, cell in enumerate(_cells(F.col(key), bits)):
-        out = out.withColumn(f"__c{i}", cell).withColumn(f"__w{i}", F.shiftright(f"__c{i}", 6))
-        side = words.select(F.col("word").alias(f"__w{i}"), F.col("bits").alias(f"__b{i}"))
-        out = out.join(F.broadcast(side), f"__w{i}", "left")  # bounded by MOST_BITS
-        hit = hit & F.coalesce(F.expr(f"(__b{i} & shiftleft(1L, CAST(__c{i} & 63L AS INT))) != 0"), F.lit(False))
-    return out.select(*[F.col(f"`{c}`") for c in kept], hit.alias(name))
+    """df with a boolean column `name`, which it must not have yet: false means that the key is surely not in the filter.
+
+    df's own columns may have any names.
+    """
+    every = [F.col(f"`{c}`") for c in df.columns]
+    row, at, found = (own_name([key], c) for c in ("row", "at", "found"))
+    out = df.select(F.struct(*every).alias(row), F.array(*_cells(F.col(f"`{key}`"), bits)).alias(at), F.lit(True).alias(found))
+    for i in range(PROBES):
+        side = words.select(F.col("word").alias("word"), F.col("bits").alias("bits"))
+        cell = F.col(at)[i]
+        out = out.join(F.broadcast(side), F.shiftright(cell, 6) == F.col("word"), "left")  # bounded by MOST_BITS
+        hit = F.coalesce(F.expr(f"(bits & shiftleft(1L, CAST(`{at}`[{i}] & 63L AS INT))) != 0"), F.lit(False))
+        out = out.select(row, at, (F.col(found) & hit).alias(found))
+    return out.select(*[F.col(row)[c].alias(c) for c in df.columns], F.col(found).alias(name))

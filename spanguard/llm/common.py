@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -22,18 +23,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master one of its own."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found is None:
         found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not found:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir is unset; a cluster needs a folder there that all executors share")
             found = tempfile.mkdtemp(prefix="spanguard-ckpt-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
     return found
 
 
+def remove(spark: SparkSession, folder: str, at_exit: bool = False) -> None:
+    """Delete a folder in a store that Spark reads, now or when the session's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if at_exit:
+        store.deleteOnExit(path)
+    else:
+        store.delete(path, True)
+
+
+def own_name(columns: list[str], name: str) -> str:
+    """name, with underscores before it until none of the columns has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that nothing above is computed twice."""
     shared_dir(df.sparkSession)

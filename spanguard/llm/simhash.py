@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import as_column, cut, map_arrow, table
+from .common import as_column, cut, map_arrow, parts, table
 from .components import connected, local_roots
 from .words import mix
 
@@ -37,8 +37,9 @@ SEGMENT_BITS = 8
 MOST_PARTITIONS = 10
 #: Minima in a band, and the share of pairs at the least similarity that no band may find.
 BAND_ROWS, MISS = 5, 1e-4
-#: Texts of a cluster that are compared at once (two such blocks at most), and shingles that a step counts.
-GROUP, TOKENS = 512, 4096
+#: Texts of a cluster that are compared at once (two such blocks at most), shingles that a step counts, and
+#: about how many rows of a group in blocks are compared with all blocks at first.
+GROUP, TOKENS, PIVOTS = 512, 4096, 8
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -259,19 +260,45 @@ def probe_keys(nodes: DataFrame, plan: Plan) -> DataFrame:
     return map_arrow(nodes, run, schema)
 
 
-def _deal(keys: DataFrame) -> DataFrame:
-    """Rows dealt and sorted by key; a bucket of over BLOCK rows becomes block pairs of bounded size."""
-    count = keys.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > BLOCK)
-    hot = cut(count)
-    if not hot.isEmpty():
-        # One row for each BLOCK keys at most; small enough to broadcast up to a checked size.
-        side = F.broadcast(hot) if hot.count() <= 200_000 else hot
-        rows = keys.join(side, "key", "left").withColumn("__b", F.ceil(F.coalesce(F.col("__n"), F.lit(1)) / F.lit(BLOCK)).cast("int"))
-        rows = rows.withColumn("__own", F.pmod(F.xxhash64("node"), F.col("__b")).cast("int"))
-        rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
-        mixed = F.when(F.col("__b") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("__own", "__other"), F.greatest("__own", "__other")))
-        keys = rows.withColumn("key", mixed).select(*keys.columns)
-    return keys.repartition("key").sortWithinPartitions("key")
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("part").sortWithinPartitions("part")
+
+
+def linked(rows: DataFrame, counted: DataFrame, size: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (u, v) that connect all nodes of rows (key, node, ...) that have a key in common and compare alike.
+
+    counted has a row for each row of `rows`, with its key. compare takes rows (part, guest, node, ...) sorted by
+    part and links the nodes of each part; where a part has guests, those with the others only.
+
+    A group of over `size` rows is compared in blocks, so that no task holds an unbounded group. At first each
+    block is compared in itself and with a few pivots of the group, which joins dense groups in linear time. Only
+    the rows outside the group's largest component then meet its other blocks, so no link is lost.
+    """
+    hot = cut(counted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size))
+    many = hot.count()
+    columns = [c for c in rows.columns if c != "key"]
+    if not many:
+        return compare(_dealt(rows.select(F.col("key").alias("part"), F.lit(0).alias("guest"), *columns)))
+    side = F.broadcast(hot) if many <= 200_000 else hot
+    blocks = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / F.lit(size)).cast("int")
+    placed = rows.join(side, "key", "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    part = lambda *of: F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", *of)).alias("part")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pivots = placed.where((F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(5)), F.col("n")) < PIVOTS)).withColumn("to", every).where("to != own")
+    home = placed.select(part("own"), F.lit(0).alias("guest"), *columns)
+    first = cut(compare(_dealt(home.unionByName(pivots.select(part("to"), F.lit(0).alias("guest"), *columns)))))
+    root = connected(first)
+    split = placed.where("blocks > 1").join(root, F.col("node") == F.col("u"), "left").withColumn("root", F.coalesce("root", "node")).drop("u")
+    each = split.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = each.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("rest")).where("rest > 0")
+    main = cut(main)
+    if main.isEmpty():
+        return first
+    split = split.join(main, "key").withColumn("outside", F.ceil(F.col("rest") / F.lit(size)).cast("int"))
+    guests = split.where("root != main").withColumn("at", F.pmod(F.xxhash64("node", F.lit(7)), F.col("outside")).cast("int")).withColumn("to", every).where("to != own")
+    hosts = split.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("outside") - 1)))
+    pairs = hosts.select(part("own", "at"), F.lit(0).alias("guest"), *columns).unionByName(guests.select(part("to", "at"), F.lit(1).alias("guest"), *columns))
+    return first.unionByName(compare(_dealt(pairs)))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -281,20 +308,20 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         now = {c: as_column(batch, c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
         if held is not None:
             now = {c: np.concatenate([held[c], now[c]]) for c in now}
-        key = now["key"]
+        key = now["part"]
         if not key.size:
             continue
         last = int(np.searchsorted(key, key[-1], side="left"))
         held = {c: v[last:] for c, v in now.items()}
         if last:
             yield {c: v[:last] for c, v in now.items()}
-    if held is not None and held["key"].size:
+    if held is not None and held["part"].size:
         yield held
 
 
 def _near(run: dict[str, np.ndarray], tau: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i < j, same bucket, at most tau bits apart), a bounded number at a time."""
-    key, fp = run["key"], run["fp"].view(np.uint64)
+    key, fp = run["part"], run["fp"].view(np.uint64)
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([first, [key.size]]))
     bucket = np.repeat(size, size)
@@ -316,6 +343,17 @@ def _near(run: dict[str, np.ndarray], tau: int) -> Iterator[tuple[np.ndarray, np
                     yield i[ordered], j[ordered]
 
 
+def _apart(pairs: Iterator[tuple[np.ndarray, np.ndarray]], guest: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of a guest and another; all pairs where there are no guests."""
+    if not guest.any():
+        yield from pairs
+        return
+    for i, j in pairs:
+        mixed = guest[i] != guest[j]
+        if mixed.any():
+            yield i[mixed], j[mixed]
+
+
 def hamming_links(nodes: DataFrame, plan: Plan, tau: int) -> DataFrame:
     """Edges (u, v) that connect all nodes (fp, node) within tau bits.
 
@@ -331,7 +369,7 @@ def hamming_links(nodes: DataFrame, plan: Plan, tau: int) -> DataFrame:
                 u, v = local_roots(np.concatenate(us), np.concatenate(vs))
                 return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-            for i, j in _near(part, tau):
+            for i, j in _apart(_near(part, tau), part["guest"]):
                 us.append(node[i])
                 vs.append(node[j])
                 held += i.size
@@ -342,7 +380,8 @@ def hamming_links(nodes: DataFrame, plan: Plan, tau: int) -> DataFrame:
             if us:
                 yield contracted()
 
-    return map_arrow(_deal(probe_keys(nodes, plan)), run, "u long, v long")
+    keys = probe_keys(nodes, plan)
+    return linked(keys, keys.select("key"), BLOCK, lambda dealt: map_arrow(dealt, run, "u long, v long"))
 
 
 # ---------------------------------------------------------------- operators
@@ -416,19 +455,21 @@ def _grams(text: bytes | None, shingle: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, shingle: int, sketch: Sketch) -> DataFrame:
-    """(node, __id, keys, sketch) of texts that have words."""
-    schema = T.StructType([docs.schema["node"], docs.schema["__id"], T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+    """(id, d1, d2, node, check, keys, sketch) of texts that have words; node and check are hashes of the words."""
+    schema = T.StructType([*(docs.schema[c] for c in ("id", "d1", "d2")), T.StructField("node", T.LongType()), T.StructField("check", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, 256):
-                batch = whole.slice(s, 256)
-                low = np.array([sketch.minima(_grams(x.as_py(), shingle)) for x in as_column(batch, "__text")])
-                keys = sketch.keys(low).view(np.int64)
-                each = pa.ListArray.from_arrays(np.arange(len(low) + 1, dtype=np.int32) * sketch.bands, keys.ravel())
-                yield pa.RecordBatch.from_arrays([as_column(batch, "node"), as_column(batch, "__id"), each, pa.array([x.tobytes() for x in low.astype(np.uint8)], pa.binary())], schema.fieldNames())
+        for batch in parts(batches, 256):
+            texts = [x.as_py() for x in as_column(batch, "text")]
+            low = np.array([sketch.minima(_grams(x, shingle)) for x in texts])
+            joined = [b" ".join(_words(x)) for x in texts]
+            hashes = [pa.array(np.array([xxhash.xxh64_intdigest(x, seed) for x in joined], dtype=np.uint64).view(np.int64)) for seed in (1, 2)]
+            keys = sketch.keys(low).view(np.int64)
+            each = pa.ListArray.from_arrays(np.arange(len(low) + 1, dtype=np.int32) * sketch.bands, keys.ravel())
+            sketches = pa.array([x.tobytes() for x in low.astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(as_column(batch, c) for c in ("id", "d1", "d2")), *hashes, each, sketches], schema.fieldNames())
 
-    return map_arrow(docs.select("node", "__id", F.col("text").cast("binary").alias("__text")), run, schema)
+    return map_arrow(docs.select("id", "d1", "d2", F.col("text").cast("binary").alias("text")), run, schema)
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -436,12 +477,12 @@ def _shared(keys: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _runs(batches):
-            same = part["key"][1:] == part["key"][:-1]
+            same = part["part"][1:] == part["part"][:-1]
             here = np.concatenate([same, [False]]) | np.concatenate([[False], same])
             if here.any():
-                yield pa.RecordBatch.from_arrays([pa.array(part[c][here]) for c in ("key", "node")], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[c][here]) for c in ("part", "node")], ["key", "node"])
 
-    return map_arrow(keys.repartition("key").sortWithinPartitions("key"), run, "key long, node long")
+    return map_arrow(_dealt(keys.withColumnRenamed("key", "part")), run, "key long, node long")
 
 
 def _alike(key: np.ndarray, sketch: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -490,9 +531,9 @@ def sketch_links(nodes: DataFrame, sketch: Sketch) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _runs(batches):
             node, bytes_ = part["node"], np.frombuffer(b"".join(part["sketch"]), dtype=np.uint8).reshape(len(part["node"]), -1)
-            yield from _stars((node[i], node[j]) for i, j in _alike(part["key"], bytes_, sketch.least))
+            yield from _stars((node[i], node[j]) for i, j in _apart(_alike(part["part"], bytes_, sketch.least), part["guest"]))
 
-    return map_arrow(_deal(rows), run, "u long, v long")
+    return linked(rows, shared.select("key"), BLOCK, lambda dealt: map_arrow(dealt, run, "u long, v long"))
 
 
 def similar_sets(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -517,50 +558,55 @@ def similar_sets(sets: list[np.ndarray], side: np.ndarray, similarity: float) ->
     return np.nonzero(np.triu(near, 1))
 
 
-def _verified(clusters: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _verified(clusters: DataFrame, contents: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Edges (u, v) that connect the members of each cluster (u, root) whose shingle sets have that similarity.
 
-    Each text goes to its cluster once; every pair in it is compared on the whole sets, and only links leave the
-    task. A cluster of over GROUP texts is compared in block pairs, so no task holds an unbounded cluster.
+    contents has for each node the digests (d1, d2) of a text, docs the texts. Each text goes to its cluster once,
+    clusters of over GROUP texts are compared as linked() says, on whole shingle sets; only links leave a task.
     """
-    member = cut(clusters.unionByName(clusters.select(F.col("root").alias("u"), "root").distinct()))
-    count = member.count()
-    bits = bloom.size_for(count)
-    words = cut(bloom.build(member, "u", bits))
-    texts = bloom.flag(docs, "node", words, bits, "__in").where("__in").dropDuplicates(["node"]).select("node", F.col("text").cast("binary").alias("text"))
-    many = member.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("__b"))
-    rows = member.join(many, "root").withColumn("__own", F.pmod(F.xxhash64("u"), F.col("__b")).cast("int"))
-    rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
-    rows = rows.withColumn("key", F.xxhash64("root", F.least("__own", "__other"), F.greatest("__own", "__other")))
-    rows = rows.withColumn("side", (F.col("__own") > F.col("__other")).cast("int"))
-    rows = rows.join(texts, F.col("u") == F.col("node")).select("key", "side", "node", "text")
+    member = clusters.unionByName(clusters.select(F.col("root").alias("u"), "root").distinct())
+    member = cut(member.join(contents, F.col("u") == F.col("node")).select(F.col("root").alias("key"), "node", "d1", "d2"))
+    bits = bloom.size_for(member.count())
+    words = cut(bloom.build(member, "d1", bits))
+    texts = bloom.flag(docs.select("d1", "d2", F.col("text").cast("binary").alias("text")), "d1", words, bits, "found")
+    texts = texts.where("found").dropDuplicates(["d1", "d2"]).select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "text")
+    rows = member.join(texts, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).select("key", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compared() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for key, side, node, sets in _groups(batches, shingle):
+            for guest, node, sets in _groups(batches, shingle):
                 if len(sets) > 1:
-                    i, j = similar_sets(sets, side, similarity)
+                    i, j = similar_sets(sets, guest, similarity)
                     yield node[i], node[j]
 
         yield from _stars(compared())
 
-    return map_arrow(rows.repartition("key").sortWithinPartitions("key"), run, "u long, v long")
+    return linked(rows, member.select("key"), GROUP, lambda dealt: map_arrow(dealt, run, "u long, v long"))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(key, sides, nodes, shingle sets) of each run of equal keys."""
-    last, sides, nodes, sets = None, [], [], []
+def _groups(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(guests, nodes, shingle sets) of each part."""
+    last, guests, nodes, sets = None, [], [], []
     for batch in batches:
-        for key, side, node, text in zip(*(as_column(batch, c) for c in ("key", "side", "node", "text"))):
-            if key.as_py() != last:
+        for part, guest, node, text in zip(*(as_column(batch, c) for c in ("part", "guest", "node", "text"))):
+            if part.as_py() != last:
                 if sets:
-                    yield last, np.array(sides), np.array(nodes), sets
-                last, sides, nodes, sets = key.as_py(), [], [], []
-            sides.append(side.as_py())
+                    yield np.array(guests), np.array(nodes), sets
+                last, guests, nodes, sets = part.as_py(), [], [], []
+            guests.append(guest.as_py())
             nodes.append(node.as_py())
             sets.append(_grams(text.as_py(), shingle))
     if sets:
-        yield last, np.array(sides), np.array(nodes), sets
+        yield np.array(guests), np.array(nodes), sets
+
+
+def _apart_nodes(rows: DataFrame) -> DataFrame:
+    """rows with nodes of their own for texts of other words that have the same 64-bit hash; as a rule there are none."""
+    own = cut(rows.groupBy("node").agg(F.min("check").alias("own"), F.max("check").alias("other")).where("own != other").select("node", "own"))
+    if own.isEmpty():
+        return rows
+    other = F.when(F.col("own").isNotNull() & (F.col("check") != F.col("own")), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return cut(rows.join(own, "node", "left").withColumn("node", other).select(rows.columns))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -569,27 +615,33 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Two texts are linked if their sets of `shingle`-word shingles (lower-cased, fewer words: the whole
     sequence) have a Jaccard similarity of `similarity` or more; groups are connected components. Candidates
     come from MinHash bands over the same shingles, which miss such a pair with a probability of about MISS
-    whatever the edits; every link is verified on the whole sets. Texts without words are left alone. Rows that
-    repeat both id and text count as one document: they stay or go together. All columns are kept.
+    whatever the edits; every link is verified on the whole sets. Texts of the same words are one node from the
+    start. Texts without words, null and empty ones too, are left alone. Rows that repeat both id and text count
+    as one document: they stay or go together. All columns are kept, whatever their names; an empty table gives
+    no rows.
     """
     sketch = Sketch.make(similarity)
-    node = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    slim = docs.select(node.alias("node"), F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("text"))
+    text = F.col(f"`{text_col}`")
+    known = [F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("d1"), F.xxhash64(text, F.lit(17)).alias("d2")]
+    slim = docs.select(*known, text.alias("text"))
     spoken = slim.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    rows = cut(_sketches(spoken, shingle, sketch))
+    rows = _apart_nodes(cut(_sketches(spoken, shingle, sketch)))
     clusters = connected(sketch_links(rows.select("node", "keys", "sketch").dropDuplicates(["node"]), sketch))
-    comp = cut(connected(_verified(clusters, spoken, shingle, similarity)))
-    # Members of components, the one that stays, and the others by a filter of bounded size.
-    member = comp.unionByName(comp.select(F.col("root").alias("u"), "root").distinct())
-    member = member.join(rows.select("node", "__id"), F.col("u") == F.col("node"))
-    order = F.struct(F.col("__id").isNull().alias("a"), F.col("__id").alias("b"), F.col("node").alias("c"))
-    stays = member.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.c").alias("__stay"))
-    gone = cut(member.select(F.col("node").alias("__gone")).distinct().join(stays, F.col("__gone") == F.col("__stay"), "left_anti"))
+    contents = rows.groupBy("node").agg(F.min(F.struct("d1", "d2")).alias("t")).select("node", "t.d1", "t.d2")
+    comp = connected(_verified(clusters, contents, spoken, shingle, similarity))
+    # The groups of two documents or more, the document of each that stays, and the others.
+    own = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("d1").alias("c"), F.col("d2").alias("d"))
+    of = rows.select("id", "d1", "d2", "node").join(comp, F.col("node") == F.col("u"), "left")
+    of = cut(of.select("id", "d1", "d2", F.coalesce("root", "node").alias("group")))
+    stays = of.groupBy(F.col("group").alias("g")).agg(F.min(own).alias("best"), F.max(own).alias("worst")).where(~F.col("best").eqNullSafe(F.col("worst")))
+    gone = of.join(stays, F.col("group") == F.col("g")).where(~own.eqNullSafe(F.col("best")))
+    gone = cut(gone.select(F.col("id").alias("i"), F.col("d1").alias("e1"), F.col("d2").alias("e2")).distinct())
     bits = bloom.size_for(gone.count())
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = bloom.flag(docs.select(*columns, node.alias("__node")), "__node", cut(bloom.build(gone, "__gone", bits)), bits, "__maybe")
-    kept = marked.where("__maybe").join(gone, F.col("__node") == F.col("__gone"), "left_anti")
-    return marked.where(~F.col("__maybe")).select(*columns).unionByName(kept.select(*columns))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *known)
+    marked = bloom.flag(packed, "d1", cut(bloom.build(gone, "e1", bits)), bits, "maybe")
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))
+    kept = marked.where("maybe").join(gone, same, "left_anti")
+    return marked.where(~F.col("maybe")).select("row.*").unionByName(kept.select("row.*"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import as_column, cut, map_arrow, shared_dir, table
+from .common import as_column, cut, map_arrow, remove, shared_dir, table
 
 #: Fixed values of the formats: magic numbers of the dictionary's skippable frame, of a Zstandard frame and
 #: of a trained dictionary; the base-32 alphabets of conv() and of digests.
@@ -25,8 +25,12 @@ CONV_DIGITS, BASE32_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMN
 
 #: Uncompressed bytes after which a new archive begins; size of the dictionary, and of the sample it is trained on.
 ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES = 64 << 20, 16 << 10, 1 << 20
+#: Tasks that read archives at most; each archive is read by one task.
+MOST_READERS = 50_000
 DATE = "1970-01-01T00:00:00Z"
 _ID = "urn:x-page:"
+#: An extension header for urls with line ends or outer or repeated white space, in base64.
+_EXACT_URI = "X-Target-URI-Base64"
 
 
 class WarcError(ValueError):
@@ -39,7 +43,10 @@ def record_bytes(page_id: int | None, url: str | None, kind: str, payload: bytes
     block = http + payload if kind == "response" else http
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{_ID}{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\r\n]+", " ", url))
+        plain = " ".join(url.split())
+        head.append("WARC-Target-URI: " + plain)
+        if plain != url:  # a header can't hold it as it is
+            head.append(f"{_EXACT_URI}: " + base64.b64encode(url.encode()).decode())
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_ID}{refers_to}>"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", "WARC-Block-Digest: sha1:" + base32_sha1(block), "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -78,7 +85,7 @@ def parse_record(data: bytes) -> dict:
     size = re.search(rb"(?im)^content-length:[ \t]*(\d+)", http)
     if not sep or not size:
         raise WarcError("no HTTP headers with a length in the block")
-    out = {"page_id": _page(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "payload_bytes": int(size[1]), "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"), "refers_to": _page(fields["warc-refers-to"]) if "warc-refers-to" in fields else None, "payload": None}
+    out = {"page_id": _page(fields["warc-record-id"]), "url": base64.b64decode(fields[_EXACT_URI.lower()]).decode() if _EXACT_URI.lower() in fields else fields.get("warc-target-uri"), "record_type": fields["warc-type"], "payload_bytes": int(size[1]), "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"), "refers_to": _page(fields["warc-refers-to"]) if "warc-refers-to" in fields else None, "payload": None}
     if out["record_type"] == "response":
         if len(payload) != out["payload_bytes"] or base32_sha1(payload) != out["payload_digest"]:
             raise WarcError("payload length or digest differs")
@@ -264,7 +271,8 @@ def read_archives(manifest: DataFrame, folder: str, strict: bool = True) -> Data
                 if held:
                     yield batch_of(held)
 
-    return map_arrow(manifest.repartition("path"), run, RECORD)
+    # A given number of partitions, dealt in turn, so that no planner joins the few rows of a manifest in one task.
+    return map_arrow(manifest.repartition(min(max(1, manifest.count()), MOST_READERS)), run, RECORD)
 
 
 # ---------------------------------------------------------------- operator
@@ -303,6 +311,7 @@ def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    remove(spark, folder, at_exit=True)  # the result reads the archives when it is asked for
     manifest = write_archives(to_records(table(spark, sf_dir, "pages")), folder)
     return read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -33,6 +33,23 @@ def test_exact_deduplicate_keeps_columns_and_one_row(odd, none):
     assert sorted(r.kept for r in exact_dedup.decisions(twice).collect()) == [False, True]
 
 
+CLASHING = ["__a", "__c0", "__sha", "__node", "__text", "__maybe", "sha", "n", "id", "row", "maybe", "at", "found", "word", "bits", "node", "key", "keys", "of", "a", "k", "d1", "d2", "u", "root", "a.b", "__id", "_1"]
+
+
+def test_columns_with_clashing_names_are_kept(odd):
+    from pyspark.sql import functions as F
+
+    extra = odd.select("doc_id", "text", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("text"), F.lit("-"))).alias(c) for c in CLASHING])
+    for out in (exact_dedup.deduplicate(extra), simhash.drop_near_duplicates(extra)):
+        assert out.columns == extra.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}:{'-' if r.text is None else r.text}" for r in rows for c in CLASHING)
+    words = bloom.build(odd.where("doc_id > 3"), "text", bloom.size_for(9))
+    out = bloom.flag(extra, "text", words, bloom.size_for(9), "in_it")
+    assert out.columns == [*extra.columns, "in_it"] and out.count() == 11 and all(r["sha"].startswith("sha:") for r in out.collect())
+    assert exact_dedup.decisions(extra).count() == 11
+
+
 def test_bloom_never_misses(spark):
     keys = spark.range(3000).selectExpr("CAST(id % 1000 AS STRING) AS k")
     bits = bloom.size_for(3000)

@@ -16,7 +16,7 @@ from spanguard.llm.common import shared_dir
 
 @pytest.fixture(scope="module")
 def pages(spark):
-    rows = [(1, "http://a/\r\nx", "<p>one</p>", 1), (2, "http://b/", "<p>one</p>", 2), (3, None, None, 3), (4, "u", "", 4), (None, "u", "<p>one</p>", 5), (None, "u", "unique é", 6), (5, "u", "x" * 3_000_000, 7), (1, "http://a/", "<p>one</p>", 8), (6, "u", "other", 9)]
+    rows = [(1, "http://a/\r\nx%20 ", "<p>one</p>", 1), (2, "http://b/", "<p>one</p>", 2), (3, None, None, 3), (4, "u", "", 4), (None, "u", "<p>one</p>", 5), (None, "u", "unique é", 6), (5, "u", "x" * 3_000_000, 7), (1, "http://a/", "<p>one</p>", 8), (6, "u", "other", 9)]
     return spark.createDataFrame(rows, "page_id long, url string, html string, payload int")
 
 
@@ -36,6 +36,7 @@ def test_round_trip(spark, pages, size):
     kinds = sorted((r.page_id or -1, r.record_type, r.refers_to or -1, r.payload_bytes) for r in got if r.payload_digest == digest("<p>one</p>"))
     assert kinds == [(-1, "revisit", 1, 10), (1, "response", -1, 10), (1, "response", -1, 10), (2, "revisit", 1, 10)]
     assert sorted((r.page_id, r.record_type, r.refers_to) for r in got if r.payload_bytes == 0) == [(3, "response", None), (4, "revisit", 3)]
+    assert sorted(str(r.url) for r in got) == sorted(str(r.url) for r in pages.collect())
     for r in got:
         if r.record_type == "response":
             assert digest(bytes(r.payload).decode()) == r.payload_digest and len(r.payload) == r.payload_bytes
@@ -46,6 +47,12 @@ def test_least_bytes_and_empty_tables(spark, pages):
     assert through(spark, warc.to_records(pages.where("1 = 0"))).count() == 0
 
 
+def test_archives_are_read_by_as_many_tasks(spark, pages):
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    manifest = warc.write_archives(warc.to_records(pages).repartition(5, "page_id", "url"), folder, archive_bytes=1)
+    assert warc.read_archives(manifest, folder).rdd.getNumPartitions() == manifest.count() > 4
+
+
 def archive(records):
     out = io.BytesIO()
     out.close = lambda: None
