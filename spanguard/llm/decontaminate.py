@@ -312,8 +312,8 @@ def _verify(index: ItemIndex, found: dict, row: int, i: int, first: int, context
 
 # ---------------------------------------------------------------- operators
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list[str | None]]]:
-    """Ids and texts of the items, in blocks of bounded size."""
-    rows = items.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
+    """Ids and texts of the different items, in blocks of bounded size."""
+    rows = items.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).distinct()
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     for b in range(blocks):
@@ -340,7 +340,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     Words are lower-cased runs of letters and digits. An item of L words is found where some run of a text's
     words is within floor(L * (1 - similarity)) word edits of it; items under five words have to match
-    exactly. None is missed at a similarity of 0.75 or more. Null or empty texts and items without words match nothing; repeated rows are each reported.
+    exactly. None is missed at a similarity of 0.75 or more. Null or empty texts and
+    items without words match nothing; rows of docs that repeat are each reported, items that repeat id and text
+    once; empty tables give no rows; other columns aren't read.
     """
     out = None
     schema = T.StructType([docs.schema[id_col], T.StructField(item_id, items.schema[item_id].dataType), *(T.StructField(c, T.LongType()) for c in ("edits", "item_words")), T.StructField("similarity", T.DoubleType()), *(T.StructField(c, T.LongType()) for c in ("start_word", "end_word"))])
@@ -367,8 +369,13 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8) -> DataFrame:
-    """docs without the rows in which leaks() finds an item; all columns, no shuffle."""
-    for _, texts in _blocks(items, item_id, item_text):
+    """docs without the rows in which leaks() finds an item; all columns, whatever their names, no shuffle.
+
+    Null and empty texts stay, repeated rows stay or go together, an empty table gives no rows; without items, or
+    with none that has words, all rows stay.
+    """
+    texts = items.select(F.lit(0).alias("i"), F.col(f"`{item_text}`").alias("t"))
+    for _, texts in _blocks(texts, "i", "t"):
         shared = docs.sparkSession.sparkContext.broadcast(texts)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,8 @@ from .words import Words, mix, split_words
 #: Weights of a language; about so many texts of each language are drawn for training, and each sequence of
 #: training has so many words, in runs of RUN words on average; steps of training.
 TABLE_BITS, SAMPLE, SEQUENCE, RUN, STEPS = 18, 150, 48, 12, 40
+#: More bounds of the training sample: languages, and bytes of a text.
+MOST_LANGUAGES, SAMPLE_TEXT_BYTES = 256, 1 << 16
 BLOCK = 32
 _MASK = np.uint64((1 << TABLE_BITS) - 1)
 
@@ -225,18 +227,22 @@ def fit(texts: list[str], langs: list[str], seed: int = 5, steps: int = STEPS) -
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Crf:
     """Fit on a bounded sample: about `sample` texts of each language, drawn by a hash of the id.
 
-    Rows whose language or text is null aren't used.
+    The MOST_LANGUAGES languages with most rows are learned. Rows whose language or text is null, and texts of
+    over SAMPLE_TEXT_BYTES, aren't used; of rows that repeat id and language, the one with the smallest text is.
     """
-    known = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{lang_col}`").alias("__lang"), F.col(f"`{text_col}`").alias("__text")).where("__lang IS NOT NULL AND __text IS NOT NULL")
-    count = {r["__lang"]: r["n"] for r in known.groupBy("__lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    text = F.col(f"`{text_col}`")
+    known = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), text.alias("text")).where(F.col("lang").isNotNull() & (F.octet_length(text) <= SAMPLE_TEXT_BYTES))
+    most = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    count = {r["lang"]: r["n"] for r in most.collect()}
     if not count:
         return Crf([], np.zeros((1 << TABLE_BITS, 0), np.float32), np.zeros((0, 0)))
     share = F.lit(0.0)
     for lang, n in count.items():
-        share = F.when(F.col("__lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
-    rows = known.where(F.pmod(F.xxhash64("__id", F.lit(9)), F.lit(1_000_000)) < share * 1_000_000).collect()
-    rows.sort(key=lambda r: (r["__id"] is None, r["__id"], r["__lang"], r["__text"]))
-    return fit([r["__text"] for r in rows], [r["__lang"] for r in rows])
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
+    drawn = known.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1_000_000)) < share * 1_000_000)
+    rows = drawn.groupBy("id", "lang").agg(F.min("text").alias("text")).collect()  # bounded by the sample
+    rows.sort(key=lambda r: (r["id"] is None, r["id"], r["lang"]))
+    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 def _has_letter(text: str | None) -> bool:

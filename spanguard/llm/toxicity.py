@@ -18,14 +18,14 @@ from pyspark.sql import types as T
 from .common import as_column, map_arrow, parts, table, text_slices
 from .words import split_words
 
-#: Bound of the training sample: about so many labelled rows with each combination of labels; folds; the
-#: words that a model keeps at most.
-SAMPLE, FOLDS, MOST_WORDS = 1500, 5, 1500
-#: Rows and share of the rows that a word has to occur in, so that a few copies of one text don't make
-#: features; standard deviations by which its share of positives has to differ from chance.
-LEAST_ROWS, LEAST_SHARE, LEAST_SCORE = 4, 0.01, 5.0
-#: Probability from which a row counts as positive.
-THRESHOLD = 0.5
+#: Bounds of the training sample: about so many labelled rows with each combination of labels, of texts of so
+#: many bytes at most; folds; the words that a model keeps at most.
+SAMPLE, SAMPLE_TEXT_BYTES, FOLDS, MOST_WORDS = 3000, 1 << 16, 5, 1500
+#: Different texts of the sample that a word has to occur in to be a feature; standard deviations by which its
+#: share of positives has to differ from chance.
+LEAST_ROWS, LEAST_SCORE = 4, 5.0
+#: Probability from which a row counts as positive; held-out rows without the label hardly come near it.
+THRESHOLD = 0.3
 
 
 def presence(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +68,7 @@ def fit_linear(n: int, row: np.ndarray, word: np.ndarray, earlier: np.ndarray, y
     pos = np.bincount(at, weights=y[row], minlength=found.size)
     p = y.mean() if n else 0.0
     score = np.abs(pos - df * p) / np.sqrt(np.maximum(df * p * (1 - p), 1e-9))
-    score[df < max(LEAST_ROWS, LEAST_SHARE * n)] = 0
+    score[df < LEAST_ROWS] = 0
     best = np.argsort(-score, kind="stable")[:MOST_WORDS]
     best = np.sort(best[score[best] > LEAST_SCORE])
     place = np.full(found.size, -1)
@@ -128,24 +128,31 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col
 
     categories: name -> SQL condition over labels, in the order of the chain. Of each combination of
     conditions about `sample` rows are drawn by a hash of the id, or all if there are fewer; weights restore
-    their shares. Rows with null ids, texts or labels aren't used; no labels at all give probability one half.
+    their shares. Rows with null ids, texts or labels, and texts of over SAMPLE_TEXT_BYTES, aren't used; of rows
+    that repeat an id or a text the one with the smallest labels is. No labels at all give probability one half.
     """
     names = list(categories)
-    flags = labels.select(F.col(f"`{id_col}`").alias("__id"), *(F.expr(c).cast("int").alias(f"__y{i}") for i, c in enumerate(categories.values()))).dropna()
-    ys = [f"__y{i}" for i in range(len(names))]
+    ys = [f"y{i}" for i in range(len(names))]
+    flags = labels.select(F.col(f"`{id_col}`").alias("id"), *(F.expr(c).cast("int").alias(y) for y, c in zip(ys, categories.values()))).dropna()
     cells = {tuple(r[y] for y in ys): r["n"] for r in flags.groupBy(*ys).agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0.0)
     for cell, n in cells.items():
         share = F.when(F.concat_ws(",", *ys) == ",".join(map(str, cell)), F.lit(min(1.0, sample / n))).otherwise(share)
-    drawn = flags.withColumn("__share", share).where(F.pmod(F.xxhash64("__id", F.lit(3)), F.lit(1_000_000)) < F.col("__share") * 1_000_000)
-    texts = docs.select(F.col(f"`{id_col}`").alias("__doc"), F.col(f"`{text_col}`").alias("__text")).where(F.col("__text").isNotNull())
-    rows = texts.join(F.broadcast(drawn), F.col("__doc") == F.col("__id")).select("__id", "__text", "__share", *ys).collect()  # bounded by the sample
-    rows = sorted({r["__text"]: r for r in rows}.values(), key=lambda r: (r["__id"], r["__text"]))  # copies count once
+    drawn = flags.withColumn("share", share).where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    drawn = drawn.groupBy("id").agg(F.min(F.struct(*ys, "share")).alias("row"))  # a row for each id, so bounded
+    text = F.col(f"`{text_col}`")
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc"), text.alias("text")).where(F.octet_length(text) <= SAMPLE_TEXT_BYTES)
+    found = texts.join(F.broadcast(drawn), F.col("doc") == F.col("id")).groupBy("id").agg(F.min(F.struct("row", "text")).alias("one"))
+    rows = found.select("id", "one.row.*", "one.text").collect()  # bounded by the sample
+    first: dict = {}
+    for r in sorted(rows, key=lambda r: (r["text"], *(r[y] for y in ys), r["id"])):
+        first.setdefault(r["text"], r)  # copies count once
+    rows = sorted(first.values(), key=lambda r: (r["id"], r["text"]))
     if not rows:
         none = Linear(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 0.0)
         return Chain(names, [Linear(none.words, none.weights, np.zeros(i), 0.0) for i in range(len(names))])
     y = np.array([[r[c] for c in ys] for r in rows])
-    return fit_chain([r["__text"] for r in rows], y, np.array([1 / r["__share"] for r in rows]), names)
+    return fit_chain([r["text"] for r in rows], y, np.array([1 / r["share"] for r in rows]), names)
 
 
 def score(docs: DataFrame, chain: Chain, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -163,7 +170,11 @@ def score(docs: DataFrame, chain: Chain, keep: list[str], text_col: str = "text"
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that score threshold or more in the category; all columns, no shuffle."""
+    """docs without the rows that score threshold or more in the category; all columns, no shuffle.
+
+    Null and empty texts are scored by the bias alone; repeated rows stay or go together; an empty table gives no
+    rows; other columns may have any names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     k = chain.categories.index(category)
 

@@ -51,7 +51,8 @@ def word_mask(raw: np.ndarray) -> np.ndarray:
             mask[lead] = mask[lead + 1] = False
         lead = np.flatnonzero(raw[:-2] == 0xE2)
         if lead.size:
-            lead = lead[(raw[lead + 1] == 0x80) | (raw[lead + 1] == 0x81)]
+            second, third = raw[lead + 1], raw[lead + 2]
+            lead = lead[(second == 0x80) | (second == 0x81) & (third != 0xB1) & (third != 0xBF)]  # not the letters U+2071, U+207F
             mask[lead] = mask[lead + 1] = mask[lead + 2] = False
     return mask
 

@@ -28,6 +28,7 @@ def test_words_equal_a_regex():
                 found[first + r].append(w.raw[s:e].tobytes().decode())
         assert found == [re.findall(r"[^\W_]+", t.lower()) for t in texts]
     assert split_words(*list(text_slices(pa.array(["ab", "cd"])))[0][2:]).row.tolist() == [0, 1]
+    assert [split_words(*list(text_slices(pa.array([t])))[0][2:]).start.size for t in ("\u2071", "\u207f", "\u2074", "\u201c", "xⁿ")] == [1, 1, 0, 0, 1]
 
 
 # ---------------------------------------------------------------- secrets
@@ -189,13 +190,65 @@ def test_chain_on_held_out_rows():
     assert chain.models[1].chain.shape == (1,)
 
 
+def test_later_models_see_predictions_of_models_that_had_not_seen_the_row():
+    texts, y = toy(200, 4)
+    texts[::7] = ["w1 w2"] * len(texts[::7])
+    weight = np.linspace(1, 3, 200)
+    chain = toxicity.fit_chain(texts, y, weight, ["low", "toxic"], folds=4)
+    odds = np.zeros(200)
+    for f in range(4):  # by texts of each fold, from the start
+        others, own = [i for i in range(200) if i % 4 != f], [i for i in range(200) if i % 4 == f]
+        row, word = toxicity.presence(pa.array([texts[i] for i in others]))
+        model = toxicity.fit_linear(len(others), row, word, np.zeros((len(others), 0)), y[others, 0].astype(float), weight[others])
+        known = dict(zip(model.words.tolist(), model.weights))
+        for i in own:
+            _, words = toxicity.presence(pa.array([texts[i]]))
+            odds[i] = model.bias + sum(known.get(x, 0.0) for x in words.tolist())
+    row, word = toxicity.presence(pa.array(texts))
+    want = toxicity.fit_linear(200, row, word, np.clip(odds, -30, 30)[:, None], y[:, 1].astype(float), weight)
+    got = chain.models[1]
+    assert np.array_equal(got.words, want.words) and np.allclose(got.weights, want.weights, atol=1e-6) and np.allclose(got.chain, want.chain, atol=1e-6)
+    first = chain.models[0].log_odds(200, row, word, np.zeros((200, 0)))
+    seen = toxicity.fit_linear(200, row, word, np.clip(first, -30, 30)[:, None], y[:, 1].astype(float), weight)
+    assert not np.allclose(got.chain, seen.chain, atol=1e-3)
+
+
+def test_probabilities_equal_a_plain_sum():
+    texts, y = toy(150, 5)
+    chain = toxicity.fit_chain(texts, y, np.ones(150), ["low", "toxic"])
+    for t, p in zip(texts[:20], chain.probabilities(pa.array(texts[:20]))):
+        odds = []
+        for model in chain.models:
+            known = dict(zip(model.words.tolist(), model.weights))
+            z = model.bias + sum(known.get(x, 0.0) for x in set(toxicity.presence(pa.array([t]))[1].tolist())) + sum(a * b for a, b in zip(odds, model.chain))
+            odds.append(min(30, max(-30, z)))
+        assert np.allclose(p, [1 / (1 + np.exp(-z)) for z in odds])
+
+
+def test_ties_and_repeated_labels_give_one_model(spark):
+    texts, y = toy(60, 6)
+    docs = [(i, t) for i, t in enumerate(texts)] + [(i + 100, t) for i, t in enumerate(texts)] + [(0, texts[0]), (0, "other words")]
+    labels = [(i, 1 - int(a), int(b)) for i, (a, b) in enumerate(y)] + [(i + 100, int(a), 1 - int(b)) for i, (a, b) in enumerate(y[:20])] + [(0, 1, 1), (0, 0, 0)]
+    models = []
+    for seed in (1, 2, 3):
+        rnd = random.Random(seed)
+        d, lab = spark.createDataFrame(rnd.sample(docs, len(docs)), "doc_id long, text string"), spark.createDataFrame(rnd.sample(labels, len(labels)), "doc_id long, quality int, toxic int")
+        chain = toxicity.train(d.repartition(seed + 1), lab.repartition(seed), toxicity.CATEGORIES)
+        models.append([(m.words.tolist(), np.round(m.weights, 9).tolist(), m.bias) for m in chain.models])
+    assert models[0] == models[1] == models[2]
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (8, 0, 1), (None, 1, 1), (2, None, 1)], "doc_id long, quality int, toxic int")
     for docs, lab in ((odd, labels), (odd, labels.where("1 = 0")), (none, labels)):
         chain = toxicity.train(docs, lab, toxicity.CATEGORIES)
         out = toxicity.score(odd, chain, ["doc_id"])
         assert out.count() == 11 and all(0 <= r.p_toxic <= 1 for r in out.collect())
-    assert toxicity.drop_toxic(none, chain).columns == none.columns
+    assert toxicity.drop_toxic(none, chain).columns == none.columns and toxicity.score(none, chain, ["doc_id"]).count() == 0
+    clash = odd.withColumnsRenamed({"key": "y0", "node": "share", "word": "id"})
+    out = toxicity.drop_toxic(clash, toxicity.train(clash, labels, toxicity.CATEGORIES))
+    assert out.columns == clash.columns and out.count() <= 11
+    assert language.predict(odd.withColumnRenamed("key", "lang_pred"), language.train(odd.withColumnRenamed("key", "share")), ["doc_id", "lang"]).count() == 11
 
 
 # ---------------------------------------------------------------- licences
@@ -371,6 +424,22 @@ def test_leaks_of_odd_rows(spark, odd, none):
 
 
 # ---------------------------------------------------------------- pipeline
+def test_pipeline_stages_of_odd_rows(odd, none, spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1, 0), (8, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "lorem ipsum dolor sit amet")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for given in (odd, none):
+        docs = given.withColumnsRenamed({"key": "row", "node": "d1", "word": "maybe"})
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            docs.write.parquet(f"{tmp_path}/{id(given)}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{id(given)}-{name}")
+            assert docs.columns == ["doc_id", "text", "lang", "row", "d1", "maybe"], name
+        out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == docs.count()
+
+
 def test_pipeline_runs_whole(spark):
     import corpus_pipeline
 
