@@ -129,7 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col
     categories: name -> SQL condition over labels, in the order of the chain. Of each combination of
     conditions about `sample` rows are drawn by a hash of the id, or all if there are fewer; weights restore
     their shares. Rows with null ids, texts or labels, and texts of over SAMPLE_TEXT_BYTES, aren't used; of rows
-    that repeat an id or a text the one with the smallest labels is. No labels at all give probability one half.
+    that repeat an id or a text the one with the smallest labels is. Without any, nothing is learned and all
+    probabilities are next to zero.
     """
     names = list(categories)
     ys = [f"y{i}" for i in range(len(names))]
@@ -149,8 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col
         first.setdefault(r["text"], r)  # copies count once
     rows = sorted(first.values(), key=lambda r: (r["id"], r["text"]))
     if not rows:
-        none = Linear(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 0.0)
-        return Chain(names, [Linear(none.words, none.weights, np.zeros(i), 0.0) for i in range(len(names))])
+        return Chain(names, [Linear(np.zeros(0, np.uint64), np.zeros(0), np.zeros(i), -30.0) for i in range(len(names))])
     y = np.array([[r[c] for c in ys] for r in rows])
     return fit_chain([r["text"] for r in rows], y, np.array([1 / r["share"] for r in rows]), names)
 

@@ -244,6 +244,8 @@ def test_toxicity_of_odd_rows(spark, odd, none):
         chain = toxicity.train(docs, lab, toxicity.CATEGORIES)
         out = toxicity.score(odd, chain, ["doc_id"])
         assert out.count() == 11 and all(0 <= r.p_toxic <= 1 for r in out.collect())
+        if docs is none or lab is not labels:  # nothing to learn from, nothing is dropped
+            assert toxicity.drop_toxic(odd, chain).count() == 11
     assert toxicity.drop_toxic(none, chain).columns == none.columns and toxicity.score(none, chain, ["doc_id"]).count() == 0
     clash = odd.withColumnsRenamed({"key": "y0", "node": "share", "word": "id"})
     out = toxicity.drop_toxic(clash, toxicity.train(clash, labels, toxicity.CATEGORIES))
