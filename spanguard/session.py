@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +23,13 @@ def builder(app: str = "spanguard") -> SparkSession.Builder:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset, as in tests."""
+    """spark.checkpoint.dir; on a local master, as in tests, a folder of its own where that is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanguard-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is unset; a cluster needs a folder there that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanguard-"))
     return sc.getCheckpointDir()
 
 
