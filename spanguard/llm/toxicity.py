@@ -20,7 +20,7 @@ from .words import split_words
 
 #: Bounds of the training sample: about so many labelled rows with each combination of labels, of texts of so
 #: many bytes at most; folds; the words that a model keeps at most.
-SAMPLE, SAMPLE_TEXT_BYTES, FOLDS, MOST_WORDS = 3000, 1 << 16, 5, 1500
+SAMPLE, SAMPLE_TEXT_BYTES, FOLDS, MOST_WORDS = 1500, 1 << 16, 5, 1500
 #: Different texts of the sample that a word has to occur in to be a feature; standard deviations by which its
 #: share of positives has to differ from chance.
 LEAST_ROWS, LEAST_SCORE = 4, 5.0
