@@ -7,12 +7,21 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Pattern:
-    """label, regular expression, literals of which a text must hold one (empty: no such test), validator."""
+    """label, regular expression, literals and simpler expressions of which a text must hold one, validator.
+
+    Without literals and simpler expressions every text is searched.
+    """
 
     label: str
     regex: str
     needs: tuple[str, ...] = ()
     validator: str | None = None
+    guards: tuple[str, ...] = ()
+
+
+#: What numbers in groups hold, as a test that is faster than their patterns.
+_GROUPED = ("[0-9]{3}[)]?[-. \\t\\n\\x0B\\f\\r]",)
+_FOUR = ("[0-9]{4}[- \\t\\n\\x0B\\f\\r]?[0-9]{4}",)
 
 
 # Labels and patterns of the universal catalogue, in priority order.
@@ -25,11 +34,11 @@ UNIVERSAL = (
     Pattern("AWS_SECRET_KEY", r"""(?i)aws.{0,20}secret.{0,10}[=:\s]['"]?([A-Za-z0-9/+]{40})""", ("aws", "AWS", "Aws", "aWs", "awS", "AWs", "AwS", "aWS")),
     Pattern("AWS_ACCESS_KEY", r"AKIA[0-9A-Z]{16}", ("AKIA",)),
     Pattern("OPENAI_API_KEY", r"sk-[A-Za-z0-9]{20,100}", ("sk-",)),
-    Pattern("IP_V6", r"(?<![:\w])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![:\w])|(?<![:\w])(?:[0-9a-fA-F]{1,4}:){1,7}:[0-9a-fA-F:]*(?![:\w])|(?<![:\w])::[0-9a-fA-F:]*(?![:\w])", (":",), "ipv6"),
-    Pattern("IP_V4", r"(?<!\d)(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)(?!\d)", (".",)),
-    Pattern("CREDIT_CARD", r"(?<!\d)(?:4\d{3}|5[1-5]\d{2}|3[47]\d{2}|6011|65\d{2})[\s\-]?\d{4}[\s\-]?\d{4}[\s\-]?\d{4}(?:\d{3})?(?!\d)", (), "luhn"),
-    Pattern("SSN", r"(?<!\d)(?!000|666|9\d\d)\d{3}[-\s](?!00)\d{2}[-\s](?!0000)\d{4}(?!\d)"),
-    Pattern("PHONE", r"(?:\+1[\s\-.]?)?\(?\d{3}\)?[\s\-.](?:\d{3})[\s\-.](\d{4})"),
+    Pattern("IP_V6", r"(?<![:\w])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![:\w])|(?<![:\w])(?:[0-9a-fA-F]{1,4}:){1,7}:[0-9a-fA-F:]*(?![:\w])|(?<![:\w])::[0-9a-fA-F:]*(?![:\w])", ("::",), "ipv6", ("[0-9a-fA-F]:[0-9a-fA-F]{1,4}:",)),
+    Pattern("IP_V4", r"(?<!\d)(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)(?!\d)", (), None, ("[0-9][.][0-9]",)),
+    Pattern("CREDIT_CARD", r"(?<!\d)(?:4\d{3}|5[1-5]\d{2}|3[47]\d{2}|6011|65\d{2})[\s\-]?\d{4}[\s\-]?\d{4}[\s\-]?\d{4}(?:\d{3})?(?!\d)", (), "luhn", _FOUR),
+    Pattern("SSN", r"(?<!\d)(?!000|666|9\d\d)\d{3}[-\s](?!00)\d{2}[-\s](?!0000)\d{4}(?!\d)", (), None, _GROUPED),
+    Pattern("PHONE", r"(?:\+1[\s\-.]?)?\(?\d{3}\)?[\s\-.](?:\d{3})[\s\-.](\d{4})", (), None, _GROUPED),
     Pattern("EMAIL", r"(?i)[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}", ("@",)),
 )
 

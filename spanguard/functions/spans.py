@@ -18,43 +18,122 @@ def empty() -> Column:
     return F.expr(NONE)
 
 
-def _located(gaps: Column, hits: Column, entity: Column, confidence: float = 1.0, tier: int = 1) -> Column:
-    """Spans of the hits, given the texts between them (one more than hits)."""
-    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), F.length(g).alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), empty().alias("out"))
+def once(value: Column) -> Column:
+    """The same value, evaluated once for each row.
+
+    A filter above a projection is pushed below it with a copy of what it tests, and exploding an array adds such
+    a filter; an expression that isn't deterministic stays where it is.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
+#: Hits, or spans, that a fold handles at once; longer arrays are handled in runs of so many, so that the time
+#: grows with the length and not with its square.
+RUN = 256
+
+
+def _runs(items: Column, of: Callable[[Column], Column]) -> Column:
+    """of() applied to each run of RUN items."""
+    last = F.floor((F.size(items) - 1) / RUN).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: of(F.slice(items, i * RUN + 1, F.lit(RUN))))
+
+
+PAIR = "struct<hit:string,gap:int,entity:string,first:boolean>"
+
+
+def paired(text: Column, matched: Column, pattern: str, entity: Column) -> Column:
+    """array of (hit, length of the text before it, entity, whether it is the first): matched are all hits of pattern."""
+    gaps = F.split(text, pattern, -1)
+    pairs = F.zip_with(matched, F.slice(gaps, F.lit(1), F.size(matched)), lambda h, g: F.struct(h.alias("hit"), F.length(g).alias("gap")))
+    full = F.transform(pairs, lambda x, i: F.struct(x["hit"].alias("hit"), x["gap"].alias("gap"), entity.alias("entity"), (i == 0).alias("first")))
+    return F.when(F.coalesce(F.size(matched), F.lit(0)) > 0, full).otherwise(F.expr(f"CAST(array() AS array<{PAIR}>)"))
+
+
+def located(pairs: Column, confidence: float = 1.0, tier: int = 1) -> Column:
+    """Spans of paired() hits, of one pattern or of several one after the other. pairs should be a plain column."""
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
+        fresh = acc["fresh"] | x["first"]
+        begin = F.when(x["first"], x["gap"]).otherwise(acc["at"] + x["gap"])
         end = begin + F.length(x["hit"])
-        span = F.struct(begin.alias("start"), end.alias("end"), entity.alias("entity"), F.lit(float(confidence)).alias("confidence"), F.lit(tier).alias("tier"), x["hit"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        span = F.struct(begin.alias("start"), end.alias("end"), x["entity"].alias("entity"), F.lit(float(confidence)).alias("confidence"), F.lit(tier).alias("tier"), x["hit"].alias("text"))
+        # `moves` are spans before the run's first new pattern: they go on from where the run before ended.
+        return F.struct(end.alias("at"), fresh.alias("fresh"), F.when(fresh, acc["moves"]).otherwise(F.concat(acc["moves"], F.array(span))).alias("moves"), F.when(fresh, F.concat(acc["stays"], F.array(span))).otherwise(acc["stays"]).alias("stays"))
+
+    def of(run: Column) -> Column:
+        return F.aggregate(run, F.struct(F.lit(0).alias("at"), F.lit(False).alias("fresh"), empty().alias("moves"), empty().alias("stays")), step)
+
+    def joined(acc: Column, run: Column) -> Column:
+        moved = F.transform(run["moves"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), (x["end"] + acc["at"]).alias("end"), x["entity"].alias("entity"), x["confidence"].alias("confidence"), x["tier"].alias("tier"), x["text"].alias("text")))
+        at = F.when(run["fresh"], run["at"]).otherwise(acc["at"] + run["at"])
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(F.concat(moved, run["stays"]))).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"CAST(array() AS array<array<{SPAN}>>)").alias("out"))
+    every = F.flatten(F.aggregate(_runs(pairs, of), start, joined, lambda acc: acc["out"]))
+    return F.when(F.size(pairs) > 0, every).otherwise(empty())
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
+def hits(text: Column, pattern: Pattern) -> Column:
+    """All matches of a pattern; texts without what it needs aren't searched."""
+    found = F.regexp_extract_all(text, F.lit(pattern.regex), 0)
+    tests = [text.contains(x) for x in pattern.needs] + [text.rlike(x) for x in pattern.guards]
+    if not tests:
+        return found
+    has = tests[0]
+    for t in tests[1:]:
+        has = has | t
+    return F.when(has, found)
 
-def find(text: Column, pattern: Pattern, confidence: float = 1.0, tier: int = 1) -> Column:
-    """All matches of one pattern in the whole text, validated; texts without its literals aren't searched."""
-    hits = F.regexp_extract_all(text, F.lit(pattern.regex), 0)
-    found = _located(F.split(text, pattern.regex, -1), hits, F.lit(pattern.label), confidence, tier)
-    if pattern.validator:
-        found = F.filter(found, lambda s: validators.BY_NAME[pattern.validator](s["text"]))
-    maybe = text.rlike(pattern.regex)
-    for i, literal in enumerate(pattern.needs):
-        test = text.contains(literal)
-        has = test if i == 0 else has | test  # noqa: F821
-    if pattern.needs:
-        maybe = has & maybe
-    return F.when(maybe, found).otherwise(empty())
+
+def valid(found: Column, patterns: tuple[Pattern, ...]) -> Column:
+    """The spans that their pattern's validator lets pass."""
+    checked = [p for p in patterns if p.validator]
+
+    def good(s: Column) -> Column:
+        out = F.when(s["entity"] == checked[0].label, validators.BY_NAME[checked[0].validator](s["text"]))
+        for p in checked[1:]:
+            out = out.when(s["entity"] == p.label, validators.BY_NAME[p.validator](s["text"]))
+        return out.otherwise(True)
+
+    return F.filter(found, good) if checked else found
 
 
 def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def _first_wins(spans: Column) -> Column:
+    return F.aggregate(spans, empty(), lambda acc, s: F.when(F.exists(acc, lambda a: overlaps(a, s)), acc).otherwise(F.concat(acc, F.array(s))))
+
+
+def _clusters(spans: Column) -> Column:
+    """The spans with their rank, in groups that don't overlap one another, each in order of rank."""
+    ranked = F.array_sort(F.transform(spans, lambda s, i: F.struct(s["start"].alias("at"), i.alias("rank"), s.alias("s"))))
+    one = f"array<struct<at:int,rank:int,s:{SPAN}>>"
+    none = lambda depth: F.expr("CAST(array() AS " + "array<" * depth + one + ">" * depth + ")")
+    # What is done lies in two levels, so that adding to it copies few items.
+    start = F.struct(none(0).alias("now"), F.lit(0).alias("reach"), none(1).alias("few"), none(2).alias("many"))
+
+    def step(acc: Column, x: Column) -> Column:
+        same = (F.size(acc["now"]) > 0) & (x["at"] < acc["reach"])
+        full = F.size(acc["few"]) >= RUN
+        few = F.when(same | (F.size(acc["now"]) == 0), acc["few"]).when(full, F.array(acc["now"])).otherwise(F.concat(acc["few"], F.array(acc["now"])))
+        many = F.when(~same & full, F.concat(acc["many"], F.array(acc["few"]))).otherwise(acc["many"])
+        now = F.when(same, F.concat(acc["now"], F.array(x))).otherwise(F.array(x))
+        reach = F.when(same, F.greatest(acc["reach"], x["s"]["end"])).otherwise(x["s"]["end"])
+        return F.struct(now.alias("now"), reach.alias("reach"), few.alias("few"), many.alias("many"))
+
+    every = F.aggregate(ranked, start, step, lambda acc: F.concat(F.flatten(acc["many"]), acc["few"], F.array(acc["now"])))
+    return F.transform(every, lambda c: F.transform(F.array_sort(F.transform(c, lambda x: F.struct(x["rank"].alias("rank"), x["s"].alias("s")))), lambda x: x["s"]))
+
+
 def first_wins(spans: Column) -> Column:
-    """Take spans in the order given; drop one that overlaps a span taken before. The result is in text order."""
-    taken = F.aggregate(spans, empty(), lambda acc, s: F.when(F.exists(acc, lambda a: overlaps(a, s)), acc).otherwise(F.concat(acc, F.array(s))))
-    return F.array_sort(taken)
+    """Take spans in the order given; drop one that overlaps a span taken before. The result is in text order.
+
+    Longer arrays are first cut where no span reaches over, so that only spans near each other are compared.
+    """
+    groups = F.when(F.size(spans) <= 64, F.array(spans)).otherwise(_clusters(spans))
+    return F.array_sort(F.flatten(F.transform(groups, _first_wins)))
 
 
 def by_confidence(spans: Column) -> Column:
@@ -68,16 +147,28 @@ def outside(spans: Column, zones: Column) -> Column:
     return F.filter(spans, lambda s: F.forall(zones, lambda z: ~overlaps(s, z)))
 
 
-def replace(text: Column, spans: Column, value: Callable[[Column], Column]) -> Column:
-    """text with each span (disjoint, in order) replaced by value(span)."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def replace(text: Column, spans: Column, value: Callable[[Column], Column], gap: Callable[[Column], Column] = lambda x: x) -> Column:
+    """text with each span (disjoint, in order) replaced by value(span), and what lies between by gap(text)."""
+
+    def of(part: Column, run: Column, at: Column) -> Column:
+        """part, a text that begins at `at`, with the spans of a run replaced."""
+
+        def step(acc: Column, s: Column) -> Column:
+            kept = gap(F.substring(part, acc["at"] - at + 1, s["start"] - acc["at"]))
+            return F.struct(s["end"].alias("at"), F.concat(acc["out"], kept, value(s)).alias("out"))
+
+        end = lambda acc: F.concat(acc["out"], gap(F.substring(part, acc["at"] - at + 1, F.length(part))))
+        return F.aggregate(run, F.struct(at.alias("at"), F.lit("").alias("out")), step, end)
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], kept, value(s)).alias("out"))
+    def cut(acc: Column, run: Column) -> Column:
+        stop = F.element_at(run, -1)["end"]
+        piece = F.struct(F.substring(acc["rest"], F.lit(1), stop - acc["at"]).alias("part"), run.alias("run"), acc["at"].alias("at"))
+        return F.struct(stop.alias("at"), F.substring(acc["rest"], stop - acc["at"] + 1, F.length(acc["rest"])).alias("rest"), F.concat(acc["out"], F.array(piece)).alias("out"))
 
-    end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, end))
+    start = F.struct(F.lit(0).alias("at"), text.alias("rest"), F.expr(f"CAST(array() AS array<struct<part:string,run:array<{SPAN}>,at:int>>)").alias("out"))
+    join = lambda acc: F.concat(F.array_join(F.transform(acc["out"], lambda x: of(x["part"], x["run"], x["at"])), ""), gap(acc["rest"]))
+    every = F.aggregate(_runs(spans, lambda run: run), start, cut, join)
+    return F.when(F.size(spans) == 0, gap(text)).otherwise(every)
 
 
 def _quoted(term: Column) -> Column:
@@ -93,7 +184,7 @@ def any_of(terms: Column) -> Column:
 def find_literals(text: Column, terms: Column, entity: Column, confidence: float = 1.0, tier: int = 3) -> Column:
     """All places of the literal terms, longest first, without overlaps."""
     pattern = any_of(terms)
-    found = _located(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), entity, confidence, tier)
+    found = located(paired(text, F.regexp_extract_all(text, pattern, F.lit(0)), pattern, entity), confidence, tier)
     return F.when(F.length(pattern) == 0, empty()).otherwise(found)
 
 

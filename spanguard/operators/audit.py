@@ -24,7 +24,7 @@ def summary(found: DataFrame, by: list[str]) -> DataFrame:
 def turn_detections(turn_rows: DataFrame, rows: DataFrame, conversation: str = "conv_id") -> DataFrame:
     """(conversation, turn_no, n): distinct vault values that occur in the texts of each turn's requests.
 
-    The vault's values of a conversation are searched in one pass over each text, by one pattern.
+    Each text is searched for each of the conversation's values.
     """
     terms = rows.groupBy(F.col(conversation).alias("__c")).agg(F.collect_set("original").alias("__terms"))  # one conversation's vault
     said = turn_rows.where("role = 'user'").join(terms, F.col(conversation) == F.col("__c"))
@@ -32,10 +32,29 @@ def turn_detections(turn_rows: DataFrame, rows: DataFrame, conversation: str = "
     return hits.groupBy(conversation, "turn_no").agg(F.countDistinct("__t").alias("n"))
 
 
+def detection_log(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Detections without the text that was found: keys, entity, start, end, confidence, tier."""
+    return found.select(*keys, "entity", "start", "end", "confidence", "tier")
+
+
+def by_position(original: DataFrame, masked: DataFrame, order: str = "turn", conversation: str = "conv_id") -> DataFrame:
+    """(conversation, position, content, content_masked): the n-th message and the n-th masked one of a conversation."""
+    at = (F.row_number().over(Window.partitionBy(conversation).orderBy(order)) - 1).alias("position")
+    left = original.select(conversation, at, F.col("text").alias("content"))
+    right = masked.select(F.col(conversation).alias("__c"), at.alias("__p"), F.col("text").alias("content_masked"))
+    return left.join(right, (F.col(conversation) == F.col("__c")) & (F.col("position") == F.col("__p")), "left").drop("__c", "__p")
+
+
+def conversation_count(messages: DataFrame, conversation: str = "conv_id") -> DataFrame:
+    return messages.agg(F.countDistinct(conversation).alias("n_conversations"))
+
+
 def vault_view(rows: DataFrame, conversation: str = "conv_id") -> DataFrame:
-    """What the vault shows: type, original, label, surrogate, tier, confidence; doubles by type and surrogate once."""
-    view = rows.select(conversation, F.col("entity").alias("pii_type"), "original", label(F.col("entity")).alias("masked"), "synthetic", "tier", "confidence", percent(F.col("confidence")).alias("percent"))
-    return view.dropDuplicates([conversation, "pii_type", "masked", "synthetic"])
+    """What the vault shows: type, original, label, surrogate, tier, confidence; of rows with the same type, label and
+    surrogate the first by ordinal."""
+    view = F.struct("ordinal", "original", "tier", "confidence")
+    first = rows.groupBy(conversation, "entity", "synthetic").agg(F.min(view).alias("f"))
+    return first.select(conversation, F.col("entity").alias("pii_type"), "f.original", label(F.col("entity")).alias("masked"), "synthetic", "f.tier", "f.confidence", percent(F.col("f.confidence")).alias("percent"))
 
 
 def label(entity: Column) -> Column:
@@ -65,13 +84,8 @@ def naive_mask(text: Column, terms: Column, masks: Column) -> Column:
 def highlight(text: Column, terms: Column, cls: str = "pii") -> Column:
     """HTML in which the terms, longest first and without overlaps, are marked."""
     found = spans.find_literals(text, terms, F.lit(cls))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        kept = html_escape(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]))
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], kept, F.lit(f'<mark class="{cls}">'), html_escape(s["text"]), F.lit("</mark>")).alias("out"))
-
-    return F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], html_escape(F.substring(text, acc["at"] + 1, F.length(text)))))
+    mark = lambda s: F.concat(F.lit(f'<mark class="{cls}">'), html_escape(s["text"]), F.lit("</mark>"))
+    return spans.replace(text, found, mark, html_escape)
 
 
 def html_escape(text: Column) -> Column:
@@ -103,6 +117,17 @@ def query_limit(path: Column) -> Column:
     return F.when(found.rlike(r"^\d+$"), found.try_cast("long"))
 
 
+def eviction_counts(conversations: DataFrame, now: Column, ttl: str, last: str = "last_used") -> DataFrame:
+    """(evicted, kept): how many conversations idle() gives, and the rest."""
+    gone = F.coalesce(F.col(last) <= now - F.expr(f"INTERVAL {ttl}"), F.lit(False))
+    return conversations.agg(F.count_if(gone).alias("evicted"), F.count_if(~gone).alias("kept"))
+
+
+def seconds_to_midnight(ts: Column) -> Column:
+    """Seconds from a time to the next midnight of the session's time zone."""
+    return (F.unix_timestamp(F.date_add(ts.cast("date"), 1).cast("timestamp")) - F.unix_timestamp(ts)).cast("long")
+
+
 def idle(conversations: DataFrame, now: Column, ttl: str, last: str = "last_used") -> DataFrame:
     """Conversations not used for the whole of the time to live."""
     return conversations.where(F.col(last) <= now - F.expr(f"INTERVAL {ttl}"))

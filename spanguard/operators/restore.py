@@ -2,30 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans, tokens
 
 
 def maps(rows: DataFrame, conversation: str = "conv_id") -> DataFrame:
-    """(conversation, token_id_map, display_value_map, synthetic_map), in one shuffle of the vault's rows."""
-    one = lambda key: F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.coalesce(F.col(key), F.lit("")) != "", F.struct(F.col(key).alias("k"), F.col(f"__{key}").alias("v")))))).alias(f"{key}_map")
-    keyed = rows
-    for key in ("token_id", "display_value", "synthetic"):
-        keyed = keyed.withColumn(f"__{key}", F.min("original").over(Window.partitionBy(conversation, key)))
-    return keyed.groupBy(conversation).agg(*[one(k) for k in ("token_id", "display_value", "synthetic")])
+    """(conversation, token_id_map, display_value_map, synthetic_map), in one shuffle of the vault's rows.
+
+    Of originals that share a key, the smallest counts.
+    """
+    keys = ("token_id", "display_value", "synthetic")
+    pair = lambda key: F.when(F.coalesce(F.col(key), F.lit("")) != "", F.struct(F.col(key).alias("k"), F.col("original").alias("v")))
+    lists = rows.groupBy(conversation).agg(*[F.array_sort(F.collect_set(pair(k))).alias(k) for k in keys])
+    # A projection of its own for the sorted arrays, which the filter looks into at each place.
+    first = lambda key: F.filter(key, lambda x, i: (i == 0) | (F.col(key)[F.greatest(i - 1, F.lit(0))]["k"] != x["k"]))
+    return lists.select(conversation, *[F.map_from_entries(first(k)).alias(f"{k}_map") for k in keys])
 
 
 def level(token: Column, by_id: Column, by_display: Column) -> Column:
-    """Which lookup restores a token: 1 the whole token, 2 its id only, 3 its display value, 4 none."""
+    """Which lookup restores a token: 1 the whole token, 2 its id only, 3 its display value, 4 none.
+
+    A token without an id isn't looked up at all.
+    """
     tid, shown = tokens.attribute_id(token), tokens.inner(token)
     via_id, via_display = F.try_element_at(by_id, tid), F.try_element_at(by_display, shown)
-    return F.when((tid != "") & via_id.isNotNull() & (via_id == via_display), 1).when((tid != "") & via_id.isNotNull(), 2).when(via_display.isNotNull(), 3).otherwise(4)
+    return F.when(tid == "", 4).when(via_id.isNotNull() & (via_id == via_display), 1).when(via_id.isNotNull(), 2).when(via_display.isNotNull(), 3).otherwise(4)
 
 
 def _token(token: Column, by_id: Column, by_display: Column) -> Column:
-    return F.coalesce(F.try_element_at(by_id, tokens.attribute_id(token)), F.try_element_at(by_display, tokens.inner(token)), token)
+    tid = tokens.attribute_id(token)
+    known = F.coalesce(F.try_element_at(by_id, tid), F.try_element_at(by_display, tokens.inner(token)))
+    return F.coalesce(F.when(tid != "", known), token)
 
 
 def restore(text: Column, by_id: Column, by_display: Column, by_synthetic: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 # A text with one value of each kind, built from a customer key k and its SHA-256 h.
 TEXTS = (
-    ("EMAIL", "en-US", "'mail user' || k || '@stress-test-corp.com now'"),
+    ("EMAIL", "en-US", "'mail user' || k || '@mail.example.com now'"),
     ("PHONE", "en-US", "'call ' || L(200 + n % 800, 3) || '-' || L(200 + (n * 7) % 800, 3) || '-' || L(1000 + (n * 13) % 9000, 4) || ' ok'"),
     ("SSN", "en-US", "'ssn ' || L(100 + n % 500, 3) || '-' || L(10 + n % 90, 2) || '-' || L(1000 + (n * 11) % 9000, 4) || ' ok'"),
     ("CREDIT_CARD", "en-US", "'card 4111-1111-1111-1111 ok'"),
@@ -68,9 +68,9 @@ def messages_sql(duck: bool) -> str:
     s = "VARCHAR" if duck else "STRING"
     return (
         "SELECT conv_id, turn, role, text || CASE turn % 4 "
-        f"WHEN 0 THEN ' mail user' || CAST(conv_id AS {s}) || '@stress-test-corp.com now' "
+        f"WHEN 0 THEN ' mail user' || CAST(conv_id AS {s}) || '@mail.example.com now' "
         f"WHEN 1 THEN ' call 415-555-' || lpad(CAST(1000 + conv_id % 9000 AS {s}), 4, '0') || ' ok' "
-        f"WHEN 2 THEN ' mail user' || CAST(conv_id AS {s}) || '@stress-test-corp.com host 10.' || CAST(conv_id % 250 AS {s}) || '.3.7 up' "
+        f"WHEN 2 THEN ' mail user' || CAST(conv_id AS {s}) || '@mail.example.com host 10.' || CAST(conv_id % 250 AS {s}) || '.3.7 up' "
         "ELSE '' END AS text FROM conversations"
     )
 

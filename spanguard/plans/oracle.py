@@ -149,7 +149,7 @@ SQL = {
     "mask_documents": f"WITH {detected('documents', 'doc_id')}, " + _masked("documents", "doc_id", "", "'[' || upper(h.entity) || ']'") + " SELECT doc_id, n_spans, sha256(masked) AS masked_sha256 FROM masked WHERE n_spans > 0",
     "mask_messages": f"WITH {_VAULT}, " + _masked("msg", "conv_id, turn", "", "v.synthetic", "JOIN vault v ON v.conv_id = h.conv_id AND v.original = h.hit") + " SELECT conv_id, turn, sha256(masked) AS masked_sha256 FROM masked",
     "restore_roundtrip": f"WITH {_HITS}, n AS (SELECT conv_id, turn, count(*) AS n FROM hits GROUP BY ALL) SELECT m.conv_id, m.turn, f.form, TRUE AS equal, coalesce(n.n, 0) > 0 AS changed FROM msg m LEFT JOIN n ON n.conv_id = m.conv_id AND n.turn = m.turn, (VALUES ('bare'), ('xml')) f(form)",
-    "cascade_levels": f"WITH {_VAULT} SELECT CASE conv_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END::BIGINT AS level, count(*) AS n FROM vault GROUP BY 1",
+    "cascade_levels": f"WITH {_VAULT} SELECT CASE conv_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END::BIGINT AS level, count(*) AS n, count(*) FILTER (conv_id % 5 < 3) AS n_original, count(*) FILTER (conv_id % 5 > 2) AS n_unchanged FROM vault GROUP BY 1",
     "leftmost_longest": (
         "WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, 'the th|the|th|of', 0) AS m, string_split_regex(text, 'the th|the|th|of') AS g FROM conversations) "
         "SELECT conv_id, turn, sha256(array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce(CASE m[i] WHEN 'the' THEN '<1>' WHEN 'the th' THEN '<2>' WHEN 'th' THEN '<3>' WHEN 'of' THEN '<4>' END, '')), '')) AS sha FROM w"
@@ -200,12 +200,13 @@ SQL = {
     "detection_lookup": f"WITH {_HITS} SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS message_id, entity AS entity_type FROM hits WHERE conv_id = 3",
     "ttl_evict": "SELECT user_id FROM events GROUP BY user_id HAVING max(ts) <= TIMESTAMP '2024-01-30 00:00:00'",
     "benchmark_prf": (
-        f"WITH {_FIX}, sample7 AS (SELECT * FROM fix WHERE n % 7 <> 0), {detected('sample7', 'n', locale=True)}, w AS (SELECT DISTINCT n, expected AS entity FROM fix WHERE n % 9 <> 0), h AS (SELECT DISTINCT n, entity FROM hits), "
+        f"WITH {_FIX}, {detected('fix', 'n', locale=True)}, w AS (SELECT DISTINCT n, CASE n % 9 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'NEVER_FOUND' ELSE expected END AS entity FROM fix), h AS (SELECT DISTINCT n, entity FROM hits), "
         "j AS (SELECT coalesce(w.entity, h.entity) AS entity, count(*) FILTER (w.n IS NOT NULL AND h.n IS NOT NULL) AS tp, count(*) FILTER (w.n IS NULL) AS fp, count(*) FILTER (h.n IS NULL) AS fn FROM w FULL JOIN h ON w.n = h.n AND w.entity = h.entity GROUP BY 1), "
         "s AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END AS recall FROM j) "
         "SELECT *, CASE WHEN tp > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM s"
     ),
     "doc_label_audit": f"WITH {detected('documents', 'doc_id')}, h AS (SELECT DISTINCT doc_id FROM hits) SELECT quality, toxic, count(*) AS n, count(h.doc_id) AS n_with FROM documents d JOIN labels l USING (doc_id) LEFT JOIN h USING (doc_id) GROUP BY quality, toxic",
+    "stream_restore": "SELECT conv_id, turn AS response_id, TRUE AS equal FROM conversations",
     "events_tumbling": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS sum_value FROM events GROUP BY 1, 2",
     "events_sliding": "SELECT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(k) AS window_start, event_type, count(*) AS n FROM events, (VALUES (0), (1)) v(k) GROUP BY 1, 2",
     "events_session": "WITH a AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, count(*) AS n FROM b GROUP BY user_id, s",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import spans, tokens, validators
 from ..functions.synth import surrogate
 from ..operators import audit, detect, evaluate, pseudonymize, restore
-from ..session import shared_dir, table
+from ..session import cut, remove_at_exit, shared_dir, table
 from ..sources import chat, sse, store
 from ..streaming import windows
 from . import fixtures
@@ -33,12 +33,35 @@ def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, fixtures.candidates_sql(False), "orders")
 
 
+def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """messages with spans, cut, since both the vault and the texts are made from them."""
+    return cut(detect.detect(messages(spark, sf_dir)))
+
+
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.explode(detect.detect(messages(spark, sf_dir)), ["conv_id", "turn"])
 
 
-def _vault(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize.vault(_found(spark, sf_dir), ["turn", "start"])
+def _vault(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    found = _found(spark, sf_dir) if rows is None else detect.explode(rows, ["conv_id", "turn"])
+    return pseudonymize.vault(found, ["turn", "start"])
+
+
+def run_stream(spark: SparkSession, rows: DataFrame, of, mode: str = "append") -> DataFrame:
+    """What a stream over rows gives: written, read as a stream until it ends, and read again."""
+    from ..streaming.restore import STATE_PROVIDER
+
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
+    rows.write.parquet(f"{folder}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)  # of all streams of the session that keep keyed state
+    out = of(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+    writer = out.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+    else:
+        writer.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out")).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
 # ---------------------------------------------------------------- detection
@@ -157,13 +180,13 @@ def mask_documents(spark, sf_dir):
 
 
 def mask_messages(spark, sf_dir):
-    rows = detect.detect(messages(spark, sf_dir))
-    return pseudonymize.rewrite(rows, _vault(spark, sf_dir), ["conv_id", "turn"], form="bare").select("conv_id", "turn", F.sha2("masked", 256).alias("masked_sha256"))
+    rows = _detected(spark, sf_dir)
+    return pseudonymize.rewrite(rows, _vault(spark, sf_dir, rows), ["conv_id", "turn"], form="bare").select("conv_id", "turn", F.sha2("masked", 256).alias("masked_sha256"))
 
 
 def restore_roundtrip(spark, sf_dir):
-    v = _vault(spark, sf_dir)
-    rows = detect.detect(messages(spark, sf_dir))
+    rows = _detected(spark, sf_dir)
+    v = cut(_vault(spark, sf_dir, rows))
     out = None
     for form in ("bare", "xml"):
         masked = pseudonymize.rewrite(rows, v, ["conv_id", "turn"], form=form)
@@ -173,13 +196,17 @@ def restore_roundtrip(spark, sf_dir):
 
 
 def cascade_levels(spark, sf_dir):
-    v = _vault(spark, sf_dir)
+    """How tokens of five kinds are restored: whole, with another text, another id, both, and without an id."""
+    v = cut(_vault(spark, sf_dir))
     by = restore.maps(v).withColumnRenamed("conv_id", "c")
-    kind = F.col("conv_id") % 4
+    kind = F.col("conv_id") % 5
     tid = F.when(kind == 3, F.lit("????")).when(kind == 2, F.lit("zzzz")).otherwise(F.col("token_id"))
     shown = F.when(kind.isin(1, 3), F.lit("something else")).otherwise(F.col("display_value"))
-    rows = v.select("conv_id", tokens.markup(tid, shown).alias("token")).join(by, F.col("conv_id") == F.col("c"))
-    return rows.groupBy(restore.level(F.col("token"), F.col("token_id_map"), F.col("display_value_map")).cast("long").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    token = F.when(kind == 4, F.concat(F.lit("<pii>"), F.col("display_value"), F.lit("</pii>"))).otherwise(tokens.markup(tid, shown))
+    rows = v.select("conv_id", "original", token.alias("token")).join(by, F.col("conv_id") == F.col("c"))
+    level = restore.level(F.col("token"), F.col("token_id_map"), F.col("display_value_map")).cast("long")
+    back = restore.restore(F.col("token"), F.col("token_id_map"), F.col("display_value_map"), F.create_map().cast("map<string,string>"))
+    return rows.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.count_if(back == F.col("original")).alias("n_original"), F.count_if(back == F.col("token")).alias("n_unchanged"))
 
 
 def leftmost_longest(spark, sf_dir):
@@ -389,10 +416,11 @@ def ttl_evict(spark, sf_dir):
 
 
 def benchmark_prf(spark, sf_dir):
+    """Scores over all rows, against labels of which some were given wrong on purpose."""
     rows = fixture_rows(spark, sf_dir)
-    expected = rows.where("n % 9 <> 0").select("n", F.col("expected").alias("entity"))
-    found = detect.explode(detect.detect(rows.where("n % 7 <> 0"), locale_col="locale"), ["n"]).select("n", "entity")
-    return evaluate.scores(expected, found, ["n"])
+    wrong = F.when(F.col("n") % 9 == 0, F.lit("EMAIL")).when(F.col("n") % 9 == 1, F.lit("NEVER_FOUND")).otherwise(F.col("expected"))
+    found = detect.explode(detect.detect(rows, locale_col="locale"), ["n"]).select("n", "entity")
+    return evaluate.scores(rows.select("n", wrong.alias("entity")), found, ["n"])
 
 
 def doc_label_audit(spark, sf_dir):
@@ -418,20 +446,19 @@ def events_session(spark, sf_dir):
 
 def stream_restore(spark, sf_dir):
     """Masked replies cut into deltas of seven characters, restored by the stateful stream, put together again."""
-    from ..streaming.restore import STATE_PROVIDER, restore_stream
-
-    v = _vault(spark, sf_dir)
-    masked = pseudonymize.rewrite(detect.detect(messages(spark, sf_dir)), v, ["conv_id", "turn"], form="xml")
-    maps = restore.maps(v).select(F.col("conv_id").alias("c"), F.to_json(F.struct(F.col("token_id_map").alias("by_id"), F.col("display_value_map").alias("by_display"), F.col("synthetic_map").alias("by_synthetic"))).alias("vault"))
+    from ..streaming.restore import restore_stream
+
+    rows = _detected(spark, sf_dir)
+    v = cut(_vault(spark, sf_dir, rows))
+    masked = pseudonymize.rewrite(rows, v, ["conv_id", "turn"], form="xml")
+    known = F.to_json(F.struct(F.col("token_id_map").alias("by_id"), F.col("display_value_map").alias("by_display"), F.col("synthetic_map").alias("by_synthetic")))
+    none = lambda kind: F.lit(None).cast(kind)
+    vaults = restore.maps(v).select("conv_id", none("long").alias("response_id"), none("long").alias("seq"), none("string").alias("delta"), none("boolean").alias("end"), known.alias("vault"))
     n = F.ceil(F.greatest(F.length("masked"), F.lit(1)) / 7).cast("int")
-    cut = masked.select("conv_id", F.col("turn").alias("response_id"), "masked", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seq")).join(maps, F.col("conv_id") == F.col("c"), "left")
-    deltas = cut.select("conv_id", "response_id", F.col("seq").cast("long").alias("seq"), F.substring(F.col("masked"), F.col("seq") * 7 + 1, F.lit(7)).alias("delta"), (F.col("seq") == F.col("n") - 1).alias("end"), "vault")
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    deltas.write.parquet(f"{folder}/in")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
-    stream = restore_stream(spark.readStream.schema(deltas.schema).parquet(f"{folder}/in"))
-    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    parts = spark.read.parquet(f"{folder}/out").groupBy("conv_id", "response_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("restored"))
+    pieces = masked.select("conv_id", F.col("turn").cast("long").alias("response_id"), "masked", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    deltas = pieces.select("conv_id", "response_id", F.col("i").cast("long").alias("seq"), F.substring(F.col("masked"), F.col("i") * 7 + 1, F.lit(7)).alias("delta"), (F.col("i") == F.col("n") - 1).alias("end"), none("string").alias("vault"))
+    parts = run_stream(spark, vaults.unionByName(deltas), restore_stream)
+    parts = parts.groupBy("conv_id", "response_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("restored"))
     said = messages(spark, sf_dir).select("conv_id", F.col("turn").alias("response_id"), "text")
     return said.join(parts, ["conv_id", "response_id"], "left").select("conv_id", "response_id", (F.col("restored") == F.col("text")).alias("equal"))
 

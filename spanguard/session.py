@@ -33,5 +33,31 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there, so that nothing above is computed twice."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def remove_at_exit(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in a store that Spark reads when the session's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+#: Tables whose rows hold whole texts, which take far more time to search than to send.
+TEXTS = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if it has fewer partitions than there are: a file of one row group is one task.
+
+    Large tables have more partitions and aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df

@@ -114,6 +114,37 @@ def entries(body: Column, field: str = "messages") -> Column:
     return F.flatten(F.transform(_items(body, f"$.{field}"), of))
 
 
+def _put(item: Column, key: str, value: Column) -> Column:
+    """The JSON of an object with a string put at a key; the object as it is where the string is null."""
+    fields = F.map_filter(F.try_variant_get(item, "$", "map<string,variant>"), lambda k, _: k != key)
+    made = F.to_json(F.map_concat(fields, F.create_map(F.lit(key), value.cast("variant"))))
+    return F.when(value.isNull() | fields.isNull(), F.to_json(item)).otherwise(made)
+
+
+def with_texts(body: Column, texts: Column, field: str = "messages") -> Column:
+    """The body with texts put back where entries() found them: a map from `message` or `message/part` to text."""
+    whole = F.try_parse_json(body)
+    fields = F.map_filter(F.try_variant_get(whole, "$", "map<string,variant>"), lambda k, _: k != field)
+
+    def message(m: Column, i: Column) -> Column:
+        parts = F.try_variant_get(m, "$.content", "array<variant>")
+        of = lambda p, j: _put(p, "text", F.try_element_at(texts, F.concat_ws("/", i.cast("string"), j.cast("string"))))
+        many = F.concat(F.lit("["), F.array_join(F.transform(parts, of), ","), F.lit("]"))
+        others = F.map_filter(F.try_variant_get(m, "$", "map<string,variant>"), lambda k, _: k != "content")
+        held = F.to_json(F.map_concat(others, F.create_map(F.lit("content"), F.try_parse_json(many))))
+        listed = F.coalesce(F.schema_of_variant(F.try_variant_get(m, "$.content", "variant")).startswith("ARRAY"), F.lit(False))
+        return F.when(listed, held).otherwise(_put(m, "content", F.try_element_at(texts, i.cast("string"))))
+
+    items = F.transform(F.try_variant_get(whole, f"$.{field}", "array<variant>"), message)
+    joined = F.try_parse_json(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")))
+    return F.coalesce(F.to_json(F.map_concat(fields, F.create_map(F.lit(field), joined))), body)
+
+
+def with_content_length(headers: Column, body: Column) -> Column:
+    """Header lines with the length of the body, in bytes; names in any case keep theirs, line ends stay."""
+    return F.regexp_replace(headers, r"(?im)^(content-length):[^\r\n]*", F.concat(F.lit("$1: "), F.octet_length(body).cast("string")))
+
+
 # ---------------------------------------------------------------- responses
 def delta(name: Column, event_type: Column, data: Column) -> Column:
     """The text that one server-sent event adds; null if none."""
@@ -147,6 +178,14 @@ def usage(name: Column, event_type: Column, data: Column) -> Column:
     )
 
 
+def response_usage(name: Column, body: Column) -> Column:
+    """struct(tokens_in, tokens_out) of a complete response."""
+    n = lambda *paths: F.coalesce(*[F.get_json_object(body, p) for p in paths]).cast("long")
+    google = F.struct(n("$.usageMetadata.promptTokenCount").alias("tokens_in"), n("$.usageMetadata.candidatesTokenCount").alias("tokens_out"))
+    other = F.struct(n("$.usage.input_tokens", "$.usage.prompt_tokens").alias("tokens_in"), n("$.usage.output_tokens", "$.usage.completion_tokens").alias("tokens_out"))
+    return F.when(name == "google", google).otherwise(other)
+
+
 def response_text(body: Column) -> Column:
     """Text blocks of a complete response, joined; null if it has no content array."""
     return F.when(_items(body, "$.content").isNotNull(), text_parts(_items(body, "$.content")))

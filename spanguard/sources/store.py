@@ -16,9 +16,11 @@ def read_ndjson(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """conversations, messages, vaults, detections of a folder with one NDJSON file per conversation.
 
     The first line of a file is the conversation, other lines are told apart by their type; blank and malformed
-    lines are skipped. Lines keep their order in `line_no`.
+    lines are skipped. Lines keep their order in `line_no`. A file is one row while it is split, so a conversation
+    has to fit in a task's memory.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    lines = whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
     lines = lines.where(F.trim("line") != "")
     first = lines.where(F.col("line_no") == 0)
     rest = lines.where(F.col("line_no") > 0)
@@ -43,6 +45,29 @@ def recent(conversations: DataFrame, limit: int | None = None, most: int = 200,
     return conversations.orderBy(F.col("started_at").desc(), F.col("id")).limit(min(default if limit is None else limit, most))
 
 
+def conversation_by_id(conversations: DataFrame, conversation: str) -> DataFrame:
+    """The conversation of that id, or nothing."""
+    return conversations.where(F.col("id") == conversation).limit(1)
+
+
+def file_of(files: DataFrame, conversation: str, name: str = "file") -> DataFrame:
+    """The file `<time>_<id>.ndjson` of a conversation; the first by name if there are several."""
+    return files.where(F.col(name).endswith(f"_{conversation}.ndjson")).orderBy(name).limit(1)
+
+
+def first_vaults(vaults: DataFrame) -> DataFrame:
+    """The first vault line of each file, and a row for each of its mappings; files without one have none."""
+    first = vaults.groupBy(F.col("file").alias("__f")).agg(F.min("line_no").alias("__n"))
+    found = vaults.join(first, (F.col("file") == F.col("__f")) & (F.col("line_no") == F.col("__n")), "left_semi")
+    return found.select("file", "rng_seed", F.explode("mappings").alias("m")).select("file", "rng_seed", "m.*")
+
+
+def request_counts(conversations: DataFrame, messages: DataFrame) -> DataFrame:
+    """(id, n_requests): messages sent in each conversation, also 0."""
+    sent = messages.where("direction = 'request'").groupBy(F.col("conversation_id").alias("__c")).agg(F.count(F.lit(1)).alias("n_requests"))
+    return conversations.join(sent, F.col("id") == F.col("__c"), "left").select("id", F.coalesce("n_requests", F.lit(0)).cast("long").alias("n_requests"))
+
+
 def messages_of(messages: DataFrame, conversation: str | int) -> DataFrame:
     return messages.where(F.col("conversation_id") == conversation)
 
@@ -78,6 +103,34 @@ def save_vault(rows: DataFrame, path: str, version: int) -> None:
     rows.withColumn("version", F.lit(version)).write.mode("append").parquet(path)
 
 
+def compact_vault(rows: DataFrame, path: str) -> None:
+    """Write the newest version of each conversation's vault, one version in all, to a new path."""
+    newest = rows.groupBy(F.col("conv_id").alias("__c")).agg(F.max("version").alias("__v"))
+    rows.join(newest, (F.col("conv_id") == F.col("__c")) & (F.col("version") == F.col("__v")), "left_semi").write.parquet(path)
+
+
+def write_ndjson(conversations: DataFrame, messages: DataFrame, vaults: DataFrame, detections: DataFrame, path: str) -> None:
+    """Write a text file per conversation: the conversation, its messages in order, its vault, its detections.
+
+    vaults: conversation_id, rng_seed, mappings; detections: conversation_id and the fields of a detection. A
+    partition writes one file, so each conversation is a partition folder of its own.
+    """
+    json = lambda columns, kind=None: F.to_json(F.struct(*([F.lit(kind).alias("type")] if kind else []), *columns))
+    line = lambda df, key, rank, order, text: df.select(F.col(key).alias("conversation"), F.lit(rank).alias("rank"), order.cast("string").alias("at"), text.alias("value"))
+    fields = lambda df, *drop: [c for c in df.columns if c not in drop]
+    lines = line(conversations, "id", 0, F.lit(""), json(conversations.columns))
+    lines = lines.unionByName(line(messages, "conversation_id", 1, F.col("timestamp"), json(messages.columns)))
+    lines = lines.unionByName(line(vaults, "conversation_id", 2, F.lit(""), json(fields(vaults, "conversation_id"), "vault")))
+    lines = lines.unionByName(line(detections, "conversation_id", 3, F.col("message_id"), json(fields(detections, "conversation_id"), "detection")))
+    lines.repartition("conversation").sortWithinPartitions("conversation", "rank", "at").select("conversation", "value").write.partitionBy("conversation").text(path)
+
+
+def rotation_counts(conversations: DataFrame, today: Column, days: int = 0) -> DataFrame:
+    """(kept, removed): how many conversations retain() keeps, and how many it drops."""
+    keep = F.to_date(F.substring("started_at", 1, 10)) >= F.date_sub(today, days)
+    return conversations.agg(F.count_if(keep).alias("kept"), F.count_if(~F.coalesce(keep, F.lit(False))).alias("removed"))
+
+
 def retain(conversations: DataFrame, today: Column, days: int = 0) -> DataFrame:
     """Conversations of the last `days` days and today; 0 keeps today's only."""
     return conversations.where(F.to_date(F.substring("started_at", 1, 10)) >= F.date_sub(today, days))

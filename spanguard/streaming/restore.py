@@ -1,4 +1,4 @@
-"""Restoring originals in streamed responses: a holdback buffer per response, kept as streaming state."""
+"""Restoring originals in streamed responses: the vault and a holdback buffer per response, kept as streaming state."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 _OPEN = "<pii"
 _TOKEN = re.compile(r"(?s)<pii[^>]*>.*?</pii>")
@@ -16,6 +16,8 @@ _ID = re.compile(r'^<pii[^>]*\bid="([^"]*)"')
 _INNER = re.compile(r"(?s)^[^>]*>(.*)</")
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The number in sequence of a response that has ended.
+ENDED = -1
 OUTPUT = "conv_id long, response_id long, seq long, text string"
 
 
@@ -35,7 +37,9 @@ class Restorer:
 
     def _token(self, token: str) -> str:
         tid, shown = _ID.search(token), _INNER.search(token)
-        if tid and tid[1] in self.by_id:
+        if not tid or not tid[1]:
+            return token
+        if tid[1] in self.by_id:
             return self.by_id[tid[1]]
         return self.by_display.get(shown[1] if shown else "", token)
 
@@ -74,48 +78,88 @@ class Restorer:
 
 
 class RestoreProcessor(StatefulProcessor):
-    """State of a response: the held tail, the next number in sequence, and deltas that came too early."""
+    """State of a conversation: its vault, and for each open response the held tail, the next number in sequence,
+    and deltas that came too early. A response's state goes when its end has come, or after `idle` without input."""
+
+    def __init__(self, ttl_ms: int | None, idle_ms: int | None):
+        self.ttl_ms, self.idle_ms = ttl_ms, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", StructType([StructField("tail", StringType()), StructField("next", LongType())]))
-        self.early = handle.getMapState("early", StructType([StructField("seq", LongType())]), StructType([StructField("row", StringType())]))
+        self.handle = handle
+        self.vault = handle.getValueState("vault", StructType([StructField("vault", StringType())]), self.ttl_ms)
+        number = StructType([StructField("response_id", LongType())])
+        self.open = handle.getMapState("open", number, StructType([StructField("tail", StringType()), StructField("next", LongType())]), self.ttl_ms)
+        self.early = handle.getMapState("early", StructType([StructField("response_id", LongType()), StructField("seq", LongType())]), StructType([StructField("delta", StringType()), StructField("end", BooleanType())]), self.ttl_ms)
+
+    def _known(self) -> tuple[dict, dict, dict]:
+        known = json.loads(self.vault.get()[0]) if self.vault.exists() else {}
+        return known.get("by_id", {}), known.get("by_display", {}), known.get("by_synthetic", {})
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator:
         import pandas as pd
 
-        tail, expected = self.tail.get() if self.tail.exists() else ("", 0)
-        waiting = {int(k[0]): json.loads(v[0]) for k, v in self.early.iterator()}
+        new: dict[int, dict[int, tuple[str, bool]]] = {}
         for frame in rows:
             for row in frame.itertuples(index=False):
-                if row.seq >= expected:
-                    waiting.setdefault(int(row.seq), {"delta": row.delta or "", "end": bool(row.end), "vault": row.vault})
-        out = []
-        while expected in waiting:
-            item = waiting.pop(expected)
-            known = json.loads(item["vault"] or "{}")
-            r = Restorer(known.get("by_id", {}), known.get("by_display", {}), known.get("by_synthetic", {}), tail)
-            text = r.feed(item["delta"])
-            if item["end"]:
-                text += r.finish()
-            tail = r.tail
-            out.append((key[0], key[1], expected, text))
-            expected += 1
-        for seq in [int(k[0]) for k in self.early.keys()]:
-            if seq not in waiting:
-                self.early.removeKey((seq,))
-        for seq, item in waiting.items():
-            self.early.updateValue((seq,), (json.dumps(item),))
-        self.tail.update((tail, expected))
+                if isinstance(row.vault, str):
+                    self.vault.update((row.vault,))
+                else:
+                    new.setdefault(int(row.response_id), {}).setdefault(int(row.seq), (row.delta or "", bool(row.end)))
+        for response, seq in [tuple(map(int, k)) for k in self.early.keys()] if self.early.exists() else []:
+            if response in new:
+                held = self.early.getValue((response, seq))
+                new[response].setdefault(seq, (held[0], bool(held[1])))
+                self.early.removeKey((response, seq))
+        out, restorer = [], Restorer(*self._known())  # one for all responses; the tail is what differs
+        for response, waiting in new.items():
+            restorer.tail, expected = self.open.getValue((response,)) if self.open.containsKey((response,)) else ("", 0)
+            expected, ended = int(expected), expected == ENDED
+            while not ended and expected in waiting:
+                delta, ended = waiting.pop(expected)
+                text = restorer.feed(delta)
+                out.append((key[0], response, expected, text + restorer.finish() if ended else text))
+                expected += 1
+            if ended:
+                self.open.updateValue((response,), ("", ENDED)) if self.ttl_ms else self._forget(response)
+                continue
+            self.open.updateValue((response,), (restorer.tail, expected))
+            for seq, (delta, end) in waiting.items():
+                if seq >= expected:
+                    self.early.updateValue((response, seq), (delta, end))
+        if self.idle_ms:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield pd.DataFrame(out, columns=["conv_id", "response_id", "seq", "text"])
+
+    def _forget(self, response: int) -> None:
+        if self.open.containsKey((response,)):
+            self.open.removeKey((response,))
+
+    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator:
+        """What responses without an end still hold, when their time is up."""
+        import pandas as pd
+
+        out, restorer = [], Restorer(*self._known())
+        for (response,) in [tuple(map(int, k)) for k in self.open.keys()]:
+            restorer.tail, expected = self.open.getValue((response,))
+            if expected != ENDED:
+                out.append((key[0], response, int(expected), restorer.finish()))
+                self.open.removeKey((response,))
         yield pd.DataFrame(out, columns=["conv_id", "response_id", "seq", "text"])
 
     def close(self) -> None:
         pass
 
 
-def restore_stream(deltas: DataFrame) -> DataFrame:
+def restore_stream(rows: DataFrame, ttl_ms: int | None = None, idle_ms: int | None = None) -> DataFrame:
     """(conv_id, response_id, seq, text) from a stream of (conv_id, response_id, seq, delta, end, vault).
 
-    vault: JSON of the maps by_id, by_display and by_synthetic of the conversation. Deltas are taken in the
-    order of seq from 0, also across micro-batches. The session has to use STATE_PROVIDER.
+    A row with vault, the JSON of the maps by_id, by_display and by_synthetic, sets the conversation's vault and
+    has no delta; it counts for the deltas of its micro-batch and later ones. Deltas are taken in the order of seq
+    from 0, also across micro-batches; a response ends with its row of end, and its state goes. With ttl_ms, state
+    that isn't touched for so long goes too; with idle_ms, a conversation without rows for so long gives out what
+    its responses hold. The session has to use STATE_PROVIDER.
     """
-    return deltas.groupBy("conv_id", "response_id").transformWithStateInPandas(RestoreProcessor(), OUTPUT, "Append", "None")
+    timed = "ProcessingTime" if ttl_ms or idle_ms else "None"
+    return rows.groupBy("conv_id").transformWithStateInPandas(RestoreProcessor(ttl_ms, idle_ms), OUTPUT, "Append", timed)

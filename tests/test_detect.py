@@ -88,7 +88,7 @@ def test_verdicts_prompt_and_fences(spark):
     df = spark.sql("SELECT array(named_struct('start', 0, 'end', 1, 'entity', 'A', 'confidence', 0.5D, 'tier', 1, 'text', 'x'), named_struct('start', 2, 'end', 3, 'entity', 'B', 'confidence', 0.5D, 'tier', 1, 'text', 'y')) AS s")
     got = df.select(*[F.size(detect.confirmed(F.col("s"), F.lit(v).cast("string"))) for v in ("[1]", "[]", "oops", None, "[7]")], detect.prompt(F.lit("x y"), F.col("s")), detect.without_fence(F.lit("```json\n[0]\n```"))).first()
     assert list(got[:5]) == [1, 0, 2, 2, 0]
-    assert "[1] type=B" in got[5] and got[6] == "[0]"
+    assert "1: B (0.50) y" in got[5] and got[6] == "[0]"
 
 
 @pytest.mark.parametrize(("text", "kind"), [("a@b.io", "email"), ("123-45-6789", "ssn"), ("4111-1111-1111-1111", "credit_card"), ("call 415 555 1234", "phone"), ("Abcdefghij0123456789", "api_key"), ("Alice Brown", "person_name"), ("hm", "other_pii")])
