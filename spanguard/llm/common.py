@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import table as table
+
 #: Bytes of text that one numpy step works on; a single longer text makes a longer step.
 STEP_BYTES = 1 << 20
 #: Rows that Spark sends to a Python worker at a time; whole texts of thousands of rows at once would take
@@ -18,10 +20,6 @@ STEP_BYTES = 1 << 20
 BATCH_ROWS = 1024
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or on a local master one of its own."""
     sc = spark.sparkContext

@@ -1,6 +1,7 @@
 """Secrets, language, toxicity, licences, BPE and decontamination."""
 
 import base64
+import os
 import random
 import re
 import time
@@ -255,7 +256,7 @@ def test_toxicity_of_odd_rows(spark, odd, none):
 
 # ---------------------------------------------------------------- licences
 def test_licenses(spark, odd, none):
-    known = spark.createDataFrame(licenses.known(), "license string, text string")
+    known = licenses.digests_of(spark.createDataFrame(licenses.known(), "license string, text string"))
     mit = next(t for name, t in licenses.known() if name == "MIT")
     rows = [
         (1, "Copyright (c) 2020 Somebody\nAll rights reserved.\n\n" + mit.upper().replace(",", " ;")),
@@ -271,6 +272,24 @@ def test_licenses(spark, odd, none):
         assert re.search("|".join(licenses.ANCHORS), text.lower())
 
 
+def test_licence_files_and_comment_blocks(spark):
+    known = licenses.digests_of(spark.createDataFrame(licenses.known(), "license string, text string")).unionByName(spark.createDataFrame(list(licenses.DIGESTS), "license string, digest string"))
+    apache = [x for x in licenses.known() if x[0] == "Apache-2.0"]
+    head = next(t for _, t in apache if "express or implied" in t)
+    words = head.split()
+    lines = ["# Copyright 2020 Somebody", "#", *("# " + " ".join(words[i : i + 9]) for i in range(0, len(words), 9))]
+    code = "#!/bin/sh\n\n" + "\n".join(lines) + "\n\nimport os\nprint(1)\n"
+    star = "/*\n * " + head.replace(". ", ".\n *\n * ") + "\n */\n\nint main;\n\n\nint x;"
+    rows = [(1, code), (2, star), (3, code.replace("WARRANTIES", "PROMISES"))]
+    got = sorted((r.doc_id, r.scope, r.line_no, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string"), known, ["doc_id"]).collect())
+    assert got == [(1, "block", 2, "Apache-2.0"), (2, "block", 1, "Apache-2.0")]
+    files = [(f, open(f"/usr/share/common-licenses/{f}").read()) for f in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0") if os.path.exists(f"/usr/share/common-licenses/{f}")]
+    if files:
+        changed = [(f, "Copyright (c) 2001 Me\n\n" + t.upper().replace("\n", " \n  ")) for f, t in files]
+        got = licenses.scan(spark.createDataFrame(files + changed, "doc_id string, text string"), known, ["doc_id"]).where("scope = 'text'").collect()
+        assert len(got) == 2 * len(files)
+
+
 # ---------------------------------------------------------------- BPE
 @pytest.fixture(scope="module")
 def codec():
