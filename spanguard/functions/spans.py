@@ -106,25 +106,37 @@ def _first_wins(spans: Column) -> Column:
     return F.aggregate(spans, empty(), lambda acc, s: F.when(F.exists(acc, lambda a: overlaps(a, s)), acc).otherwise(F.concat(acc, F.array(s))))
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value evaluated once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _clusters(spans: Column) -> Column:
-    """The spans with their rank, in groups that don't overlap one another, each in order of rank."""
+    """The spans in groups that don't overlap one another, each in the order given: runs in text order, joined where
+    a span reaches from one into the next."""
     ranked = F.array_sort(F.transform(spans, lambda s, i: F.struct(s["start"].alias("at"), i.alias("rank"), s.alias("s"))))
-    one = f"array<struct<at:int,rank:int,s:{SPAN}>>"
-    none = lambda depth: F.expr("CAST(array() AS " + "array<" * depth + one + ">" * depth + ")")
-    # What is done lies in two levels, so that adding to it copies few items.
-    start = F.struct(none(0).alias("now"), F.lit(0).alias("reach"), none(1).alias("few"), none(2).alias("many"))
 
-    def step(acc: Column, x: Column) -> Column:
-        same = (F.size(acc["now"]) > 0) & (x["at"] < acc["reach"])
-        full = F.size(acc["few"]) >= RUN
-        few = F.when(same | (F.size(acc["now"]) == 0), acc["few"]).when(full, F.array(acc["now"])).otherwise(F.concat(acc["few"], F.array(acc["now"])))
-        many = F.when(~same & full, F.concat(acc["many"], F.array(acc["few"]))).otherwise(acc["many"])
-        now = F.when(same, F.concat(acc["now"], F.array(x))).otherwise(F.array(x))
-        reach = F.when(same, F.greatest(acc["reach"], x["s"]["end"])).otherwise(x["s"]["end"])
-        return F.struct(now.alias("now"), reach.alias("reach"), few.alias("few"), many.alias("many"))
-
-    every = F.aggregate(ranked, start, step, lambda acc: F.concat(F.flatten(acc["many"]), acc["few"], F.array(acc["now"])))
-    return F.transform(every, lambda c: F.transform(F.array_sort(F.transform(c, lambda x: F.struct(x["rank"].alias("rank"), x["s"].alias("s")))), lambda x: x["s"]))
+    def run(items: Column) -> Column:
+        return F.struct(items.alias("items"), F.array_max(F.transform(items, lambda x: x["s"]["end"])).alias("reach"), items[0]["at"].alias("first"))
+
+    def begins(runs: Column) -> Column:
+        """Numbers of the runs into which nothing reaches; the fold holds numbers only, since each step copies it."""
+        step = lambda acc, x, i: F.struct(F.greatest(acc["reach"], x["reach"]).alias("reach"), F.when(x["first"] >= acc["reach"], F.concat(acc["at"], F.array(i))).otherwise(acc["at"]).alias("at"))
+        start = F.struct(F.lit(0).alias("reach"), F.expr("CAST(array() AS array<int>)").alias("at"))
+        numbered = F.transform(runs, lambda x, i: F.struct(x["first"].alias("first"), x["reach"].alias("reach"), i.alias("i")))
+        return F.aggregate(numbered, start, lambda acc, x: step(acc, x, x["i"]), lambda acc: acc["at"])
+
+    def ordered(items: Column) -> Column:
+        return F.transform(F.array_sort(F.transform(items, lambda x: F.struct(x["rank"].alias("rank"), x["s"].alias("s")))), lambda x: x["s"])
+
+    def groups(runs: Column) -> Column:
+        def of(at: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(at, k + 1), F.size(runs))
+            return F.transform(at, lambda i, k: ordered(F.flatten(F.transform(F.slice(runs, i + 1, end(k) - i), lambda x: x["items"]))))
+
+        return _bind(begins(runs), of)
+
+    return _bind(ranked, lambda r: _bind(_runs(r, run), groups))
 
 
 def first_wins(spans: Column) -> Column:

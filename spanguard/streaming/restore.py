@@ -159,7 +159,8 @@ def restore_stream(rows: DataFrame, ttl_ms: int | None = None, idle_ms: int | No
     has no delta; it counts for the deltas of its micro-batch and later ones. Deltas are taken in the order of seq
     from 0, also across micro-batches; a response ends with its row of end, and its state goes. With ttl_ms, state
     that isn't touched for so long goes too; with idle_ms, a conversation without rows for so long gives out what
-    its responses hold. The session has to use STATE_PROVIDER.
+    its responses hold; both need a trigger that goes on, since a run until the input ends would wait for them for
+    ever. The session has to use STATE_PROVIDER.
     """
     timed = "ProcessingTime" if ttl_ms or idle_ms else "None"
     return rows.groupBy("conv_id").transformWithStateInPandas(RestoreProcessor(ttl_ms, idle_ms), OUTPUT, "Append", timed)

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanguard.functions import spans, validators
-from spanguard.operators import detect
+from spanguard.functions.catalog import UNIVERSAL
+from spanguard.operators import detect, pseudonymize
 
 CASES = [
     ("EMAIL", "en", "Contact me at john@acme.com for details.", True),
@@ -106,3 +107,49 @@ def test_models_cascade(spark):
     verdicts = spark.createDataFrame([(2, "[]")], "id int, verdict string")
     got = detect.with_models(df, "text", lambda d: d.withColumn("ner_spans", F.expr(span)), verdicts, "id").orderBy("id").collect()
     assert [s.entity for s in got[0].spans] == ["PERSON_NAME", "EMAIL"] and got[1].spans == []
+
+
+def test_long_texts_take_linear_time_and_equal_regexes(spark):
+    import hashlib
+    import re
+
+    text = "".join(f"line {i} mail user{i}@mail.example.com from 10.{i % 250}.3.7 and https://u{i}:pw@host.example/x is it\n" for i in range(3000))
+    df = detect.detect(spark.createDataFrame([(1, text)], "id long, text string"))
+    got = pseudonymize.rewrite(df, df, ["id"], form="label").select(F.size("spans").alias("n"), F.sha2("masked", 256).alias("h"), "spans").first()
+    want = re.sub(r"\b10\.\d+\.3\.7\b", "[IP_V4]", re.sub(r"user\d+@mail\.example\.com", "[EMAIL]", re.sub(r"https://u\d+:pw@host\.example/x", "[URL_WITH_CREDS]", text)))
+    assert got.n == 9000 and got.h == hashlib.sha256(want.encode()).hexdigest()
+    assert all(text[s.start : s.end] == s.text for s in got.spans)
+
+
+def test_first_wins_in_groups_equals_the_plain_fold(spark):
+    import random
+
+    rnd = random.Random(8)
+    for n, width in ((65, 40), (300, 900), (700, 5000), (1200, 60)):
+        rows = [(a := rnd.randrange(width * 2), a + rnd.randrange(1, 9), str(i)) for i in range(n)]
+        taken = []
+        for a, b, _ in rows:
+            if not any(x < b and a < y for x, y in taken):
+                taken.append((a, b))
+        df = spark.createDataFrame([([(a, b, "X", 1.0, 1, t) for a, b, t in rows],)], f"s array<{spans.SPAN}>")
+        got = df.select(spans.first_wins(F.col("s")).alias("o")).first().o
+        assert [(x.start, x.end) for x in got] == sorted(taken)
+
+
+def test_detection_is_not_repeated_in_filters(spark):
+    df = spark.createDataFrame([("a@b.example",)], "text string")
+    plan = detect.explode(detect.detect(df).where(F.size("spans") > 0), ["text"]).select("entity")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == len(UNIVERSAL)
+
+
+def test_ner_model_in_batches(spark):
+    def model(texts):
+        if len(texts) > 8 or any("bad" in t for t in texts):
+            raise ValueError
+        return [[(0, 3, "person name", 0.9)] if len(t) > 2 else [] for t in texts]
+
+    df = spark.createDataFrame([(i, "bad" if i == 3 else "Ann went") for i in range(20)] + [(20, None)], "i int, text string").coalesce(1)
+    got = {r.i: [s.text for s in r.ner_spans] for r in detect.with_ner(df, model, timeout=20).collect()}
+    assert len(got) == 21 and got[20] == [] and got[3] == [] and got[10] == ["Ann"] and sum(not v for v in got.values()) == 9
+    slow = lambda texts: __import__("time").sleep(5) or [[] for _ in texts]
+    assert all(r.ner_spans == [] for r in detect.with_ner(df.limit(2), slow, timeout=0.1).collect())
