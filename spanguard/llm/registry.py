@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, html, language, licenses, secrets, simhash, toxicity, warc
+from . import bpe, codes, decontaminate, exact_dedup, html, language, licenses, negatives, secrets, simhash, toxicity, urls, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_bpe": bpe.op9_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_urls": urls.op11_urls,
+    "op12_negatives": negatives.op12_negatives,
+    "op13_vector_codes": codes.op13_vector_codes,
 }
 
 SQL = {
     "op4_warc": warc.SQL,
     "op6_licenses": licenses.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_urls": urls.SQL,
+    "op12_negatives": negatives.SQL,
+    "op13_vector_codes": codes.SQL,
 }
