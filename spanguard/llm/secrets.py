@@ -24,7 +24,7 @@ KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so shorter ones only would be dropped
-_MIXED = re.compile(r"(?:[A-Za-z]++[0-9]|[0-9]++[A-Za-z])[A-Za-z0-9]*+").finditer
+_PIECE, _LETTER, _DIGIT = re.compile("[A-Za-z0-9]+").findall, re.compile("[A-Za-z]").search, re.compile("[0-9]").search
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Words that announce a credential, how many characters after them a candidate may begin, and what one is: a
@@ -98,7 +98,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int, int | None]], novelty
         while span is not None and span[0] < e:
             reach, span = max(reach, span[1]), next(taken, None)
         string = m[0]
-        if last < s - CONTEXT_CHARS or reach > s or all(x.end() - x.start() < MIXED for x in _MIXED(string)):
+        if last < s - CONTEXT_CHARS or reach > s or not any(len(x) >= MIXED and _LETTER(x) and _DIGIT(x) for x in _PIECE(string)):
             continue
         before, after = text[max(0, s - BEFORE) : s].encode(), text[e : e + AFTER].encode()
         cost = novelty.marginal(before, string.encode(), after)
