@@ -8,6 +8,7 @@ all: an item-sized window with k word edits or fewer shares all but 2k of its wo
 
 The walks of long items agree too rarely for any fixed number of repetitions, so what they don't settle is
 verified too: each run of text in which some item-sized window holds that many word pairs of one item.
+Windows are places in the words of a few texts, never copies of them, so memory doesn't grow with the items' length.
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ from .words import mix, split_words
 SAMPLED, AGREE, RECALL = 2, 0.5, 0.99
 #: Items whose texts have more bytes than this in all are handled in several passes over the documents.
 BLOCK_BYTES = 32 << 20
+#: Words of texts whose windows wait to be embedded together, and windows of one step.
+HELD_WORDS, STEP_WINDOWS = 1 << 21, 4096
+#: Repetitions before windows inside a match that was found are left out of the others; windows of long items begin
+#: at each of so many places in an item's length, those of items up to this many words at every word.
+FIRST_REPS, PLACES = 4, 64
 PAD = np.uint64(0x5DEECE66D)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -58,21 +64,18 @@ class Sampler:
         at = np.sort(rng.integers(0, steps, (reps, SAMPLED)), axis=1)
         return cls(int(at.max()) + 1, rng.integers(0, 2**63, reps).astype(np.uint64), at)
 
-    def keys(self, words: np.ndarray) -> np.ndarray:
-        """Key of each row of words (windows x size, padded with PAD) in each repetition."""
-        n, width = words.shape
-        reps = self.seeds.size
-        flat = np.concatenate([words, np.full((n, 1), PAD)], axis=1).ravel()
-        base = (np.arange(n, dtype=np.int64) * (width + 1))[None, :]
-        at = np.zeros((reps, n), dtype=np.int64)
-        key = np.repeat(mix(self.seeds)[:, None], n, axis=1)
+    def keys(self, words: np.ndarray, start: np.ndarray, end: np.ndarray, reps: slice = slice(None)) -> np.ndarray:
+        """Key of each window in the repetitions; a window begins at start, words holds PAD at its text's end."""
+        seeds, sampled = self.seeds[reps, None], self.at[reps]
+        place = np.repeat(start[None, :], seeds.size, axis=0)
+        key = np.repeat(mix(seeds), start.size, axis=1)
         for j in range(self.steps):
-            word = flat[base + at]
-            taken = np.flatnonzero((self.at == j).any(axis=1))
+            word = words[place]
+            taken = np.flatnonzero((sampled == j).any(axis=1))
             if taken.size:
                 key[taken] = mix(key[taken] ^ word[taken])
-            step = (mix(word ^ (self.seeds[:, None] + np.uint64(j))) >> np.uint64(17)) & np.uint64(1)
-            at = np.minimum(at + step.astype(np.int64), width)
+            step = (mix(word ^ (seeds + np.uint64(j))) >> np.uint64(17)) & np.uint64(1)
+            place = np.minimum(place + step.astype(np.int64), end)
         return key
 
 
@@ -149,6 +152,7 @@ class ItemIndex:
         self.bits = max(16, math.ceil(math.log2(64 * max(found.size, 1))))
         self.map = np.zeros(1 << self.bits, dtype=bool)
         self.map[(found & np.uint64((1 << self.bits) - 1)).astype(np.int64)] = True
+        self.words = [frozenset(w.tolist()) for w in self.items]
         self.one = {int(w[0]): [] for w in self.items if w.size == 1}
         for i, w in enumerate(self.items):
             if w.size == 1:
@@ -166,10 +170,9 @@ class ItemIndex:
             edits = most_edits(high, self.similarity)
             width = high + 2 * edits
             sampler = Sampler.make(low, reps)
-            rows = np.full((len(members), high), PAD)
-            for k, i in enumerate(members):
-                rows[k, : self.items[i].size] = self.items[i]
-            keys = sampler.keys(rows)
+            end = np.cumsum([self.items[i].size + 1 for i in members]) - 1
+            start = np.concatenate([[0], end[:-1] + 1])
+            keys = sampler.keys(np.concatenate([np.append(self.items[i], PAD) for i in members]), start, end)
             order = np.argsort(keys.ravel(), kind="stable")
             items = np.broadcast_to(np.array(members), keys.shape).ravel()
             own = [np.unique(_pairs(self.items[i])) for i in members]
@@ -189,9 +192,7 @@ def find(index: ItemIndex, column: pa.Array) -> list[tuple[int, int, int, int, i
     start and end count words; of several places the one with the fewest edits, then the first.
     """
     found: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-    waiting: list[list[tuple]] = [[] for _ in index.classes]
-    texts: list[tuple[int, np.ndarray, np.ndarray]] = []  # first row, word hashes, first word of each row
-    dense: list[tuple[int, SizeClass, np.ndarray]] = []  # of these texts: word pairs in windows of a class that pass
+    held = Held(index, found)
     low_bits = np.uint64((1 << index.bits) - 1)
     for first, stop, raw, offsets in text_slices(column):
         w = split_words(raw, offsets)
@@ -210,55 +211,113 @@ def find(index: ItemIndex, column: pa.Array) -> list[tuple[int, int, int, int, i
         hit &= w.row[1:] == w.row[:-1]
         if not hit.any():
             continue
-        texts.append((first, w.hash, bounds))
+        text = Texts(first, w.hash, bounds)
         for k, c in enumerate(index.classes):
             total = np.zeros(hit.size + c.low + 1, dtype=np.int32)
             np.cumsum(hit, out=total[1 : hit.size + 1])
             total[hit.size + 1 :] = total[hit.size]
             start = np.flatnonzero(total[c.low - 1 : c.low - 1 + hit.size] - total[: hit.size] >= c.need)
-            if not start.size:
+            if start.size:
+                cover = np.zeros(hit.size + c.low, dtype=np.int32)
+                np.add.at(cover, start, 1)
+                np.add.at(cover, start + c.low - 1, -1)
+                held.add(text, k, start, w.row[start], np.flatnonzero(hit & (np.cumsum(cover)[: hit.size] > 0)))
+        if held.size >= HELD_WORDS:
+            held.settle()
+    held.settle()
+    return sorted((r, i, *v) for (r, i), v in found.items())
+
+
+@dataclass
+class Texts:
+    """Word hashes of a run of texts, the number of the first, and the first word of each."""
+
+    first: int
+    words: np.ndarray
+    bounds: np.ndarray
+
+
+class Held:
+    """Windows that wait for the walks, by size class, as places in the words of a few texts."""
+
+    def __init__(self, index: ItemIndex, found: dict) -> None:
+        self.index, self.found = index, found
+        self.clear()
+
+    def clear(self) -> None:
+        self.texts: list[Texts] = []
+        self.windows: list[list[tuple]] = [[] for _ in self.index.classes]
+        self.size = 0
+
+    def add(self, text: Texts, k: int, start: np.ndarray, row: np.ndarray, dense: np.ndarray) -> None:
+        """start, row: windows of class k that share enough word pairs with an item; dense: the word pairs in them."""
+        if not self.texts or self.texts[-1] is not text:
+            self.texts.append(text)
+            self.size += text.words.size
+        stride = max(1, self.index.classes[k].low // PLACES)
+        if stride > 1:  # the first of each run of windows, and one of each stride
+            new = np.ones(start.size, dtype=bool)
+            new[1:] = np.diff(start) > 1
+            ahead = start - np.repeat(start[new], np.diff(np.append(np.flatnonzero(new), start.size)))
+            start, row = start[ahead % stride == 0], row[ahead % stride == 0]
+        self.windows[k].append((len(self.texts) - 1, start, row, dense))
+
+    def settle(self) -> None:
+        if not self.texts:
+            return
+        # All words in one array, with PAD after each text; shift: where a slice's words begin in it.
+        padded = [np.insert(t.words, t.bounds[1:], PAD) for t in self.texts]
+        shift = np.cumsum([0, *(p.size for p in padded)])
+        words = np.concatenate(padded)
+        for c, windows in zip(self.index.classes, self.windows):
+            if not windows:
                 continue
-            cover = np.zeros(hit.size + c.low, dtype=np.int32)
-            np.add.at(cover, start, 1)
-            np.add.at(cover, start + c.low - 1, -1)
-            dense.append((len(texts) - 1, c, np.flatnonzero(hit & (np.cumsum(cover)[: hit.size] > 0))))
-            row = w.row[start]
-            end = bounds[row + 1]
-            place = start[:, None] + np.arange(-c.before, c.width)[None, :]
-            inside = (place >= bounds[row][:, None]) & (place < end[:, None])
-            context = np.where(inside, w.hash[np.clip(place, 0, w.hash.size - 1)], PAD)
-            waiting[k].append((first + row, start - bounds[row], context, end - bounds[row]))
-    for c, held in zip(index.classes, waiting):
-        if not held:
-            continue
-        rows, starts, context, length = (np.concatenate([h[i] for h in held]) for i in range(4))
-        for a in range(0, rows.size, 4096):
-            b = min(a + 4096, rows.size)
-            keys = c.sampler.keys(context[a:b, c.before :])
-            lo = np.searchsorted(c.keys, keys, side="left")
-            hi = np.searchsorted(c.keys, keys, side="right")
-            rep, win = np.nonzero(hi > lo)
-            if not rep.size:
+            text = np.repeat([t for t, *_ in windows], [s.size for _, s, *_ in windows])
+            start, row = (np.concatenate([w[k] for w in windows]) for k in (1, 2))
+            begin = np.concatenate([self.texts[t].bounds[r] + r + shift[t] for t, _, r, _ in windows])
+            end = np.concatenate([self.texts[t].bounds[r + 1] + r + shift[t] for t, _, r, _ in windows])
+            start = start + row + shift[text]
+            row = row + np.array([t.first for t in self.texts])[text]
+            left = np.arange(start.size)
+            for reps in (slice(0, FIRST_REPS), slice(FIRST_REPS, None)):
+                spans = [self._walk(c, words, part, start, begin, end, row, reps) for part in np.array_split(left, -(-left.size // STEP_WINDOWS) or 1)]
+                spans = np.array([x for s in spans for x in s], np.int64).reshape(-1, 2)
+                if spans.size:  # windows that begin in a match that was found
+                    cover = np.zeros(words.size + 1, np.int32)
+                    np.add.at(cover, np.maximum(spans[:, 0] - c.before, 0), 1)
+                    np.add.at(cover, spans[:, 1], -1)
+                    left = left[np.cumsum(cover)[start[left]] == 0]
+            for t, _, _, dense in windows:
+                _verify_rest(self.index, self.found, self.texts[t].first, self.texts[t].words, self.texts[t].bounds, c, dense)
+        self.clear()
+
+    def _walk(self, c: SizeClass, words: np.ndarray, part: np.ndarray, start: np.ndarray, begin: np.ndarray, end: np.ndarray, row: np.ndarray, reps: slice) -> list[tuple[int, int]]:
+        """Verify the candidates of these windows, each run of them once; returns the places of what is found."""
+        if not part.size or reps.start >= c.sampler.seeds.size:
+            return []
+        keys = c.sampler.keys(words, start[part], end[part], reps)
+        lo, hi = np.searchsorted(c.keys, keys, side="left"), np.searchsorted(c.keys, keys, side="right")
+        rep, win = np.nonzero(hi > lo)
+        if not rep.size:
+            return []
+        many = hi[rep, win] - lo[rep, win]
+        slot = np.repeat(lo[rep, win], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        pairs = np.unique(c.items[slot] * part.size + np.repeat(win, many))  # by item, then window
+        item, at = pairs // part.size, part[pairs % part.size]
+        low, high = np.maximum(start[at] - c.before, begin[at]), np.minimum(start[at] + c.width, end[at])
+        new = np.ones(at.size, dtype=bool)
+        new[1:] = (item[1:] != item[:-1]) | (row[at[1:]] != row[at[:-1]]) | (low[1:] > high[:-1])
+        cuts, spans = np.flatnonzero(new), []
+        for a, b in zip(cuts.tolist(), (np.append(cuts[1:], at.size) - 1).tolist()):
+            i, x = int(item[a]), at[a]
+            run = words[low[a] : high[b]]
+            # An item with so few edits has all but that many of its words in the run.
+            if len(self.index.words[i].intersection(run.tolist())) < len(self.index.words[i]) - self.index.edits[i]:
                 continue
-            many = hi[rep, win] - lo[rep, win]
-            slot = np.repeat(lo[rep, win], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            pairs = np.unique(np.repeat(win + a, many) * len(index.items) + c.items[slot])
-            pairs = pairs[np.argsort(pairs % len(index.items), kind="stable")]
-            which = pairs % len(index.items)
-            cuts = np.flatnonzero(np.diff(which)) + 1
-            for group in np.split(pairs, cuts):
-                i, wins = int(group[0] % len(index.items)), group // len(index.items)
-                item = index.items[i]
-                # An item with so few edits has all but that many of its words in the window's context.
-                least = item.size - most_edits(item.size, index.similarity)
-                for s in range(0, wins.size, 256):
-                    part = wins[s : s + 256]
-                    there = (context[part][:, :, None] == item[None, None, :]).any(axis=1).sum(axis=1)
-                    for x in part[there >= least].tolist():
-                        _verify(index, found, int(rows[x]), i, int(starts[x]) - c.before, context[x], int(length[x]))
-    for t, c, at in dense:
-        _verify_rest(index, found, *texts[t], c, at)
-    return sorted((r, i, *v) for (r, i), v in found.items())
+            _verify(self.index, self.found, int(row[x]), i, int(low[a] - begin[x]), run, int(end[x] - begin[x]))
+            if (got := self.found.get((int(row[x]), i))) is not None:
+                spans.append((int(begin[x]) + got[1], int(begin[x]) + got[2]))
+        return spans
 
 
 def _verify_rest(index: ItemIndex, found: dict, first: int, words: np.ndarray, bounds: np.ndarray, c: SizeClass, at: np.ndarray) -> None:
@@ -296,16 +355,18 @@ def _verify_rest(index: ItemIndex, found: dict, first: int, words: np.ndarray, b
         _verify(index, found, first + r, int(item[a]), s - int(bounds[r]), words[s:e], int(bounds[r + 1] - bounds[r]))
 
 
-def _verify(index: ItemIndex, found: dict, row: int, i: int, first: int, context: np.ndarray, length: int) -> None:
-    have = found.get((row, i))
-    if have is not None and have[0] == 0 and have[1] <= first + (context == PAD).argmin():
+def _verify(index: ItemIndex, found: dict, row: int, i: int, first: int, run: np.ndarray, length: int) -> None:
+    """Record the item's best place in a run of words of a row, which begins at its word `first`."""
+    have, item = found.get((row, i)), index.items[i]
+    if have is not None and have[0] == 0 and have[1] <= first:
         return
-    skip = int((context != PAD).argmax())
-    text = [int(x) for x in context[skip:] if x != PAD]
-    item = index.items[i].tolist()
-    d, start, end = fit_distance(item, text)
-    if d <= most_edits(len(item), index.similarity):
-        new = (d, first + skip + start, first + skip + end, length)
+    whole = np.flatnonzero(run[: max(0, run.size - item.size + 1)] == item[0])
+    for k in (1, item.size // 2, item.size - 1):  # a few words rule most places out
+        whole = whole[run[whole + k] == item[k]]
+    at = next((int(p) for p in whole if np.array_equal(run[p : p + item.size], item)), None)
+    d, start, end = (0, at, at + item.size) if at is not None else fit_distance(item.tolist(), run.tolist())
+    if d <= index.edits[i]:
+        new = (d, first + start, first + end, length)
         if have is None or new < have:
             found[row, i] = new
 
