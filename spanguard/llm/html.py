@@ -31,12 +31,27 @@ SIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising adbox ba
 COMMENT_WORDS = frozenset("comment comments commentlist disqus discussion guestbook replies reply respond".split())
 READER_WORDS = frozenset("guest member reader user visitor".split())
 CONTRARY_WORDS = frozenset("has hide no not with without".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+#: Words that can stand after such a word in the name of something beside the text; others make it a name of its own.
+PLACE_WORDS = frozenset("a aera area articles b bar block body bottom box button buttons center col column container content desktop form frame group header headline holder icons inner item items large leaderboard left line link links list main message mobile module outer overlay page panel placeholder policy pos post posts primary right row s secondary section sign site slot small sticky stories story strip tag tags text tile title top unit up wrap wrapper zone".split())
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Tags whose quotes don't end before the page does; after so many, quotes in tags no longer count.
+MOST_UNENDED = 16
+#: Blocks that an element with the name of something beside the text has at least if it is the page itself.
+SEVERAL = 3
 _BLOCK_START = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK_TAGS))})\b", re.I)
 
 
+def _names_side(words: list[str]) -> bool:
+    """Whether a name's last word, or one before words of place only, names something beside the text: not share-price."""
+    rest = [w for w in words if not w.isdigit()]
+    while rest and rest[-1] not in SIDE_WORDS and rest[-1] in PLACE_WORDS:
+        rest.pop()
+    return bool(rest) and rest[-1] in SIDE_WORDS
+
+
 @lru_cache(maxsize=4096)
 def _marks(attributes: str) -> tuple[bool, bool, bool]:
     """Whether classes, ids and roles name something beside the text, comments, and readers."""
@@ -46,7 +61,7 @@ def _marks(attributes: str) -> tuple[bool, bool, bool]:
             words = re.split("[-_]+", name)
             if not CONTRARY_WORDS.isdisjoint(words):
                 continue
-            side = side or not SIDE_WORDS.isdisjoint(words)
+            side = side or _names_side(words)
             comment = comment or not COMMENT_WORDS.isdisjoint(words)
             reader = reader or not READER_WORDS.isdisjoint(words)
     return side, comment, reader
@@ -55,28 +70,44 @@ def _marks(attributes: str) -> tuple[bool, bool, bool]:
 @dataclass
 class Block:
     """A run of text without a block boundary: its words, those in links, whether it lies in a main element, and
-    beside the text by its elements (2), by names of classes or by elements that can wrap a page (1)."""
+    beside the text by its elements (2), by names of classes or by elements that can wrap a page (1), and the
+    number of the innermost of these last."""
 
     text: str
     words: int
     linked: int
     main: int
     side: int
+    soft: int = 0
 
 
 class _Open:
-    """The open elements that matter, each with the (main, side) of what it holds."""
+    """The open elements that matter, each with the (main, side) of what it holds and its innermost soft element.
+
+    around, firm: for each element beside the text but for certain ones, by number from 1, the one around it, or 0,
+    and whether it can't be the page itself.
+    """
 
     def __init__(self) -> None:
-        self.stack: list[tuple[str, int, int]] = []
+        self.stack: list[tuple[str, int, int, int]] = []
         self.names: Counter[str] = Counter()
+        self.around, self.firm = [0], [False]
 
     @property
     def state(self) -> tuple[int, int]:
-        return self.stack[-1][1:] if self.stack else (0, 0)
+        return self.stack[-1][1:3] if self.stack else (0, 0)
 
-    def push(self, name: str, main: int, side: int) -> None:
-        self.stack.append((name, main, side))
+    @property
+    def soft(self) -> int:
+        return self.stack[-1][3] if self.stack else 0
+
+    def push(self, name: str, main: int, side: int, firm: bool | None = None) -> None:
+        at = self.soft
+        if firm is not None:
+            self.around.append(at)
+            self.firm.append(firm)
+            at = len(self.around) - 1
+        self.stack.append((name, main, side, at if side else 0))
         self.names[name] += 1
 
     def pop(self) -> str:
@@ -91,18 +122,45 @@ class _Open:
                 pass
 
 
-def _within(name: str, attributes: str, main: int, side: int) -> tuple[int, int]:
-    """(main, side) of what a new element holds, from those around it."""
+def _within(name: str, attributes: str, main: int, side: int) -> tuple[int, int, bool | None]:
+    """(main, side) of what a new element holds, from those around it; for one beside the text, if it can't be the page."""
     beside, comment, reader = _marks(attributes) if attributes else (False, False, False)
     if name in MAIN_TAGS:
-        if comment or reader or name == "article" and main == 2:  # an article in an article is a comment on it
-            return main, 2
-        return 2 if name == "article" else max(main, 1), 0 if side < 2 else 2
+        if comment or reader:
+            return main, 2, None
+        if name == "article" and main == 2:  # an article in an article is a comment on it, if it isn't most of the page
+            return main, max(side, 1), False
+        return 2 if name == "article" else max(main, 1), 0 if side < 2 else 2, None
     if name in HARD_TAGS or comment:
-        return main, 2
-    if name in SOFT_TAGS and not (name == "header" and main) or beside and name != "body":
-        return main, max(side, 1)
-    return main, side
+        return main, 2, None
+    if name in SOFT_TAGS and not (name == "header" and main):
+        return main, max(side, 1), True
+    if beside and name != "body":
+        return main, max(side, 1), False
+    return main, side, None
+
+
+def _without_wrappers(found: list[Block], around: list[int], firm: list[bool]) -> list[Block]:
+    """The blocks; those in soft elements of several blocks with most of the page's words outside links lie beside nothing.
+
+    Such an element is the page, whatever its name; soft elements in it still count.
+    """
+    held, several = [0] * len(around), [0] * len(around)
+    for b in found:
+        if b.side < 2 and b.words > b.linked:
+            held[b.soft] += b.words - b.linked
+            several[b.soft] += 1
+    total = sum(held)
+    for k in range(len(around) - 1, 0, -1):  # those around have smaller numbers
+        held[around[k]] += held[k]
+        several[around[k]] += several[k]
+    beside = [False] * len(around)
+    for k in range(1, len(around)):
+        beside[k] = beside[around[k]] or firm[k] or 2 * held[k] <= total or several[k] < SEVERAL
+    for b in found:
+        if b.side == 1 and not beside[b.soft]:
+            b.side = 0
+    return found
 
 
 def blocks(page: str) -> list[Block]:
@@ -111,15 +169,15 @@ def blocks(page: str) -> list[Block]:
     opened = _Open()
     held: list[str] = []
     linked: list[str] = []
-    unclosed: set[str] = set()  # silent elements without an end tag from here on
-    links, at, end = 0, 0, len(page)
+    unclosed: set[str] = set()  # silent elements without an end tag from here on, and "body" without a start tag
+    links, at, end, unended = 0, 0, len(page), 0
 
     def flush() -> None:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
                 main, side = opened.state
-                out.append(Block(text, text.count(" ") + 1, len(entities.unescape(" ".join(linked)).split()), int(main > 0), side))
+                out.append(Block(text, text.count(" ") + 1, len(entities.unescape(" ".join(linked)).split()), int(main > 0), side, opened.soft))
             held.clear()
             linked.clear()
 
@@ -137,8 +195,13 @@ def blocks(page: str) -> list[Block]:
                 unclosed.add(name)
         if name in ("script", "style"):  # without an end they take the rest of the page
             return end
-        found = re.compile(r"<body\b", re.I).search(page, at) if name == "head" else _BLOCK_START.search(page, at)
-        return found.start() if found else at if name == "head" else end
+        if name == "head":
+            found = None if "body" in unclosed else re.compile(r"<body\b", re.I).search(page, at)
+            if not found:
+                unclosed.add("body")
+            return found.start() if found else at
+        found = _BLOCK_START.search(page, at)
+        return found.start() if found else end
 
     while at < end:
         lt = page.find("<", at)
@@ -151,18 +214,19 @@ def blocks(page: str) -> list[Block]:
                 linked.append(piece)
             at = lt
             continue
-        m = _TAG.match(page, at)
-        if m is None and (page[at + 1 : at + 2].isalpha() or page[at + 1 : at + 2] == "/"):
-            m = _LOOSE.match(page, at)
+        m = _MARKUP.match(page, at)
+        if m is not None:
+            at = m.end()
+            continue
+        m = _TAG.match(page, at) if unended < MOST_UNENDED else None
+        if m is None and (m := _LOOSE.match(page, at)) is not None:
+            unended += 1
         if m is None:  # a lone "<" is text
             held.append("<")
             at += 1
             continue
         at = m.end()
-        name = m[2]
-        if name is None:
-            continue
-        name, closing, attributes = name.lower(), bool(m[1]), m[3]
+        name, closing, attributes = m[2].lower(), bool(m[1]), m[3]
         if name == "a":
             links = max(0, links - 1) if closing else 1
         elif name == "br":
@@ -185,11 +249,11 @@ def blocks(page: str) -> list[Block]:
             if opened.names[name]:
                 flush()
                 opened.close(name)
-        elif attributes and name not in VOID_TAGS and (now := _within(name, attributes, *opened.state)) != opened.state:
+        elif attributes and name not in VOID_TAGS and (now := _within(name, attributes, *opened.state))[:2] != opened.state:
             flush()
             opened.push(name, *now)
     flush()
-    return out
+    return _without_wrappers(out, opened.around, opened.firm)
 
 
 # ---------------------------------------------------------------- decision tree
@@ -240,6 +304,19 @@ LABELLED = (
     ("<div><p>{110}<p>{130}</div><div class='footer'>{11}</div>", "110"), ("<div class='notice'>{12}</div><div><p>{140}<p>{6}<p>{90}</div><div class='footer'>{16}</div>", "01110"),
     ("<p>{35}<p>{20}<p>{60}", "111"), ("<div>{140}</div>", "1"), ("<h1>{6}</h1><p>{25}", "11"),
     ("<div><a>{2}</a></div><div><a>{1}</a></div><div><a>{3}</a></div>", "000"), ("<p>{3}<p><a>{2}</a>", "00"), ("<div class='consent'>{60}</div>", "0"),
+    # Pages without a main element on which the neighbours of a block tell its kind: teasers and captions stand beside
+    # links, short lines of the text beside long ones.
+    ("<p><a>{5}</a><p>{14}<p><a>{7}</a><p>{18}<p><a>{4}</a><p>{12}<p><a>{6}</a><p>{16}<p><a>{3}</a>", "000000000"),
+    ("<h2>{3}</h2><p>{14}<p>{18}<p>{12}<p>{16}<p>{15}", "111111"), ("<div>{16}</div><div><a>{4}</a></div><div>{13}</div><div><a>{6}</a></div>", "0000"),
+    ("<div>{4}</div><div><a>{3}</a></div><div><a>{2}</a></div><div>{70}</div><div>{4}</div><div>{55}</div><div>{4}</div><div><a>{5}</a></div>", "00011100"),
+    ("<div><a>{2}</a></div><div>{9}</div><div><a>{3}</a></div><div>{48}</div><div>{9}</div><div>{62}</div><div><a>{3}</a></div><div>{9}</div><div><a>{4}</a></div>", "000111000"),
+    ("<td><a>{4}</a><td>{22}<td><a>{5}</a><td>{19}<td><a>{3}</a><td>{24}<td><a>{4}</a>", "0000000"), ("<p>{20}<p>{22}<p>{19}<p>{24}", "1111"),
+    ("<div><a>{9}</a></div><div>{26}</div><div><a>{8}</a></div><div>{30}</div><div><a>{7}</a></div>", "00000"), ("<div>{26}</div><div>{30}</div><div>{5}</div><div>{28}</div>", "1111"),
+    # Elements named like something beside the text that hold it, and articles in articles.
+    ("<div id='content-related'><h1>{4}</h1><p>{60}<p>{35}<div class='related'><a>{5}</a></div><p>{20}</div><div>{6}</div>", "111010"),
+    ("<article><h1>{5}</h1><p>{40}<div class='share-price'><p>{25}</div><p>{30}</article>", "1111"),
+    ("<article><h1>{5}</h1><article><p>{60}<p>{45}<p>{50}</article></article><footer>{4}</footer>", "11110"),
+    ("<article><p>{80}<p>{60}<article><p>{9}</article><article><p>{22}</article></article>", "1100"),
     ("<nav><a>{30}</a></nav><footer>{50}</footer>", "00"), ("<form>{12}<p>{40}</form>", "00"), ("<div class='search'>{2}</div><p>{45}<p>{6}<p>{70}<p>{2} <a>{2}</a>", "01110"),
 )
 

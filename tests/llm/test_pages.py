@@ -134,6 +134,10 @@ HELD_OUT = [  # pages that the tree has not seen
     (f"<article><p>{LONG}</p></article><article class='user-post'><p>{LONG}</p></article>", LONG),
     (f"<article><p>{LONG}</p><article><p>First!</p></article><p>Last line.</p></article>", f"{LONG} Last line."),
     (f"<div id=nav><a>a</a></div><div><h1>Rivers</h1><p>{LONG}</p><p>{LONG} {LONG}</p></div><div class=footer>Imprint and contact</div>", f"Rivers {LONG} {LONG} {LONG}"),
+    (f"<article><h1>Silt</h1><p>{LONG}</p><div class='share-price'><p>The price of a share fell.</p></div><p>{LONG}</p></article>", f"Silt {LONG} The price of a share fell. {LONG}"),
+    (f"<article><h1>Silt</h1><article class='part'><p>{LONG}</p><p>More.</p><p>{LONG}</p></article></article>", f"Silt {LONG} More. {LONG}"),
+    (f"<div id='content-related'><h1>Silt</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>", f"Silt {LONG} {LONG} {LONG}"),
+    (f"<div class='ad-slot-2'>Buy now</div><main><p>{LONG}</p><div class='footer_links'>Imprint</div><p>End.</p></main>", f"{LONG} End."),
     (f"<td><a>x</a></td><td><a>y</a></td><p>{LONG} {LONG}</p><ul><li><a>More</a></li><li><a>Even more here</a></li></ul>", f"{LONG} {LONG}"),
 ]
 
@@ -191,10 +195,10 @@ def test_labelled_rows_are_learnt():
             walk(t[3])
 
     walk(TREE)
-    assert {"words", "link_share"} <= asked and asked & {"words_before", "words_after", "link_share_before", "link_share_after"}
+    assert {"words", "link_share"} <= asked and len(asked & {"words_before", "words_after", "link_share_before", "link_share_after"}) >= 3
 
 
-@pytest.mark.parametrize("page", ["<div>" * 40_000 + "</p></section>" * 20_000, "<svg>" * 60_000, "<button>a" * 40_000, "<span class=ad>" * 30_000 + "</b>" * 60_000, "<a '>" * 60_000, "x < y " * 100_000, "<p class='a b'>word " * 30_000])
+@pytest.mark.parametrize("page", ["<div>" * 40_000 + "</p></section>" * 20_000, "<svg>" * 60_000, "<button>a" * 40_000, "<span class=ad>" * 30_000 + "</b>" * 60_000, "<a '>" * 60_000, "x < y " * 100_000, "<p class='a b'>word " * 30_000, "<" + "a" * 1_000_000, "<head>" * 100_000, '<a "> "' * 60_000, "<article><div class='ad'>" * 30_000])
 def test_pages_take_linear_time(page):
     began = time.process_time()
     html.main_text(page, TREE)

@@ -116,7 +116,7 @@ def test_secrets_among_secrets_and_names_of_things():
         assert not [x for x in secrets.scan_text(AROUND[0] % name, n) if x[1] == 3], name
 
 
-@pytest.mark.parametrize("text", ["key1" * 250_000, "key 1a2b3c4d5e6f7g8h " * 30_000, "token-" * 170_000, "secret: " * 60_000 + "0a" * 200_000, "key " * 250_000, "password=" * 100_000])
+@pytest.mark.parametrize("text", ["key1" * 250_000, "key 1a2b3c4d5e6f7g8h " * 30_000, "token-" * 170_000, "secret: " * 60_000 + "0a" * 200_000, "key " * 250_000, "password=" * 100_000, "key " + "z" * 1_000_000, "key" + "Zq" * 500_000, "key " + "9" * 1_000_000])
 def test_secrets_take_linear_time(text):
     n, began = secrets.Novelty(), time.process_time()
     spans = [x for x in secrets.scan_text(text, n) if x[1] == 3]
@@ -473,3 +473,23 @@ def test_pipeline_runs_whole(spark):
     for r in docs.where("doc_id < 40").collect():
         if r.doc_id in by:
             assert by[r.doc_id].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+
+
+def test_long_items_in_many_texts_take_little_memory_and_time():
+    """An item of 2,000 words in each text of a batch, whole or edited: windows are places, not copies."""
+    import time
+    import tracemalloc
+
+    rnd = random.Random(3)
+    draw = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    item = draw(2000)
+    edited = [w if rnd.random() > 0.1 else "new" for w in item]
+    index = decontaminate.ItemIndex([" ".join(item)], 0.8)
+    docs = [" ".join(draw(40) + (item if k % 8 else edited) + draw(40)) for k in range(256)]
+    began = time.process_time()
+    tracemalloc.start()
+    got = decontaminate.find(index, pa.array(docs))
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    assert time.process_time() - began < 20
+    assert len(got) == 256 and all((d == 0) == (r % 8 > 0) and s == 40 for r, _, d, s, *_ in got)
