@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import spans
+from . import terms
 
 
 def turns(messages: DataFrame, order: str = "turn", conversation: str = "conv_id") -> DataFrame:
@@ -24,11 +25,10 @@ def summary(found: DataFrame, by: list[str]) -> DataFrame:
 def turn_detections(turn_rows: DataFrame, rows: DataFrame, conversation: str = "conv_id") -> DataFrame:
     """(conversation, turn_no, n): distinct vault values that occur in the texts of each turn's requests.
 
-    Each text is searched for each of the conversation's values.
+    Each text is read once, past an automaton of the conversation's values.
     """
-    terms = rows.groupBy(F.col(conversation).alias("__c")).agg(F.collect_set("original").alias("__terms"))  # one conversation's vault
-    said = turn_rows.where("role = 'user'").join(terms, F.col(conversation) == F.col("__c"))
-    hits = said.select(conversation, "turn_no", F.explode(F.filter("__terms", lambda t: F.col("text").contains(t))).alias("__t"))
+    said = terms.occurring(turn_rows.where("role = 'user'"), rows, [conversation, "turn_no"], conversation=conversation)
+    hits = said.select(conversation, "turn_no", F.explode("terms").alias("__t"))
     return hits.groupBy(conversation, "turn_no").agg(F.countDistinct("__t").alias("n"))
 
 

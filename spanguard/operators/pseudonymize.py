@@ -67,14 +67,21 @@ def rewrite(messages: DataFrame, rows: DataFrame, message: list[str], form: str
     """
     if form == "label":
         return messages.withColumn("masked", spans.replace(F.col(text), F.col("spans"), lambda s: F.concat(F.lit("["), F.upper(s["entity"]), F.lit("]"))))
-    value = F.col("synthetic") if form == "bare" else tokens.markup(F.col("token_id"), F.col("display_value"))
+    return rewrite_forms(messages, rows, message, {"masked": form}, text, conversation)
+
+
+def rewrite_forms(messages: DataFrame, rows: DataFrame, message: list[str], forms: dict[str, str], text: str = "text", conversation: str = "conv_id") -> DataFrame:
+    """messages with a column for each of forms (`bare` or `xml`), as rewrite() gives it, in the same one shuffle of texts."""
+    values = {"bare": F.col("synthetic"), "xml": tokens.markup(F.col("token_id"), F.col("display_value"))}
     found = detect.explode(messages, message).select(*message, F.col("text").alias("__original"))
-    joined = found.join(rows.select(F.col(conversation).alias("__c"), F.col("original").alias("__o"), value.alias("__v")), (F.col(conversation) == F.col("__c")) & (F.col("__original") == F.col("__o")))
+    made = rows.select(F.col(conversation).alias("__c"), F.col("original").alias("__o"), F.struct(*[values[f].alias(c) for c, f in forms.items()]).alias("__v"))
+    joined = found.join(made, (F.col(conversation) == F.col("__c")) & (F.col("__original") == F.col("__o")))
     pairs = joined.groupBy(*message).agg(F.collect_set(F.struct("__original", "__v")).alias("__pairs"))  # the spans of one message
     out = messages.join(pairs, message, "left").withColumn("__lookup", F.map_from_entries("__pairs"))
-    known = lambda s: F.coalesce(F.try_element_at(F.col("__lookup"), s["text"]), s["text"])
-    masked = F.when(F.col("__pairs").isNull(), F.col(text)).otherwise(spans.replace(F.col(text), F.col("spans"), known))
-    return out.withColumn("masked", masked).drop("__pairs", "__lookup")
+    for c in forms:
+        known = lambda s, c=c: F.coalesce(F.try_element_at(F.col("__lookup"), s["text"])[c], s["text"])
+        out = out.withColumn(c, F.when(F.col("__pairs").isNull(), F.col(text)).otherwise(spans.replace(F.col(text), F.col("spans"), known)))
+    return out.drop("__pairs", "__lookup")
 
 
 def rewrite_bodies(requests: DataFrame, key: list[str], form: str = "xml", body: str = "body", field: str = "messages", conversation: str = "conv_id", locale_col: str | None = None) -> tuple[DataFrame, DataFrame]:

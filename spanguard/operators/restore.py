@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans, tokens
+from . import terms
 
 
 def maps(rows: DataFrame, conversation: str = "conv_id") -> DataFrame:
@@ -47,8 +48,9 @@ def restore(text: Column, by_id: Column, by_display: Column, by_synthetic: Colum
 
 
 def restore_messages(messages: DataFrame, rows: DataFrame, text: str = "masked", conversation: str = "conv_id") -> DataFrame:
-    """messages with `restored`; conversations without a vault keep their text."""
-    known = maps(rows, conversation).withColumnRenamed(conversation, "__c")
-    out = messages.join(known, F.col(conversation) == F.col("__c"), "left")
-    found = restore(F.col(text), F.col("token_id_map"), F.col("display_value_map"), F.col("synthetic_map"))
-    return out.withColumn("restored", F.when(F.col("__c").isNull(), F.col(text)).otherwise(found)).drop("__c", "token_id_map", "display_value_map", "synthetic_map")
+    """messages with `restored`; null texts stay null, conversations without a vault keep their text.
+
+    One shuffle of texts and vault rows by conversation; each conversation's lookups are built once for a task.
+    """
+    out = terms.restored(messages, rows, messages.columns, text, conversation)
+    return out.withColumn("restored", F.when(F.col(text).isNotNull(), F.col("restored")))

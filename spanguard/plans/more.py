@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans, synth, tokens
 from ..functions.synth import surrogate
-from ..operators import audit, detect, pseudonymize, restore
+from ..operators import audit, detect, pseudonymize, restore, terms
 from ..session import cut, remove_at_exit, shared_dir, table
 from ..sources import chat, config, sse, store
 from . import oracle
@@ -273,14 +273,81 @@ def other_streams(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- streaming
+def _byte_chunks(spark, sf_dir, size: int):
+    """The event bodies of sse_blocks as UTF-8, cut into chunks of so many bytes, the last one marked."""
+    bodies = q._streams(spark, sf_dir).select((F.col("conv_id").cast("long") * 1_000_000 + F.col("turn")).alias("stream_id"), F.encode("body", "utf-8").alias("body"))
+    n = F.ceil(F.octet_length("body") / size).cast("int")
+    chunks = bodies.select("stream_id", "body", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    return chunks.select("stream_id", F.col("i").cast("long").alias("chunk"), F.substring(F.col("body"), F.col("i") * size + 1, F.lit(size)).alias("data"), (F.col("i") == F.col("n") - 1).alias("end"))
+
+
 def sse_chunks(spark, sf_dir):
-    """The event bodies of sse_blocks cut into chunks of nine characters, put together by the stateful stream."""
+    """Bodies cut into chunks of nine bytes, put together by the stateful stream."""
+    from ..streaming.events import events_stream
+
+    return q.run_stream(spark, _byte_chunks(spark, sf_dir, 9), events_stream).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("data")).alias("n_chars"))
+
+
+def state_rows(spark, checkpoint: str, variable: str) -> int:
+    """How many entries of a state variable a stopped stream has left."""
+    return spark.read.format("statestore").option("stateVarName", variable).load(checkpoint).count()
+
+
+def sse_state(spark, sf_dir):
+    """What the stream of sse_chunks has left in its state when all bodies have ended: nothing."""
     from ..streaming.events import events_stream
 
-    bodies = q._streams(spark, sf_dir).select((F.col("conv_id").cast("long") * 1_000_000 + F.col("turn")).alias("stream_id"), "body")
-    n = F.ceil(F.length("body") / 9).cast("int")
-    chunks = bodies.select("stream_id", "body", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select("stream_id", F.col("i").cast("long").alias("chunk"), F.substring(F.col("body"), F.col("i") * 9 + 1, F.lit(9)).alias("text"))
-    return q.run_stream(spark, chunks, events_stream).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("data")).alias("n_chars"))
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
+    rows = _byte_chunks(spark, sf_dir, 64)
+    rows.write.parquet(f"{folder}/in")
+    out = events_stream(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+    with q.state_provider(spark):
+        out.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+    left = sum(state_rows(spark, f"{folder}/state", v) for v in ("open", "piece", "early"))
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").agg(F.countDistinct("stream_id").alias("n_streams")).withColumn("n_left", F.lit(left).cast("long"))
+
+
+def stream_idle(spark, sf_dir):
+    """Replies that never end, the last token of each left open: what the stream holds comes out when its conversation
+    has been idle, and the state goes. The stream goes on until there is none."""
+    from ..streaming.restore import restore_stream
+
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
+    rows = q.deltas(spark, sf_dir, size=40, tail='<pii id="open', ends=False)
+    rows.write.parquet(f"{folder}/in")
+    out = restore_stream(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), idle_ms=1000)
+    with q.state_provider(spark):
+        running = out.writeStream.option("checkpointLocation", f"{folder}/state").trigger(processingTime="500 milliseconds").format("parquet").option("path", f"{folder}/out").start()
+        q.wait_until(running, lambda seen: sum(p["numInputRows"] for p in seen) > 0 and seen[-1]["stateOperators"][0]["numRowsTotal"] == 0)
+    left = state_rows(spark, f"{folder}/state", "open") + state_rows(spark, f"{folder}/state", "piece")
+    parts = q.together(spark.read.schema(out.schema).parquet(f"{folder}/out"))
+    said = q.messages(spark, sf_dir).select("conv_id", F.col("turn").alias("response_id"), F.concat("text", F.lit('<pii id="open')).alias("text"))
+    return said.join(parts, ["conv_id", "response_id"], "left").select("conv_id", "response_id", (F.col("restored") == F.col("text")).alias("equal"), F.lit(left).cast("long").alias("n_left"))
+
+
+# ---------------------------------------------------------------- vault terms in texts
+def replace_originals(spark, sf_dir):
+    """All originals of each conversation's vault replaced in all of its messages, by one automaton."""
+    rows = q._detected(spark, sf_dir)
+    out = terms.replace_originals(rows, q._vault(spark, sf_dir, rows), ["conv_id", "turn"])
+    return out.select("conv_id", "turn", F.sha2("replaced", 256).alias("sha"), F.col("any").alias("changed"))
+
+
+def replace_synthetics(spark, sf_dir):
+    """Masked messages with their surrogates replaced by originals, and whether there was one."""
+    rows = q._detected(spark, sf_dir)
+    v = q._vault(spark, sf_dir, rows)
+    out = terms.replace_synthetics(pseudonymize.rewrite(rows, v, ["conv_id", "turn"]), v, ["conv_id", "turn"], "masked")
+    return out.select("conv_id", "turn", F.sha2("replaced", 256).alias("sha"), F.col("any").alias("changed"))
+
+
+def vault_places(spark, sf_dir):
+    """Places of the vault's originals in the messages, longest first: how many, and the sum of their starts."""
+    rows = q._detected(spark, sf_dir)
+    out = terms.resolved(rows, q._vault(spark, sf_dir, rows), ["conv_id", "turn"])
+    return out.select("conv_id", "turn", F.size("hits").cast("long").alias("n"), F.aggregate("starts", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_start")).where("n > 0")
 
 
 def live_counts(spark, sf_dir):
@@ -305,7 +372,7 @@ QUERIES = {
     for f in (
         synth_distinct, synth_not_found_again, stateless_synth, conv_by_id, file_path, messages_by_conv, fingerprint_lookup, request_counts, conversation_count, rotate_counts,
         evict_counts, ndjson_store, vault_compaction, vault_records, detection_log, position_pairs, vault_stats, naive_mask, midnight, stage_union, ner_spans, size_guard,
-        cascade_models, replacements, stage_one, skip_synthetic, rewrite_bodies, content_length, response_bodies, trailing_events, other_streams, sse_chunks, live_counts, config_levels,
+        cascade_models, replacements, stage_one, skip_synthetic, rewrite_bodies, content_length, response_bodies, trailing_events, other_streams, sse_chunks, sse_state, stream_idle, replace_originals, replace_synthetics, vault_places, live_counts, config_levels,
     )
 }
 
@@ -357,6 +424,11 @@ SQL = {
     "trailing_events": "SELECT conv_id, turn, CASE WHEN turn % 3 < 2 AND text <> '' THEN sha256(text) END AS sha FROM conversations",
     "other_streams": "SELECT conv_id, turn, p AS provider, text, CASE WHEN p = 'google' THEN conv_id END::BIGINT AS tokens_in, CASE WHEN p = 'google' THEN length(text) END::BIGINT AS tokens_out FROM conversations, (VALUES ('openai'), ('google')) v(p) WHERE role = 'assistant'",
     "sse_chunks": oracle.SQL["sse_blocks"],
+    "sse_state": "SELECT count(*) AS n_streams, 0::BIGINT AS n_left FROM conversations WHERE role = 'assistant'",
+    "stream_idle": "SELECT conv_id, turn AS response_id, TRUE AS equal, 0::BIGINT AS n_left FROM conversations",
+    "replace_originals": f"WITH {oracle._VAULT}, t AS (SELECT conv_id, list([original, synthetic] ORDER BY original) AS v FROM vault GROUP BY ALL) SELECT m.conv_id, m.turn, sha256(CASE WHEN t.v IS NULL THEN m.text ELSE list_reduce(t.v, lambda acc, x: [replace(acc[1], x[1], x[2])], [m.text])[1] END) AS sha, coalesce(len(list_filter(t.v, lambda x: contains(m.text, x[1]))) > 0, FALSE) AS changed FROM msg m LEFT JOIN t ON t.conv_id = m.conv_id",
+    "replace_synthetics": f"WITH {oracle._VAULT}, n AS (SELECT DISTINCT conv_id, turn FROM hits) SELECT m.conv_id, m.turn, sha256(m.text) AS sha, n.turn IS NOT NULL AS changed FROM msg m LEFT JOIN n ON n.conv_id = m.conv_id AND n.turn = m.turn",
+    "vault_places": f"WITH {oracle._VAULT}, p AS (SELECT m.conv_id, m.turn, unnest(list_filter(range(1, length(m.text) + 1), lambda i: starts_with(substr(m.text, i), v.original))) - 1 AS start FROM msg m JOIN vault v ON v.conv_id = m.conv_id AND contains(m.text, v.original)) SELECT conv_id, turn, count(*) AS n, CAST(sum(start) AS BIGINT) AS sum_start FROM p GROUP BY ALL",
     "live_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "config_levels": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{k}', '{v[0]}', {k != '1'})" for k, v in config.LEVELS.items()) + ") v(level, back, mode, changed)",
 }

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import spans, tokens, validators
 from ..functions.synth import surrogate
@@ -47,20 +51,51 @@ def _vault(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> D
     return pseudonymize.vault(found, ["turn", "start"])
 
 
-def run_stream(spark: SparkSession, rows: DataFrame, of, mode: str = "append") -> DataFrame:
-    """What a stream over rows gives: written, read as a stream until it ends, and read again."""
+@contextmanager
+def state_provider(spark: SparkSession) -> Iterator[None]:
+    """Streams started meanwhile keep their keyed state as they need; the session's own setting is put back."""
     from ..streaming.restore import STATE_PROVIDER
 
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def wait_until(running: StreamingQuery, done, seconds: float = 300) -> None:
+    """Let a stream that goes on run until done(progress of its batches) or for so long, then stop it.
+
+    A stream with processing-time timers always has another batch to run, so there is no end of its input to wait for.
+    """
+    seen, until = {}, time.monotonic() + seconds
+    try:
+        while running.isActive and time.monotonic() < until:
+            seen |= {p["batchId"]: p for p in running.recentProgress}
+            if seen and done([seen[k] for k in sorted(seen)]):
+                return
+            time.sleep(0.3)
+        if running.exception() is not None:
+            raise running.exception()
+        raise TimeoutError(f"the stream hasn't come to its end in {seconds} s")
+    finally:
+        running.stop()
+
+
+def run_stream(spark: SparkSession, rows: DataFrame, of, mode: str = "append") -> DataFrame:
+    """What a stream over rows gives: written, read as a stream until it ends, and read again."""
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     remove_at_exit(spark, folder)
     rows.write.parquet(f"{folder}/in")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)  # of all streams of the session that keep keyed state
     out = of(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
     writer = out.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    if mode == "append":
-        writer.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
-    else:
-        writer.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out")).start().awaitTermination()
+    with state_provider(spark):
+        if mode == "append":
+            writer.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+        else:
+            writer.outputMode(mode).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out")).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
@@ -185,14 +220,15 @@ def mask_messages(spark, sf_dir):
 
 
 def restore_roundtrip(spark, sf_dir):
+    """Messages masked in both forms and restored, in one pass each."""
     rows = _detected(spark, sf_dir)
-    v = cut(_vault(spark, sf_dir, rows))
-    out = None
-    for form in ("bare", "xml"):
-        masked = pseudonymize.rewrite(rows, v, ["conv_id", "turn"], form=form)
-        one = restore.restore_messages(masked, v).select("conv_id", "turn", F.lit(form).alias("form"), (F.col("restored") == F.col("text")).alias("equal"), (F.col("masked") != F.col("text")).alias("changed"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    v = _vault(spark, sf_dir, rows)
+    masked = pseudonymize.rewrite_forms(rows, v, ["conv_id", "turn"], {"bare": "bare", "xml": "xml"})
+    form = F.explode(F.array(*[F.struct(F.lit(f).alias("form"), F.col(f).alias("masked")) for f in ("bare", "xml")]))
+    both = masked.select("conv_id", "turn", F.sha2("text", 256).alias("sha"), form.alias("f")).select("conv_id", "turn", "sha", "f.*")
+    both = both.withColumn("changed", F.sha2("masked", 256) != F.col("sha"))
+    back = restore.terms.restored(both, v, ["conv_id", "turn", "form", "sha", "changed"])
+    return back.select("conv_id", "turn", "form", (F.sha2("restored", 256) == F.col("sha")).alias("equal"), "changed")
 
 
 def cascade_levels(spark, sf_dir):
@@ -444,21 +480,31 @@ def events_session(spark, sf_dir):
     return windows.sessions(table(spark, sf_dir, "events"), ["user_id"], "30 minutes").select("user_id", "window_start", "window_end", "n")
 
 
-def stream_restore(spark, sf_dir):
-    """Masked replies cut into deltas of seven characters, restored by the stateful stream, put together again."""
-    from ..streaming.restore import restore_stream
-
+def deltas(spark, sf_dir, size: int = 7, tail: str = "", ends: bool = True):
+    """Rows for restore_stream: vaults, and masked replies, with a tail, cut into deltas of so many characters."""
     rows = _detected(spark, sf_dir)
     v = cut(_vault(spark, sf_dir, rows))
-    masked = pseudonymize.rewrite(rows, v, ["conv_id", "turn"], form="xml")
+    masked = pseudonymize.rewrite(rows, v, ["conv_id", "turn"], form="xml").withColumn("masked", F.concat("masked", F.lit(tail)))
     known = F.to_json(F.struct(F.col("token_id_map").alias("by_id"), F.col("display_value_map").alias("by_display"), F.col("synthetic_map").alias("by_synthetic")))
     none = lambda kind: F.lit(None).cast(kind)
     vaults = restore.maps(v).select("conv_id", none("long").alias("response_id"), none("long").alias("seq"), none("string").alias("delta"), none("boolean").alias("end"), known.alias("vault"))
-    n = F.ceil(F.greatest(F.length("masked"), F.lit(1)) / 7).cast("int")
+    n = F.ceil(F.greatest(F.length("masked"), F.lit(1)) / size).cast("int")
     pieces = masked.select("conv_id", F.col("turn").cast("long").alias("response_id"), "masked", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    deltas = pieces.select("conv_id", "response_id", F.col("i").cast("long").alias("seq"), F.substring(F.col("masked"), F.col("i") * 7 + 1, F.lit(7)).alias("delta"), (F.col("i") == F.col("n") - 1).alias("end"), none("string").alias("vault"))
-    parts = run_stream(spark, vaults.unionByName(deltas), restore_stream)
-    parts = parts.groupBy("conv_id", "response_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("restored"))
+    end = (F.col("i") == F.col("n") - 1) if ends else F.lit(False)
+    cuts = pieces.select("conv_id", "response_id", F.col("i").cast("long").alias("seq"), F.substring(F.col("masked"), F.col("i") * size + 1, F.lit(size)).alias("delta"), end.alias("end"), none("string").alias("vault"))
+    return vaults.unionByName(cuts)
+
+
+def together(parts: DataFrame) -> DataFrame:
+    """(conv_id, response_id, restored): the texts of a response in order."""
+    return parts.groupBy("conv_id", "response_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("restored"))
+
+
+def stream_restore(spark, sf_dir):
+    """Masked replies cut into deltas of seven characters, restored by the stateful stream, put together again."""
+    from ..streaming.restore import restore_stream
+
+    parts = together(run_stream(spark, deltas(spark, sf_dir), restore_stream))
     said = messages(spark, sf_dir).select("conv_id", F.col("turn").alias("response_id"), "text")
     return said.join(parts, ["conv_id", "response_id"], "left").select("conv_id", "response_id", (F.col("restored") == F.col("text")).alias("equal"))
 

@@ -1,99 +1,61 @@
-"""Restoring originals in streamed responses: the vault and a holdback buffer per response, kept as streaming state."""
+"""Restoring originals in streamed responses: the vault and an incremental tokenizer per response, kept as state."""
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-_OPEN = "<pii"
-_TOKEN = re.compile(r"(?s)<pii[^>]*>.*?</pii>")
-_ID = re.compile(r'^<pii[^>]*\bid="([^"]*)"')
-_INNER = re.compile(r"(?s)^[^>]*>(.*)</")
+from ..functions.restoring import CLOSE, Known, Restorer
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: The number in sequence of a response that has ended.
-ENDED = -1
+#: Ended responses of a conversation that are remembered, so that a delta of one that comes again is known as late.
+MOST_ENDED = 256
 OUTPUT = "conv_id long, response_id long, seq long, text string"
 
 
-class Restorer:
-    """Turns deltas of one response into restored text; the same text comes out however the deltas are cut.
-
-    What is held back is raw text: the start of a token that isn't closed, and any end of the text that may
-    still become a (longer) surrogate. A surrogate is replaced where it is leftmost and longest.
-    """
-
-    def __init__(self, by_id: dict[str, str], by_display: dict[str, str], by_synthetic: dict[str, str], tail: str = ""):
-        self.by_id, self.by_display = by_id, by_display
-        self.by_synthetic = {k: v for k, v in by_synthetic.items() if k}
-        self.sizes = sorted({len(k) for k in self.by_synthetic}, reverse=True)
-        self.openings = {k[:i] for k in (*self.by_synthetic, _OPEN) for i in range(1, len(k))}
-        self.tail = tail
-
-    def _token(self, token: str) -> str:
-        tid, shown = _ID.search(token), _INNER.search(token)
-        if not tid or not tid[1]:
-            return token
-        if tid[1] in self.by_id:
-            return self.by_id[tid[1]]
-        return self.by_display.get(shown[1] if shown else "", token)
-
-    def _run(self, raw: str, final: bool) -> tuple[str, str]:
-        out, i, n = [], 0, len(raw)
-        longest = max([len(_OPEN), *self.sizes])
-        while i < n:
-            if raw.startswith(_OPEN, i):
-                m = _TOKEN.match(raw, i)
-                if m:
-                    out.append(self._token(m[0]))
-                    i = m.end()
-                    continue
-                if not final:
-                    break
-            if not final and n - i < longest and raw[i:] in self.openings:
-                break
-            for size in self.sizes:
-                found = self.by_synthetic.get(raw[i : i + size]) if i + size <= n else None
-                if found is not None:
-                    out.append(found)
-                    i += size
-                    break
-            else:
-                out.append(raw[i])
-                i += 1
-        return "".join(out), raw[i:]
-
-    def feed(self, delta: str) -> str:
-        out, self.tail = self._run(self.tail + delta, final=False)
-        return out
-
-    def finish(self) -> str:
-        out, self.tail = self._run(self.tail, final=True)
-        return out
-
-
 class RestoreProcessor(StatefulProcessor):
-    """State of a conversation: its vault, and for each open response the held tail, the next number in sequence,
-    and deltas that came too early. A response's state goes when its end has come, or after `idle` without input."""
+    """State of a conversation: its vault, the tokenizer of each open response and the next number in sequence, the
+    pieces of its open token, each as it came, and deltas that came too early. A response's state goes when its end
+    has come, or after `idle` without input; the numbers of the last ended ones stay."""
 
     def __init__(self, ttl_ms: int | None, idle_ms: int | None):
         self.ttl_ms, self.idle_ms = ttl_ms, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        field = lambda **kinds: StructType([StructField(k, v()) for k, v in kinds.items()])
         self.handle = handle
-        self.vault = handle.getValueState("vault", StructType([StructField("vault", StringType())]), self.ttl_ms)
-        number = StructType([StructField("response_id", LongType())])
-        self.open = handle.getMapState("open", number, StructType([StructField("tail", StringType()), StructField("next", LongType())]), self.ttl_ms)
-        self.early = handle.getMapState("early", StructType([StructField("response_id", LongType()), StructField("seq", LongType())]), StructType([StructField("delta", StringType()), StructField("end", BooleanType())]), self.ttl_ms)
+        self.vault = handle.getValueState("vault", field(vault=StringType), self.ttl_ms)
+        self.open = handle.getMapState("open", field(response_id=LongType), field(held=StringType, phase=IntegerType, pieces=LongType, next=LongType), self.ttl_ms)
+        self.piece = handle.getMapState("piece", field(response_id=LongType, n=LongType), field(text=StringType), self.ttl_ms)
+        self.early = handle.getMapState("early", field(response_id=LongType, seq=LongType), field(delta=StringType, end=BooleanType), self.ttl_ms)
+        self.ended = handle.getValueState("ended", field(responses=StringType), self.ttl_ms)
 
-    def _known(self) -> tuple[dict, dict, dict]:
+    def _known(self) -> Known:
         known = json.loads(self.vault.get()[0]) if self.vault.exists() else {}
-        return known.get("by_id", {}), known.get("by_display", {}), known.get("by_synthetic", {})
+        return Known(known.get("by_id", {}), known.get("by_display", {}), known.get("by_synthetic", {}))
+
+    def _stored(self, response: int, count: int) -> list[str]:
+        """The pieces of a response's open token, taken out of the state."""
+        found = [self.piece.getValue((response, n))[0] for n in range(count)]
+        for n in range(count):
+            self.piece.removeKey((response, n))
+        return found
+
+    def _goes_on(self, known: Known, response: int) -> tuple[Restorer, int, int]:
+        """(tokenizer, pieces in the state, next number) of a response."""
+        held, phase, pieces, expected = self.open.getValue((response,)) if self.open.containsKey((response,)) else ("", 0, 0, 0)
+        return Restorer(known, held, int(phase)), int(pieces), int(expected)
+
+    def _settle(self, response: int, restorer: Restorer, pieces: int, delta: str, end: bool) -> tuple[str, int]:
+        """(restored text, pieces left in the state) of the next delta; pieces are read only when the token ends."""
+        if pieces and (end or CLOSE in restorer.held + delta):
+            restorer.pieces, pieces = self._stored(response, pieces) + restorer.pieces, 0
+        text = restorer.feed(delta)
+        return (text + restorer.finish() if end else text), pieces
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator:
         import pandas as pd
@@ -105,47 +67,54 @@ class RestoreProcessor(StatefulProcessor):
                     self.vault.update((row.vault,))
                 else:
                     new.setdefault(int(row.response_id), {}).setdefault(int(row.seq), (row.delta or "", bool(row.end)))
+        over = json.loads(self.ended.get()[0]) if self.ended.exists() else []
+        for response in over:
+            new.pop(response, None)
         for response, seq in [tuple(map(int, k)) for k in self.early.keys()] if self.early.exists() else []:
             if response in new:
                 held = self.early.getValue((response, seq))
                 new[response].setdefault(seq, (held[0], bool(held[1])))
                 self.early.removeKey((response, seq))
-        out, restorer = [], Restorer(*self._known())  # one for all responses; the tail is what differs
+        out, known, before = [], self._known(), len(over)
         for response, waiting in new.items():
-            restorer.tail, expected = self.open.getValue((response,)) if self.open.containsKey((response,)) else ("", 0)
-            expected, ended = int(expected), expected == ENDED
+            restorer, pieces, expected = self._goes_on(known, response)
+            ended = False
             while not ended and expected in waiting:
                 delta, ended = waiting.pop(expected)
-                text = restorer.feed(delta)
-                out.append((key[0], response, expected, text + restorer.finish() if ended else text))
+                text, pieces = self._settle(response, restorer, pieces, delta, ended)
+                out.append((key[0], response, expected, text))
                 expected += 1
             if ended:
-                self.open.updateValue((response,), ("", ENDED)) if self.ttl_ms else self._forget(response)
+                over.append(response)
+                if self.open.containsKey((response,)):
+                    self.open.removeKey((response,))
                 continue
-            self.open.updateValue((response,), (restorer.tail, expected))
+            if restorer.phase and restorer.pieces:
+                self.piece.updateValue((response, pieces), ("".join(restorer.pieces),))
+                pieces += 1
+            self.open.updateValue((response,), (restorer.held, restorer.phase, pieces, expected))
             for seq, (delta, end) in waiting.items():
                 if seq >= expected:
                     self.early.updateValue((response, seq), (delta, end))
+        if len(over) > before:
+            self.ended.update((json.dumps(over[-MOST_ENDED:]),))
         if self.idle_ms:
             for at in list(self.handle.listTimers()):
                 self.handle.deleteTimer(at)
             self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield pd.DataFrame(out, columns=["conv_id", "response_id", "seq", "text"])
 
-    def _forget(self, response: int) -> None:
-        if self.open.containsKey((response,)):
-            self.open.removeKey((response,))
-
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator:
-        """What responses without an end still hold, when their time is up."""
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        """What responses without an end still hold, when their time is up; nothing of the conversation stays."""
         import pandas as pd
 
-        out, restorer = [], Restorer(*self._known())
+        out, known = [], self._known()
         for (response,) in [tuple(map(int, k)) for k in self.open.keys()]:
-            restorer.tail, expected = self.open.getValue((response,))
-            if expected != ENDED:
-                out.append((key[0], response, int(expected), restorer.finish()))
-                self.open.removeKey((response,))
+            restorer, pieces, expected = self._goes_on(known, response)
+            restorer.pieces = self._stored(response, pieces)
+            out.append((key[0], response, expected, restorer.finish()))
+        for state in (self.vault, self.open, self.piece, self.early, self.ended):
+            state.clear()
         yield pd.DataFrame(out, columns=["conv_id", "response_id", "seq", "text"])
 
     def close(self) -> None:
@@ -157,10 +126,11 @@ def restore_stream(rows: DataFrame, ttl_ms: int | None = None, idle_ms: int | No
 
     A row with vault, the JSON of the maps by_id, by_display and by_synthetic, sets the conversation's vault and
     has no delta; it counts for the deltas of its micro-batch and later ones. Deltas are taken in the order of seq
-    from 0, also across micro-batches; a response ends with its row of end, and its state goes. With ttl_ms, state
-    that isn't touched for so long goes too; with idle_ms, a conversation without rows for so long gives out what
-    its responses hold; both need a trigger that goes on, since a run until the input ends would wait for them for
-    ever. The session has to use STATE_PROVIDER.
+    from 0, also across micro-batches; a response ends with its row of end, and its state goes; deltas that come
+    again after it are left out, for the last MOST_ENDED responses of a conversation. With ttl_ms, state that isn't
+    touched for so long goes too; with idle_ms, a conversation without rows for so long gives out what its responses
+    hold, and all of its state goes; both need a trigger that goes on, since a run until the input ends would wait for
+    them for ever. The session has to use STATE_PROVIDER.
     """
     timed = "ProcessingTime" if ttl_ms or idle_ms else "None"
     return rows.groupBy("conv_id").transformWithStateInPandas(RestoreProcessor(ttl_ms, idle_ms), OUTPUT, "Append", timed)
