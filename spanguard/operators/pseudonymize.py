@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import spans, tokens
 from ..functions.synth import surrogate
 from ..session import cut
-from ..sources import chat
+from ..sources import chat, splice
 from . import detect
 
 KEY = ["conv_id"]
@@ -87,7 +87,7 @@ def rewrite_forms(messages: DataFrame, rows: DataFrame, message: list[str], form
 def rewrite_bodies(requests: DataFrame, key: list[str], form: str = "xml", body: str = "body", field: str = "messages", conversation: str = "conv_id", locale_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(requests with `rewritten`, vault): personal data in the texts of chat bodies replaced, and written back.
 
-    Bodies without texts, or that aren't JSON, stay as they are. Other fields of a body keep their values.
+    Bodies without texts, or that aren't JSON, stay as they are, and so does every character outside the changed texts.
     """
     entries = requests.select(*key, *([locale_col] if locale_col else []), F.explode(chat.entries(F.col(body), field)).alias("__e"))
     texts = entries.select("*", F.col("__e.msg_idx").alias("msg_idx"), F.coalesce("__e.part_idx", F.lit(-1)).alias("part_idx"), F.col("__e.text").alias("text")).drop("__e")
@@ -99,7 +99,7 @@ def rewrite_bodies(requests: DataFrame, key: list[str], form: str = "xml", body:
     path = F.when(F.col("part_idx") < 0, F.col("msg_idx").cast("string")).otherwise(F.concat_ws("/", F.col("msg_idx").cast("string"), F.col("part_idx").cast("string")))
     put = masked.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(path, "masked"))).alias("__put"))  # the texts of one request
     out = requests.join(put, key, "left")
-    return out.withColumn("rewritten", F.when(F.col("__put").isNull(), F.col(body)).otherwise(chat.with_texts(F.col(body), F.col("__put"), field))).drop("__put"), known
+    return out.withColumn("rewritten", F.when(F.col("__put").isNull(), F.col(body)).otherwise(splice.with_texts(F.col(body), F.col("__put"), field))).drop("__put"), known
 
 
 def stage_one(text: Column, replacements: Column, conversation: Column, base: Column) -> Column:

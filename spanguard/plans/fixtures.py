@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-# A text with one value of each kind, built from a customer key k and its SHA-256 h.
+# A text with one value of each kind, built from a customer key k and its SHA-256 h; D(i, m) is a number below m from
+# the four hex digits of h that begin at the i-th; L pads a number, S writes it.
 TEXTS = (
-    ("EMAIL", "en-US", "'mail user' || k || '@mail.example.com now'"),
-    ("PHONE", "en-US", "'call ' || L(200 + n % 800, 3) || '-' || L(200 + (n * 7) % 800, 3) || '-' || L(1000 + (n * 13) % 9000, 4) || ' ok'"),
-    ("SSN", "en-US", "'ssn ' || L(100 + n % 500, 3) || '-' || L(10 + n % 90, 2) || '-' || L(1000 + (n * 11) % 9000, 4) || ' ok'"),
-    ("CREDIT_CARD", "en-US", "'card 4111-1111-1111-1111 ok'"),
+    ("EMAIL", "en-US", "'write to c' || k || '.' || substr(h, 1, 5) || '@post.example.net soon'"),
+    ("PHONE", "en-US", "'ring ' || L(201 + D(3, 790), 3) || '.' || L(211 + D(9, 780), 3) || '.' || L(D(15, 10000), 4) || ' today'"),
+    ("SSN", "en-US", "'number ' || L(1 + D(5, 660), 3) || ' ' || L(1 + D(11, 99), 2) || ' ' || L(1 + D(17, 9999), 4) || ' on file'"),
+    ("CREDIT_CARD", "en-US", "'paid by 5500 0000 0000 0004 then'"),
     ("IP_V4", "en-US", "'host ' || S(n % 223 + 1) || '.10.' || S(n % 256) || '.7 up'"),
     ("IP_V6", "en-US", "'addr 2001:db8::' || S(n % 9999 + 1) || ' up'"),
     ("OPENAI_API_KEY", "en-US", "'key sk-' || substr(h, 1, 40) || ' end'"),
@@ -33,17 +34,20 @@ TEXTS = (
 def _expand(expression: str, string: str) -> str:
     out, i = "", 0
     while i < len(expression):
-        if expression[i : i + 2] in ("L(", "S(") and (i == 0 or not (expression[i - 1].isalnum() or expression[i - 1] == "_")):
+        if expression[i : i + 2] in ("L(", "S(", "D(") and (i == 0 or not (expression[i - 1].isalnum() or expression[i - 1] == "_")):
             depth, j = 1, i + 2
             while depth:
                 depth += {"(": 1, ")": -1}.get(expression[j], 0)
                 j += 1
             inside = expression[i + 2 : j - 1]
+            value, _, last = inside.rpartition(",")
             if expression[i] == "S":
-                out += f"CAST({inside} AS {string})"
+                out += f"CAST({_expand(inside, string)} AS {string})"
+            elif expression[i] == "D":
+                digits = [f"(instr('0123456789abcdef', substr(h, {int(value) + k}, 1)) - 1) * {16 ** (3 - k)}" for k in range(4)]
+                out += f"(({' + '.join(digits)}) % {last.strip()})"
             else:
-                value, _, width = inside.rpartition(",")
-                out += f"lpad(CAST({value} AS {string}), {width.strip()}, '0')"
+                out += f"lpad(CAST({_expand(value, string)} AS {string}), {last.strip()}, '0')"
             i = j
         else:
             out += expression[i]
@@ -68,9 +72,9 @@ def messages_sql(duck: bool) -> str:
     s = "VARCHAR" if duck else "STRING"
     return (
         "SELECT conv_id, turn, role, text || CASE turn % 4 "
-        f"WHEN 0 THEN ' mail user' || CAST(conv_id AS {s}) || '@mail.example.com now' "
-        f"WHEN 1 THEN ' call 415-555-' || lpad(CAST(1000 + conv_id % 9000 AS {s}), 4, '0') || ' ok' "
-        f"WHEN 2 THEN ' mail user' || CAST(conv_id AS {s}) || '@mail.example.com host 10.' || CAST(conv_id % 250 AS {s}) || '.3.7 up' "
+        f"WHEN 0 THEN ' write to m' || CAST(conv_id AS {s}) || '@post.example.net soon' "
+        f"WHEN 1 THEN ' ring 628-555-' || lpad(CAST((conv_id * 31 + 47) % 10000 AS {s}), 4, '0') || ' today' "
+        f"WHEN 2 THEN ' copy m' || CAST(conv_id AS {s}) || '@post.example.net from 172.' || CAST(16 + conv_id % 16 AS {s}) || '.' || CAST(conv_id % 251 AS {s}) || '.9 please' "
         "ELSE '' END AS text FROM conversations"
     )
 

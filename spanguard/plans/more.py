@@ -11,7 +11,7 @@ from ..functions import spans, synth, tokens
 from ..functions.synth import surrogate
 from ..operators import audit, detect, pseudonymize, restore, terms
 from ..session import cut, remove_at_exit, shared_dir, table
-from ..sources import chat, config, sse, store
+from ..sources import chat, config, splice, sse, store
 from . import oracle
 from . import queries as q
 
@@ -234,6 +234,43 @@ def rewrite_bodies(spark, sf_dir):
     return rows.select("conv_id", "max_tokens", "other", F.col("e.msg_idx").cast("long").alias("idx"), F.sha2("e.text", 256).alias("masked_sha256"))
 
 
+#: Characters that need no escape in JSON.
+_PLAIN = "[^ !#-Z^-~]"
+
+
+def splice_bodies(spark, sf_dir):
+    """Bodies with keys, spaces, numbers and escapes of their own, a message in each: only the masked text changes."""
+    text = F.regexp_replace("text", _PLAIN, " ")
+    body = F.concat(F.lit('{ "z": 1.50, "messages" : [ {"role":"user","content": "'), text, F.lit('"} , {"content":[{"type":"text"}]}],"a" :"\\u00e9\\/"}'))
+    requests = cut(q.messages(spark, sf_dir).select("conv_id", "turn", body.alias("body")))
+    out, _ = pseudonymize.rewrite_bodies(requests, ["conv_id", "turn"], form="bare")
+    return out.select("conv_id", "turn", F.sha2("rewritten", 256).alias("sha"))
+
+
+def remind_bodies(spark, sf_dir):
+    """The reminder put into bodies with and without a system prompt, of providers that take one and of one that doesn't."""
+    said, kind = F.regexp_replace("text", _PLAIN, " "), F.col("conv_id") % 5
+    body = (
+        F.when(kind == 0, F.concat(F.lit('{"model":"m", "x":"'), said, F.lit('"}')))
+        .when(kind == 1, F.concat(F.lit('{"system": "'), said, F.lit('" ,"n":1e3}')))
+        .when(kind == 2, F.concat(F.lit('{"messages":[{"role":"user"},{"role":"system","content":"'), said, F.lit('"}]}')))
+        .when(kind == 3, F.concat(F.lit('{"messages":[ {"role":"user","content":"'), said, F.lit('"}]}')))
+        .otherwise(F.concat(F.lit('{"contents":["'), said, F.lit('"]}')))
+    )
+    name = F.when(kind < 2, "anthropic").when(kind < 4, "openai").otherwise("google")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", name.alias("name"), body.alias("body"))
+    return rows.select("conv_id", "turn", "name", F.sha2(splice.reminded(F.col("name"), F.col("body"), "keep tokens"), 256).alias("sha"))
+
+
+def tool_blocks(spark, sf_dir):
+    """Requests with tool calls and results among their blocks, parsed."""
+    block = lambda **fields: F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    blocks = [block(type=F.lit("tool_use"), name=F.lit("calc"), input=F.struct(F.col("turn").alias("x"))), block(type=F.lit("tool_result"), content=F.col("text")), block(type=F.lit("tool_use"), input=F.struct(F.lit(True).alias("y"))), block(type=F.lit("tool_result"), content=F.array(F.struct(F.lit("text").alias("type"), F.col("role").alias("text"))))]
+    body = F.concat(F.lit('{"model":"m","messages":[{"role":"assistant","content":['), F.concat_ws(",", *blocks), F.lit("]}]}"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", chat.parse_anthropic(body).alias("p"))
+    return rows.select("conv_id", "turn", F.sha2(F.col("p.messages")[0]["content"], 256).alias("sha"))
+
+
 def content_length(spark, sf_dir):
     headers = F.lit("POST / HTTP/1.1\r\ncontent-length: 5\r\nX-Content-Length: 9\r\n")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", chat.with_content_length(headers, F.col("text")).alias("headers"))
@@ -358,13 +395,12 @@ def live_counts(spark, sf_dir):
 
 # ---------------------------------------------------------------- settings
 def config_levels(spark, sf_dir):
-    """Protection levels as settings and back, and the keys that each changes."""
-    rows = []
-    for level in config.LEVELS:
-        settings = config.load("/nowhere.toml")
-        changed = config.merge(settings, config.level_patch(level))
-        rows.append((level, config.level_of(settings), settings["pii"]["mode"], len(changed) > 0))
-    return spark.createDataFrame(rows, "level string, back string, mode string, changed boolean")
+    """The protection level of settings that differ from customer to customer, and what the level's own settings are."""
+    n = F.col("c_custkey")
+    mode = F.element_at(F.array(F.lit("off"), F.lit("detect-only"), F.lit("replace"), F.lit("other")), (n % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", mode.alias("mode"), (n % 3 > 0).alias("regex"), (n % 5 > 1).alias("ner"), (n % 7 > 2).alias("slm"))
+    level = config.level(F.col("mode"), F.col("regex"), F.col("ner"), F.col("slm"))
+    return rows.select("c_custkey", level.alias("level")).withColumn("patch_mode", config.level_mode(F.col("level")))
 
 
 QUERIES = {
@@ -372,7 +408,7 @@ QUERIES = {
     for f in (
         synth_distinct, synth_not_found_again, stateless_synth, conv_by_id, file_path, messages_by_conv, fingerprint_lookup, request_counts, conversation_count, rotate_counts,
         evict_counts, ndjson_store, vault_compaction, vault_records, detection_log, position_pairs, vault_stats, naive_mask, midnight, stage_union, ner_spans, size_guard,
-        cascade_models, replacements, stage_one, skip_synthetic, rewrite_bodies, content_length, response_bodies, trailing_events, other_streams, sse_chunks, sse_state, stream_idle, replace_originals, replace_synthetics, vault_places, live_counts, config_levels,
+        cascade_models, replacements, stage_one, skip_synthetic, rewrite_bodies, splice_bodies, remind_bodies, tool_blocks, content_length, response_bodies, trailing_events, other_streams, sse_chunks, sse_state, stream_idle, replace_originals, replace_synthetics, vault_places, live_counts, config_levels,
     )
 }
 
@@ -424,11 +460,20 @@ SQL = {
     "trailing_events": "SELECT conv_id, turn, CASE WHEN turn % 3 < 2 AND text <> '' THEN sha256(text) END AS sha FROM conversations",
     "other_streams": "SELECT conv_id, turn, p AS provider, text, CASE WHEN p = 'google' THEN conv_id END::BIGINT AS tokens_in, CASE WHEN p = 'google' THEN length(text) END::BIGINT AS tokens_out FROM conversations, (VALUES ('openai'), ('google')) v(p) WHERE role = 'assistant'",
     "sse_chunks": oracle.SQL["sse_blocks"],
+    "splice_bodies": f"WITH {oracle._VAULT}, " + oracle._masked("msg", "conv_id, turn", "", "v.synthetic", "JOIN vault v ON v.conv_id = h.conv_id AND v.original = h.hit") + f""" SELECT conv_id, turn, sha256('{{ "z": 1.50, "messages" : [ {{"role":"user","content": "' || regexp_replace(masked, '{_PLAIN}', ' ', 'g') || '"}} , {{"content":[{{"type":"text"}}]}}],"a" :"\\u00e9\\/"}}') AS sha FROM masked""",
+    "remind_bodies": f"""WITH r AS (SELECT '<system-reminder>\\nkeep tokens\\n</system-reminder>' AS b), c AS (SELECT conv_id, turn, conv_id % 5 AS k, regexp_replace(text, '{_PLAIN}', ' ', 'g') AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN k < 2 THEN 'anthropic' WHEN k < 4 THEN 'openai' ELSE 'google' END AS name, sha256(CASE k
+ WHEN 0 THEN '{{"system":"' || b || '","model":"m", "x":"' || t || '"}}'
+ WHEN 1 THEN '{{"system": "' || t || '\\n\\n' || b || '" ,"n":1e3}}'
+ WHEN 2 THEN '{{"messages":[{{"role":"user"}},{{"role":"system","content":"' || t || '\\n\\n' || b || '"}}]}}'
+ WHEN 3 THEN '{{"messages":[{{"role":"system","content":"' || b || '"}}, {{"role":"user","content":"' || t || '"}}]}}'
+ ELSE '{{"contents":["' || t || '"]}}' END) AS sha FROM c, r""",
+    "tool_blocks": """SELECT conv_id, turn, sha256('[calc] {"x":' || turn || '}[result] ' || text || '[unknown] {"y":true}[result] ' || role) AS sha FROM conversations""",
     "sse_state": "SELECT count(*) AS n_streams, 0::BIGINT AS n_left FROM conversations WHERE role = 'assistant'",
     "stream_idle": "SELECT conv_id, turn AS response_id, TRUE AS equal, 0::BIGINT AS n_left FROM conversations",
     "replace_originals": f"WITH {oracle._VAULT}, t AS (SELECT conv_id, list([original, synthetic] ORDER BY original) AS v FROM vault GROUP BY ALL) SELECT m.conv_id, m.turn, sha256(CASE WHEN t.v IS NULL THEN m.text ELSE list_reduce(t.v, lambda acc, x: [replace(acc[1], x[1], x[2])], [m.text])[1] END) AS sha, coalesce(len(list_filter(t.v, lambda x: contains(m.text, x[1]))) > 0, FALSE) AS changed FROM msg m LEFT JOIN t ON t.conv_id = m.conv_id",
     "replace_synthetics": f"WITH {oracle._VAULT}, n AS (SELECT DISTINCT conv_id, turn FROM hits) SELECT m.conv_id, m.turn, sha256(m.text) AS sha, n.turn IS NOT NULL AS changed FROM msg m LEFT JOIN n ON n.conv_id = m.conv_id AND n.turn = m.turn",
     "vault_places": f"WITH {oracle._VAULT}, p AS (SELECT m.conv_id, m.turn, unnest(list_filter(range(1, length(m.text) + 1), lambda i: starts_with(substr(m.text, i), v.original))) - 1 AS start FROM msg m JOIN vault v ON v.conv_id = m.conv_id AND contains(m.text, v.original)) SELECT conv_id, turn, count(*) AS n, CAST(sum(start) AS BIGINT) AS sum_start FROM p GROUP BY ALL",
     "live_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
-    "config_levels": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{k}', '{v[0]}', {k != '1'})" for k, v in config.LEVELS.items()) + ") v(level, back, mode, changed)",
+    "config_levels": "WITH r AS (SELECT c_custkey, c_custkey % 4 AS m, c_custkey % 3 > 0 AS a, c_custkey % 5 > 1 AS b, c_custkey % 7 > 2 AS c FROM customer), l AS (SELECT c_custkey, CASE WHEN m = 1 THEN 'detect-only' WHEN m = 2 AND a AND b AND c THEN '3' WHEN m = 2 AND a AND b THEN '2' WHEN m = 2 AND a AND NOT c THEN '1' WHEN m = 2 AND NOT a AND NOT b AND c THEN 'intelligent' ELSE 'off' END AS level FROM r) SELECT *, CASE level WHEN 'off' THEN 'off' WHEN 'detect-only' THEN 'detect-only' ELSE 'replace' END AS patch_mode FROM l",
 }

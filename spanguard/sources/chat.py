@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,7 +13,6 @@ HOSTS = (("anthropic.com", "anthropic"), ("openai.com", "openai"), ("googleapis.
 DOMAINS = ("api.anthropic.com", "api.openai.com", "generativelanguage.googleapis.com", "api.mistral.ai", "api.groq.com")
 
 MESSAGES = "array<struct<role:string,content:string>>"
-_OBJECTS = "array<string>"
 
 
 def provider(host: Column) -> Column:
@@ -25,20 +26,23 @@ def intercepted(host: Column, domains: tuple[str, ...] = DOMAINS) -> Column:
     return host.isin(*domains)
 
 
-def _text(json: Column, path: str) -> Column:
-    """A string at the path; null for values of other kinds."""
-    value = F.try_variant_get(F.try_parse_json(json), path, "string")
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(json), path, "variant"))
-    return F.when(kind == "STRING", value)
+def _parsed(body: Column, of: Callable[[Column], Column]) -> Column:
+    """of(the body as a variant): the body is parsed once, however often its fields are asked for; null if it isn't JSON."""
+    return F.transform(F.array(F.try_parse_json(body)), of)[0]
+
+
+def _at(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, path, "variant")
 
 
-def _kind(json: Column, path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(json), path, "variant"))
+def _text(value: Column, path: str) -> Column:
+    """A string of a variant at the path; null for values of other kinds."""
+    return F.when(F.schema_of_variant(_at(value, path)) == "STRING", F.try_variant_get(value, path, "string"))
 
 
-def _items(json: Column, path: str) -> Column:
-    """Elements of the array at the path, each as JSON text; null if it isn't an array."""
-    return F.when(_kind(json, path).startswith("ARRAY"), F.transform(F.try_variant_get(F.try_parse_json(json), path, "array<variant>"), lambda x: F.to_json(x)))
+def _items(value: Column, path: str) -> Column:
+    """Elements of a variant's array at the path; null if it isn't an array."""
+    return F.try_variant_get(value, path, "array<variant>")
 
 
 def text_parts(content: Column) -> Column:
@@ -59,7 +63,7 @@ def block_parts(content: Column) -> Column:
         return (
             F.when(kind == "text", _text(b, "$.text"))
             .when((kind == "thinking") & (F.length(_text(b, "$.thinking")) > 0), F.concat(F.lit("[thinking] "), _text(b, "$.thinking")))
-            .when(kind == "tool_use", F.concat(F.lit("["), F.coalesce(_text(b, "$.name"), F.lit("unknown")), F.lit("] "), F.coalesce(F.get_json_object(b, "$.input"), F.lit(""))))
+            .when(kind == "tool_use", F.concat(F.lit("["), F.coalesce(_text(b, "$.name"), F.lit("unknown")), F.lit("] "), F.coalesce(F.to_json(_at(b, "$.input")), F.lit(""))))
             .when(kind == "tool_result", result(b))
         )
 
@@ -75,30 +79,42 @@ def _string_or(m: Column, parts) -> Column:
     return F.coalesce(_text(m, "$.content"), parts(_items(m, "$.content")))
 
 
+def _openai(v: Column) -> Column:
+    messages = _messages(v, "$.messages", lambda m: _string_or(m, text_parts))
+    return F.when(_text(v, "$.model").isNotNull() & messages.isNotNull(), F.struct(_text(v, "$.model").alias("model"), messages.cast(MESSAGES).alias("messages")))
+
+
+def _anthropic(v: Column) -> Column:
+    none = F.array().cast(MESSAGES)
+    system = F.when(_text(v, "$.system").isNotNull(), F.array(F.struct(F.lit("system").alias("role"), _text(v, "$.system").alias("content"))).cast(MESSAGES)).otherwise(none)
+    messages = F.coalesce(_messages(v, "$.messages", lambda m: _string_or(m, block_parts)).cast(MESSAGES), none)
+    return F.when(_text(v, "$.model").isNotNull(), F.struct(_text(v, "$.model").alias("model"), F.concat(system, messages).alias("messages")))
+
+
+def _google(v: Column) -> Column:
+    content = lambda m: F.array_join(F.transform(_items(m, "$.parts"), lambda p: _text(p, "$.text")), "")
+    messages = _messages(v, "$.contents", content)
+    return F.when(messages.isNotNull(), F.struct(F.coalesce(_text(v, "$.model"), F.lit("gemini")).alias("model"), messages.cast(MESSAGES).alias("messages")))
+
+
 def parse_openai(body: Column) -> Column:
     """struct(model, messages); null without a model and messages."""
-    messages = _messages(body, "$.messages", lambda m: _string_or(m, text_parts))
-    return F.when(_text(body, "$.model").isNotNull() & messages.isNotNull(), F.struct(_text(body, "$.model").alias("model"), messages.cast(MESSAGES).alias("messages")))
+    return _parsed(body, _openai)
 
 
 def parse_anthropic(body: Column) -> Column:
     """struct(model, messages), a system prompt as the first message; null without a model."""
-    none = F.array().cast(MESSAGES)
-    system = F.when(_text(body, "$.system").isNotNull(), F.array(F.struct(F.lit("system").alias("role"), _text(body, "$.system").alias("content"))).cast(MESSAGES)).otherwise(none)
-    messages = F.coalesce(_messages(body, "$.messages", lambda m: _string_or(m, block_parts)).cast(MESSAGES), none)
-    return F.when(_text(body, "$.model").isNotNull(), F.struct(_text(body, "$.model").alias("model"), F.concat(system, messages).alias("messages")))
+    return _parsed(body, _anthropic)
 
 
 def parse_google(body: Column) -> Column:
     """struct(model, messages) from contents and parts; the model is `gemini` where the body names none."""
-    content = lambda m: F.array_join(F.transform(_items(m, "$.parts"), lambda p: _text(p, "$.text")), "")
-    messages = _messages(body, "$.contents", content)
-    return F.when(messages.isNotNull(), F.struct(F.coalesce(_text(body, "$.model"), F.lit("gemini")).alias("model"), messages.cast(MESSAGES).alias("messages")))
+    return _parsed(body, _google)
 
 
 def parse(name: Column, body: Column) -> Column:
     """By provider; unknown ones are read in the most common shape."""
-    return F.when(name == "anthropic", parse_anthropic(body)).when(name == "google", parse_google(body)).otherwise(parse_openai(body))
+    return _parsed(body, lambda v: F.when(name == "anthropic", _anthropic(v)).when(name == "google", _google(v)).otherwise(_openai(v)))
 
 
 def entries(body: Column, field: str = "messages") -> Column:
@@ -111,33 +127,7 @@ def entries(body: Column, field: str = "messages") -> Column:
         one = F.array(F.struct(i.alias("msg_idx"), F.lit(None).cast("int").alias("part_idx"), text.alias("text")))
         return F.when(text.isNotNull(), one).otherwise(F.coalesce(many, F.array().cast("array<struct<msg_idx:int,part_idx:int,text:string>>")))
 
-    return F.flatten(F.transform(_items(body, f"$.{field}"), of))
-
-
-def _put(item: Column, key: str, value: Column) -> Column:
-    """The JSON of an object with a string put at a key; the object as it is where the string is null."""
-    fields = F.map_filter(F.try_variant_get(item, "$", "map<string,variant>"), lambda k, _: k != key)
-    made = F.to_json(F.map_concat(fields, F.create_map(F.lit(key), value.cast("variant"))))
-    return F.when(value.isNull() | fields.isNull(), F.to_json(item)).otherwise(made)
-
-
-def with_texts(body: Column, texts: Column, field: str = "messages") -> Column:
-    """The body with texts put back where entries() found them: a map from `message` or `message/part` to text."""
-    whole = F.try_parse_json(body)
-    fields = F.map_filter(F.try_variant_get(whole, "$", "map<string,variant>"), lambda k, _: k != field)
-
-    def message(m: Column, i: Column) -> Column:
-        parts = F.try_variant_get(m, "$.content", "array<variant>")
-        of = lambda p, j: _put(p, "text", F.try_element_at(texts, F.concat_ws("/", i.cast("string"), j.cast("string"))))
-        many = F.concat(F.lit("["), F.array_join(F.transform(parts, of), ","), F.lit("]"))
-        others = F.map_filter(F.try_variant_get(m, "$", "map<string,variant>"), lambda k, _: k != "content")
-        held = F.to_json(F.map_concat(others, F.create_map(F.lit("content"), F.try_parse_json(many))))
-        listed = F.coalesce(F.schema_of_variant(F.try_variant_get(m, "$.content", "variant")).startswith("ARRAY"), F.lit(False))
-        return F.when(listed, held).otherwise(_put(m, "content", F.try_element_at(texts, i.cast("string"))))
-
-    items = F.transform(F.try_variant_get(whole, f"$.{field}", "array<variant>"), message)
-    joined = F.try_parse_json(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")))
-    return F.coalesce(F.to_json(F.map_concat(fields, F.create_map(F.lit(field), joined))), body)
+    return _parsed(body, lambda v: F.flatten(F.transform(_items(v, f"$.{field}"), of)))
 
 
 def with_content_length(headers: Column, body: Column) -> Column:
@@ -188,7 +178,7 @@ def response_usage(name: Column, body: Column) -> Column:
 
 def response_text(body: Column) -> Column:
     """Text blocks of a complete response, joined; null if it has no content array."""
-    return F.when(_items(body, "$.content").isNotNull(), text_parts(_items(body, "$.content")))
+    return _parsed(body, lambda v: F.when(_items(v, "$.content").isNotNull(), text_parts(_items(v, "$.content"))))
 
 
 def rewrite_delta(name: Column, data: Column, text: Column) -> Column:
@@ -217,5 +207,5 @@ def remind(name: Column, parsed: Column, system_kind: Column, reminder: str) ->
 
 
 def system_kind(body: Column) -> Column:
-    kind = _kind(body, "$.system")
+    kind = F.schema_of_variant(_at(F.try_parse_json(body), "$.system"))
     return F.when(kind.isNull() | (kind == "VOID"), "none").when(kind == "STRING", "string").otherwise("other")

@@ -7,6 +7,9 @@ import json
 import os
 import tomllib
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # The defaults, and what each protection level sets.
 DEFAULTS = {
     "pii": {"mode": "replace", "locale": "en-US", "confidence_threshold": 0.7, "vault_ttl_hours": 24, "tiers": {"regex": True, "ner": False, "slm": False}},
@@ -71,9 +74,29 @@ def level_patch(level: str) -> dict:
 
 
 def level_of(config: dict) -> str:
-    """The protection level that a configuration is; `custom` if none."""
+    """The protection level that a configuration is; tiers that no level has together protect nothing: `off`."""
     tiers = config["pii"]["tiers"]
     now = (config["pii"]["mode"], tiers["regex"], tiers["ner"], tiers["slm"])
-    if now[0] == "off":
-        return "off"
-    return next((k for k, v in LEVELS.items() if v == now), "custom")
+    if now[0] == "detect-only":
+        return "detect"
+    return next((k for k, v in LEVELS.items() if v == now and now[0] == "replace"), "off")
+
+
+def level(mode: Column, regex: Column, ner: Column, slm: Column) -> Column:
+    """The same for columns, with the name that is shown: detect-only."""
+    out = F.when(mode == "detect-only", "detect-only")
+    for name, (of, *tiers) in LEVELS.items():
+        if of == "replace":
+            same = mode == of
+            for column, wanted in zip((regex, ner, slm), tiers):
+                same = same & (column == F.lit(wanted))
+            out = out.when(same, name)
+    return out.otherwise("off")
+
+
+def level_mode(name: Column) -> Column:
+    """The mode that a level sets; null for names that aren't levels."""
+    out = F.when(name == "detect-only", "detect-only")
+    for level_name, (mode, *_) in LEVELS.items():
+        out = out.when(name == level_name, mode)
+    return out

@@ -90,6 +90,7 @@ def test_config(tmp_path):
         made = config.load(str(tmp_path / "none"))
         config.merge(made, config.level_patch(level))
         assert config.level_of(made) == level
+    assert config.level_of({"pii": {"mode": "replace", "tiers": {"regex": True, "ner": False, "slm": True}}}) == "off"
     with pytest.raises(ValueError):
         config.validate({"pii": {"tiers": {"ner": True, "regex": False}}})
 
@@ -109,3 +110,56 @@ def test_scores_of_nothing(spark):
     some = spark.createDataFrame([(1, "A")], "n int, entity string")
     assert evaluate.scores(some, none, ["n"]).first().f1 == 0.0
     assert evaluate.detection_rate(some, some, ["n"]).first().rate == 100.0
+
+
+def test_places_and_splices():
+    import json
+    import random
+
+    from spanguard.sources import splice
+
+    rnd = random.Random(5)
+
+    def made(depth):
+        kind = rnd.randrange(8 if depth else 5)
+        if kind < 5:
+            return rnd.choice([None, True, -1.5e3, 7, "a\n\"é\\", "", "x]}", "😀"])
+        if kind < 7:
+            return [made(depth - 1) for _ in range(rnd.randrange(4))]
+        return {rnd.choice(["role", "content", "text", 'q"', "é"]): made(depth - 1) for _ in range(rnd.randrange(4))}
+
+    def reach(value, path):
+        for k in path:
+            value = value[k]
+        return value
+
+    for _ in range(400):
+        value = made(4)
+        body = json.dumps(value, ensure_ascii=rnd.random() < 0.5, indent=rnd.choice([None, 1, "\t"]))
+        for path, (s, e) in splice.places(body).items():
+            assert json.loads(body[s:e]) == reach(value, path)
+    for bad in ("", "{", "[1", '{"a" 1}', '{"a":}', "[1 2]", '"open', '{1:2}', "[" * 100_000):
+        assert splice.put_texts(bad, {"0": "x"}, "messages") == bad and splice.put_reminder("openai", bad, "R") == bad
+    body = '{ "n":1.0,"messages":[{"content":"a"},{"content":[{"type":"text","text":"b\\u00e9"},{"text":3}]}] ,"z":[]}'
+    new = splice.put_texts(body, {"0": 'A"', "1/0": "B", "1/1": "no", "2": "no", "1": "no"}, "messages")
+    assert new == body.replace('"a"', '"A\\""').replace('"b\\u00e9"', '"B"')
+    assert splice.put_texts(body, {"0": "a", "1/0": "bé"}, "messages") == body
+    for name, b, want in [
+        ("anthropic", "{}", '{"system":"<system-reminder>\\nR\\n</system-reminder>"}'),
+        ("anthropic", '{"system":null}', '{"system":"<system-reminder>\\nR\\n</system-reminder>"}'),
+        ("anthropic", '{"system":[]}', '{"system":[]}'),
+        ("openai", '{"messages":[]}', '{"messages":[{"role":"system","content":"<system-reminder>\\nR\\n</system-reminder>"}]}'),
+        ("openai", '{"messages":[{"role":"system","content":[]}]}', '{"messages":[{"role":"system","content":[]}]}'),
+        ("openai", '{"model":1}', '{"model":1}'),
+        ("google", '{"contents":[]}', '{"contents":[]}'),
+    ]:
+        assert splice.put_reminder(name, b, "R") == want
+
+
+def test_one_parse_for_each_body(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3).select(F.lit('{"model":"m","messages":[{"role":"a","content":[{"type":"text","text":"x"}]}]}').alias("b"))
+    for of in (chat.parse_openai, chat.parse_anthropic, chat.parse_google, chat.entries):
+        plan = rows.repartition(2).select(of(F.col("b")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parse_json") + plan.count("VariantExpressionEvalUtils") + plan.count("parseJson") <= 1, plan
