@@ -21,6 +21,8 @@ from ..session import cut
 TEXTS = 1 << 14
 #: Conversations with more texts than that are broadcast by their number up to so many; else they are joined.
 FEW = 1 << 16
+#: Tables of texts of so many bytes at most, by the optimizer's estimate, aren't dealt by conversation and number.
+SMALL_BYTES = 32 << 20
 #: Texts of a batch that are handled at a time.
 SLICE = 256
 
@@ -50,14 +52,17 @@ def beside_terms(texts: DataFrame, terms: DataFrame, keep: Sequence[str], text:
     """keep, and the columns of schema that work(terms of the text's conversation, text) gives for each text.
 
     terms: conversation, kind, term, value. Of values of one term of a kind the smallest counts, null ones and empty
-    terms don't. keep must hold the conversation and the text if they are wanted. Texts of conversations without terms get Terms({}), null
-    texts count as empty, rows that repeat are each returned; empty tables are fine. keep's columns may have any names.
+    terms don't. keep must hold the conversation and the text if they are wanted. Texts of conversations without terms get
+    Terms({}), null texts count as empty, rows that repeat are each returned; empty tables are fine. keep's columns may
+    have any names.
     """
     none = lambda kind: F.lit(None).cast(kind)
     beside = [k for k in keep if k != text]
+    # A table whose rows all fit one task needs no count of its conversations' texts.
+    small = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
     counts = texts.groupBy(F.col(conversation).alias("c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TEXTS)
-    large = cut(counts.select("c", (1 + F.floor(F.col("n") / TEXTS)).cast("int").alias("parts")))
-    many = large.limit(FEW + 1).count()
+    large = None if small else cut(counts.select("c", (1 + F.floor(F.col("n") / TEXTS)).cast("int").alias("parts")))
+    many = 0 if large is None else large.limit(FEW + 1).count()
     part = F.lit(0)
     left = terms.select(F.col(conversation).alias("c"), "kind", "term", "value").where("term <> '' AND value IS NOT NULL")
     right = texts.select(F.col(conversation).alias("c"), F.col(text).alias("text"), F.struct(F.lit(0).alias("of"), *[F.col(f"`{k}`").alias(f"{n}") for n, k in enumerate(beside)]).alias("row"))

@@ -116,10 +116,10 @@ def ndjson_store(spark, sf_dir):
     remove_at_exit(spark, folder)
     store.write_ndjson(heads, m, vaults, found, folder)
     back = store.read_ndjson(spark, folder)
-    said = back["messages"].groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n_messages"), F.min_by("content", "line_no").alias("first_content"))
-    seen = back["detections"].groupBy(F.substring_index("message_id", "-", 1).alias("d")).agg(F.count(F.lit(1)).alias("n_detections"))
-    rows = store.first_vaults(back["vaults"]).groupBy("rng_seed").agg(F.count(F.lit(1)).alias("n_mappings"), F.min("synthetic").alias("synthetic"))
-    out = back["conversations"].join(said, F.col("id") == F.col("conversation_id"), "left").join(seen, F.col("id") == F.col("d"), "left").join(rows, F.col("synthetic") == F.concat(F.lit("s"), F.col("id")), "left")
+    said = back["messages"].groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n_messages"), F.min_by("content", F.struct("file", "line_no")).alias("first_content"))
+    seen = back["detections"].groupBy(F.col("conversation_id").alias("d")).agg(F.count(F.lit(1)).alias("n_detections"))
+    rows = store.first_vaults(back["vaults"]).groupBy(F.col("conversation_id").alias("v")).agg(F.first("rng_seed").alias("rng_seed"), F.count(F.lit(1)).alias("n_mappings"))
+    out = back["conversations"].join(said, F.col("id") == F.col("conversation_id"), "left").join(seen, F.col("id") == F.col("d"), "left").join(rows, F.col("id") == F.col("v"), "left")
     return out.select("id", "provider", "n_messages", "first_content", F.coalesce("n_detections", F.lit(0)).cast("long").alias("n_detections"), "n_mappings", F.col("rng_seed").cast("string").alias("seed"))
 
 

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
 

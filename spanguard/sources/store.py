@@ -13,18 +13,21 @@ DETECTION = "type string, message_id string, entity_type string, original_masked
 
 
 def read_ndjson(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """conversations, messages, vaults, detections of a folder with one NDJSON file per conversation.
+    """conversations, messages, vaults, detections of a folder of NDJSON files, each with file and line_no.
 
-    The first line of a file is the conversation, other lines are told apart by their type; blank and malformed
-    lines are skipped. Lines keep their order in `line_no`. A file is one row while it is split, so a conversation
-    has to fit in a task's memory.
+    A file holds one conversation or many. Each line is told apart by itself, so a large file is read in as many tasks
+    as it has blocks, and nothing is shuffled but the headers: a conversation's header has no conversation_id, of
+    several with one id the first counts; vaults and detections have their type, and a conversation_id, for lack of
+    which that in the file's name `<time>_<id>.ndjson` counts. Blank and malformed lines are skipped. line_no, the block
+    of the file and a number in it, orders a file's lines.
     """
-    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    lines = whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
-    lines = lines.where(F.trim("line") != "")
-    first = lines.where(F.col("line_no") == 0)
-    rest = lines.where(F.col("line_no") > 0)
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("line_no"),
+        F.col("value").alias("line"),
+    )
     vault, detection = F.col("line").contains('"type":"vault"'), F.col("line").contains('"type":"detection"')
+    named = F.nullif(F.regexp_extract("file", r"_([^/_]+)\.ndjson$", 1), F.lit(""))
 
     def parsed(df: DataFrame, schema: str, need: list[str]) -> DataFrame:
         out = df.select("file", "line_no", F.from_json("line", schema).alias("r")).select("file", "line_no", "r.*")
@@ -32,11 +35,17 @@ def read_ndjson(spark: SparkSession, path: str) -> dict[str, DataFrame]:
             out = out.where(F.col(c).isNotNull())
         return out
 
+    def owned(df: DataFrame) -> DataFrame:
+        return df.withColumn("conversation_id", F.coalesce("conversation_id", named))
+
+    plain = lines.where(~vault & ~detection)
+    heads = parsed(plain, CONVERSATION + ", conversation_id string", ["id", "started_at", "provider"]).where("conversation_id IS NULL").drop("conversation_id")
+    first = heads.groupBy("id").agg(F.min_by(F.struct(*[c for c in heads.columns if c != "id"]), F.struct("file", "line_no")).alias("h"))
     return {
-        "conversations": parsed(first, CONVERSATION, ["id", "started_at", "provider"]),
-        "messages": parsed(rest.where(~vault & ~detection), MESSAGE, ["id", "conversation_id", "direction", "timestamp", "content"]),
-        "vaults": parsed(rest.where(vault), VAULT, ["rng_seed", "mappings"]),
-        "detections": parsed(rest.where(detection), DETECTION, ["message_id", "entity_type"]),
+        "conversations": first.select(*[F.col("id") if c == "id" else F.col("h")[c].alias(c) for c in heads.columns]),
+        "messages": parsed(plain, MESSAGE, ["id", "conversation_id", "direction", "timestamp", "content"]),
+        "vaults": owned(parsed(lines.where(vault), VAULT + ", conversation_id string", ["rng_seed", "mappings"])),
+        "detections": owned(parsed(lines.where(detection), DETECTION + ", conversation_id string", ["message_id", "entity_type"])),
     }
 
 
@@ -56,10 +65,9 @@ def file_of(files: DataFrame, conversation: str, name: str = "file") -> DataFram
 
 
 def first_vaults(vaults: DataFrame) -> DataFrame:
-    """The first vault line of each file, and a row for each of its mappings; files without one have none."""
-    first = vaults.groupBy(F.col("file").alias("__f")).agg(F.min("line_no").alias("__n"))
-    found = vaults.join(first, (F.col("file") == F.col("__f")) & (F.col("line_no") == F.col("__n")), "left_semi")
-    return found.select("file", "rng_seed", F.explode("mappings").alias("m")).select("file", "rng_seed", "m.*")
+    """The first vault line of each conversation, and a row for each of its mappings; those without one have none."""
+    first = vaults.groupBy("conversation_id").agg(F.min_by(F.struct("rng_seed", "mappings"), F.struct("file", "line_no")).alias("v"))
+    return first.select("conversation_id", F.col("v.rng_seed").alias("rng_seed"), F.explode("v.mappings").alias("m")).select("conversation_id", "rng_seed", "m.*")
 
 
 def request_counts(conversations: DataFrame, messages: DataFrame) -> DataFrame:
@@ -110,19 +118,19 @@ def compact_vault(rows: DataFrame, path: str) -> None:
 
 
 def write_ndjson(conversations: DataFrame, messages: DataFrame, vaults: DataFrame, detections: DataFrame, path: str) -> None:
-    """Write a text file per conversation: the conversation, its messages in order, its vault, its detections.
+    """Write NDJSON files of many conversations each: the conversation, its messages in order, its vault, its detections.
 
-    vaults: conversation_id, rng_seed, mappings; detections: conversation_id and the fields of a detection. A
-    partition writes one file, so each conversation is a partition folder of its own.
+    vaults: conversation_id, rng_seed, mappings; detections: conversation_id and the fields of a detection. A task
+    writes the conversations that it gets into one file, one after the other; lines of one, however many, are sorted
+    on disk and never held together.
     """
     json = lambda columns, kind=None: F.to_json(F.struct(*([F.lit(kind).alias("type")] if kind else []), *columns))
     line = lambda df, key, rank, order, text: df.select(F.col(key).alias("conversation"), F.lit(rank).alias("rank"), order.cast("string").alias("at"), text.alias("value"))
-    fields = lambda df, *drop: [c for c in df.columns if c not in drop]
     lines = line(conversations, "id", 0, F.lit(""), json(conversations.columns))
     lines = lines.unionByName(line(messages, "conversation_id", 1, F.col("timestamp"), json(messages.columns)))
-    lines = lines.unionByName(line(vaults, "conversation_id", 2, F.lit(""), json(fields(vaults, "conversation_id"), "vault")))
-    lines = lines.unionByName(line(detections, "conversation_id", 3, F.col("message_id"), json(fields(detections, "conversation_id"), "detection")))
-    lines.repartition("conversation").sortWithinPartitions("conversation", "rank", "at").select("conversation", "value").write.partitionBy("conversation").text(path)
+    lines = lines.unionByName(line(vaults, "conversation_id", 2, F.lit(""), json(vaults.columns, "vault")))
+    lines = lines.unionByName(line(detections, "conversation_id", 3, F.col("message_id"), json(detections.columns, "detection")))
+    lines.repartition("conversation").sortWithinPartitions("conversation", "rank", "at").select("value").write.text(path)
 
 
 def rotation_counts(conversations: DataFrame, today: Column, days: int = 0) -> DataFrame:

@@ -77,6 +77,25 @@ def test_ndjson_store(spark, tmp_path):
     assert spark.read.schema(got["messages"].schema).parquet(str(tmp_path / "msg")).count() == 0
     assert store.retain(heads, F.lit("2024-01-03").cast("date"), 1).count() == 1
     assert store.retain(heads, F.lit("2024-01-03").cast("date"), 0).count() == 0
+    assert v.conversation_id == "c1" == got["detections"].first().conversation_id
+
+
+def test_a_large_store_file_is_read_in_several_tasks(spark, tmp_path):
+    """One file of two conversations: its lines stay in order over the blocks, and each is read once."""
+    said = lambda c, i: json.dumps({"id": f"{c}-{i}", "conversation_id": c, "direction": "request", "timestamp": "t", "content": f"{i} " + "x" * 300})
+    head = lambda c: json.dumps({"id": c, "started_at": "2024-01-02T00:00:00Z", "provider": "openai"})
+    lines = [head("a"), *(said("a", i) for i in range(2000)), head("b"), *(said("b", i) for i in range(2000)), head("a").replace("openai", "late")]
+    (tmp_path / "all.ndjson").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        got = store.read_ndjson(spark, str(tmp_path))
+        assert got["messages"].rdd.getNumPartitions() > 5
+        rows = got["messages"].orderBy("file", "line_no").select("id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.id for r in rows] == [f"{c}-{i}" for c in "ab" for i in range(2000)]
+    assert sorted((r.id, r.provider) for r in got["conversations"].collect()) == [("a", "openai"), ("b", "openai")]
 
 
 def test_config(tmp_path):

@@ -66,6 +66,7 @@ def test_automaton_takes_linear_time(kind):
 
 
 def test_terms_of_conversations(spark, monkeypatch):
+    monkeypatch.setattr(terms, "SMALL_BYTES", -1)
     monkeypatch.setattr(terms, "TEXTS", 3)  # conversation 1 is dealt over several tasks
     vault = [(1, "ann@x", "zoe@y"), (1, "ann", "zoe"), (1, "bob", "zoe"), (2, "ann", "eve"), (1, "", "q"), (1, None, "q"), (None, "ann", "nil")]
     said = [(1, i, f"ann@x ann bob {i}", "k") for i in range(20)] + [(2, 1, "ann bob", "k"), (3, 1, "ann", "k"), (None, 1, "ann", None), (2, 2, None, "k"), (2, 1, "ann bob", "k")]
