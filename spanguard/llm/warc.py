@@ -282,12 +282,17 @@ def base32(digest_hex: Column) -> Column:
     return F.translate(F.concat(*parts), CONV_DIGITS, BASE32_DIGITS)
 
 
+def _pair(digest: str, number: str) -> Column:
+    return F.concat(F.col(digest), F.lit(" "), F.coalesce(F.col(number).cast("string"), F.lit("")))
+
+
 def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Columns that write_archives() takes, a row for each page.
 
     Of equal payloads of least_bytes or more, the one with the smallest id is the response, the others (null
     ids too, unless all are null) revisit it; rows that repeat the smallest id are all responses. Null html is
-    an empty payload. Payloads that occur once, and revisits' payloads, aren't shuffled.
+    an empty payload. Payloads that occur once aren't shuffled, nor are revisits', but for the few that a filter of the
+    digests and ids of responses doesn't tell from one.
     """
     payload = F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"))
@@ -301,7 +306,10 @@ def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     first = cut(some.groupBy(F.col("payload_digest").alias("__d")).agg(F.min("page_id").alias("__first")))
     none = F.lit(None).cast("long")
     once = maybe.where(~F.col("__maybe")).withColumn("record_type", F.lit("response")).withColumn("refers_to", none)
-    shown = maybe.where("__maybe").join(first, (F.col("payload_digest") == F.col("__d")) & F.col("page_id").eqNullSafe(F.col("__first")), "left_semi")
+    bits = bloom.size_for(first.count())
+    chosen = cut(bloom.build(first.select(_pair("__d", "__first").alias("__pair")), "__pair", bits))
+    paired = maybe.where("__maybe").withColumn("__pair", _pair("payload_digest", "page_id"))
+    shown = bloom.flag(paired, "__pair", chosen, bits, "__shown").where("__shown").join(first, (F.col("payload_digest") == F.col("__d")) & F.col("page_id").eqNullSafe(F.col("__first")), "left_semi")
     shown = shown.withColumn("record_type", F.lit("response")).withColumn("refers_to", none)
     again = some.join(first, (F.col("payload_digest") == F.col("__d")) & ~F.col("page_id").eqNullSafe(F.col("__first")))
     again = again.withColumn("record_type", F.lit("revisit")).withColumn("refers_to", F.col("__first").cast("long")).withColumn("payload", F.lit(None).cast("binary"))
