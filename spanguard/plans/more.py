@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import spans, synth, tokens
 from ..functions.synth import surrogate
-from ..operators import audit, detect, pseudonymize, restore, terms
+from ..operators import audit, detect, intervals, pseudonymize, restore, terms
 from ..session import cut, remove_at_exit, shared_dir, table
 from ..sources import chat, config, splice, sse, store
+from ..streaming import windows
 from . import oracle
 from . import queries as q
+from .fixtures import candidates_sql
 
 #: The formats of surrogates, as regular expressions that both engines know, and how long a value has to be.
 FORMATS = {
@@ -364,6 +366,40 @@ def stream_idle(spark, sf_dir):
     return said.join(parts, ["conv_id", "response_id"], "left").select("conv_id", "response_id", (F.col("restored") == F.col("text")).alias("equal"), F.lit(left).cast("long").alias("n_left"))
 
 
+def stream_windows(spark, sf_dir):
+    """Events in three batches, the last tenth of them late, counted by the hour: windows that the watermark has closed.
+
+    A batch leaves out what is later than the watermark that the batch before it began with."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
+    events = table(spark, sf_dir, "events")
+    for low, high in ((1, 8), (9, 9), (0, 0)):  # a file each, in this order
+        events.where((F.col("event_id") % 10).between(low, high)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    timed = rows.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs times with a zone
+    out = windows.tumbling(timed, ["event_type"], "1 hour", watermark="2 hours").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+    out.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+# ---------------------------------------------------------------- span tables
+def _span_tables(spark, sf_dir):
+    """Made-up spans of long texts, as a table of candidates and one of zones."""
+    rows = q.candidate_rows(spark, sf_dir).select("grp", "i", (F.col("start") * 37).alias("start"), (F.col("stop") * 37).alias("end"), "confidence")
+    return rows.where("confidence < 0.6"), rows.where("confidence >= 0.6")
+
+
+def overlap_pairs(spark, sf_dir):
+    """Pairs of overlapping spans of two tables, counted for each text."""
+    pairs = intervals.overlapping(*_span_tables(spark, sf_dir), "grp")
+    return pairs.groupBy(F.col("left.grp").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("left.end", "right.end") - F.greatest("left.start", "right.start")).cast("long").alias("shared"))
+
+
+def exclusion_join(spark, sf_dir):
+    """Spans of a table that overlap no zone of another."""
+    return intervals.outside(*_span_tables(spark, sf_dir), "grp").select("grp", "i", "start", F.col("end").alias("stop"))
+
+
 # ---------------------------------------------------------------- vault terms in texts
 def replace_originals(spark, sf_dir):
     """All originals of each conversation's vault replaced in all of its messages, by one automaton."""
@@ -408,7 +444,7 @@ QUERIES = {
     for f in (
         synth_distinct, synth_not_found_again, stateless_synth, conv_by_id, file_path, messages_by_conv, fingerprint_lookup, request_counts, conversation_count, rotate_counts,
         evict_counts, ndjson_store, vault_compaction, vault_records, detection_log, position_pairs, vault_stats, naive_mask, midnight, stage_union, ner_spans, size_guard,
-        cascade_models, replacements, stage_one, skip_synthetic, rewrite_bodies, splice_bodies, remind_bodies, tool_blocks, content_length, response_bodies, trailing_events, other_streams, sse_chunks, sse_state, stream_idle, replace_originals, replace_synthetics, vault_places, live_counts, config_levels,
+        cascade_models, replacements, stage_one, skip_synthetic, rewrite_bodies, splice_bodies, remind_bodies, tool_blocks, content_length, response_bodies, trailing_events, other_streams, sse_chunks, sse_state, stream_idle, stream_windows, overlap_pairs, exclusion_join, replace_originals, replace_synthetics, vault_places, live_counts, config_levels,
     )
 }
 
@@ -469,6 +505,13 @@ SELECT conv_id, turn, CASE WHEN k < 2 THEN 'anthropic' WHEN k < 4 THEN 'openai'
  WHEN 3 THEN '{{"messages":[{{"role":"system","content":"' || b || '"}}, {{"role":"user","content":"' || t || '"}}]}}'
  ELSE '{{"contents":["' || t || '"]}}' END) AS sha FROM c, r""",
     "tool_blocks": """SELECT conv_id, turn, sha256('[calc] {"x":' || turn || '}[result] ' || text || '[unknown] {"y":true}[result] ' || role) AS sha FROM conversations""",
+    "stream_windows": (
+        "WITH e AS (SELECT *, date_trunc('hour', ts) + INTERVAL 1 HOUR AS stop, event_id % 10 = 0 AS late FROM events), "
+        "w AS (SELECT max(ts) FILTER (event_id % 10 BETWEEN 1 AND 8) - INTERVAL 2 HOUR AS one, max(ts) - INTERVAL 2 HOUR AS two FROM e) "
+        "SELECT stop - INTERVAL 1 HOUR AS window_start, event_type, count(*) AS n FROM e, w WHERE stop <= two AND (NOT late OR stop > one) GROUP BY ALL"
+    ),
+    "overlap_pairs": f"WITH r AS (SELECT grp, i, start * 37 AS start, stop * 37 AS stop, confidence FROM ({candidates_sql(True)})), a AS (SELECT * FROM r WHERE confidence < 0.6), z AS (SELECT * FROM r WHERE confidence >= 0.6) SELECT a.grp, count(*) AS n, CAST(sum(least(a.stop, z.stop) - greatest(a.start, z.start)) AS BIGINT) AS shared FROM a JOIN z ON a.grp = z.grp AND a.start < z.stop AND z.start < a.stop GROUP BY a.grp",
+    "exclusion_join": f"WITH r AS (SELECT grp, i, start * 37 AS start, stop * 37 AS stop, confidence FROM ({candidates_sql(True)})), a AS (SELECT * FROM r WHERE confidence < 0.6), z AS (SELECT * FROM r WHERE confidence >= 0.6) SELECT grp, i, start, stop FROM a WHERE NOT EXISTS (SELECT 1 FROM z WHERE a.grp = z.grp AND a.start < z.stop AND z.start < a.stop)",
     "sse_state": "SELECT count(*) AS n_streams, 0::BIGINT AS n_left FROM conversations WHERE role = 'assistant'",
     "stream_idle": "SELECT conv_id, turn AS response_id, TRUE AS equal, 0::BIGINT AS n_left FROM conversations",
     "replace_originals": f"WITH {oracle._VAULT}, t AS (SELECT conv_id, list([original, synthetic] ORDER BY original) AS v FROM vault GROUP BY ALL) SELECT m.conv_id, m.turn, sha256(CASE WHEN t.v IS NULL THEN m.text ELSE list_reduce(t.v, lambda acc, x: [replace(acc[1], x[1], x[2])], [m.text])[1] END) AS sha, coalesce(len(list_filter(t.v, lambda x: contains(m.text, x[1]))) > 0, FALSE) AS changed FROM msg m LEFT JOIN t ON t.conv_id = m.conv_id",
