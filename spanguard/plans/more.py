@@ -382,6 +382,41 @@ def stream_windows(spark, sf_dir):
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
+# ---------------------------------------------------------------- model tiers
+def ner_batches(spark, sf_dir):
+    """A model that marks the first word and fails for some texts, one text at a time: its spans, and its faults."""
+
+    def model(texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
+        if any(len(t) % 10 == 0 for t in texts):
+            raise ValueError
+        return [[(0, t.find(" "), "person name", 0.9)] if " " in t[1:] and t[0] != " " else [] for t in texts]
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    found = detect.with_ner(rows, model, batch=1, timeout=60)
+    return found.select("conv_id", "turn", F.get("ner_spans.text", F.lit(0)).alias("word"), F.col("ner_spans_failure").alias("failure"))
+
+
+def slm_prompts(spark, sf_dir):
+    """The question to a model about the spans of each message, and its answer taken out of a Markdown fence."""
+    rows = detect.detect(q.messages(spark, sf_dir)).where(F.size("spans") > 0)
+    answer = detect.without_fence(F.concat(F.lit("  ```json\n["), F.col("turn").cast("string"), F.lit("]\n```\n")))
+    return rows.select("conv_id", "turn", F.sha2(detect.prompt(F.col("text"), F.col("spans")), 256).alias("sha"), answer.alias("answer"))
+
+
+def store_appends(spark, sf_dir):
+    """Messages and detections appended twice: those of unknown conversations are left out, repeated ones stay."""
+    m = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").cast("string").alias("conversation_id"), "role")
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"))
+    folder = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
+    for _ in range(2):
+        store.append_messages(m, known, f"{folder}/messages")
+        store.append_detections(m.select(F.col("id").alias("message_id"), F.col("role").alias("entity_type")), f"{folder}/detections")
+    said = spark.read.parquet(f"{folder}/messages").groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n_messages"))
+    found = spark.read.parquet(f"{folder}/detections").groupBy(F.substring_index("message_id", "-", 1).alias("c")).agg(F.count(F.lit(1)).alias("n_detections"))
+    return found.join(said, F.col("c") == F.col("conversation_id"), "left").select(F.col("c").alias("conv_id"), F.coalesce("n_messages", F.lit(0)).cast("long").alias("n_messages"), "n_detections")
+
+
 # ---------------------------------------------------------------- span tables
 def _span_tables(spark, sf_dir):
     """Made-up spans of long texts, as a table of candidates and one of zones."""
@@ -444,7 +479,7 @@ QUERIES = {
     for f in (
         synth_distinct, synth_not_found_again, stateless_synth, conv_by_id, file_path, messages_by_conv, fingerprint_lookup, request_counts, conversation_count, rotate_counts,
         evict_counts, ndjson_store, vault_compaction, vault_records, detection_log, position_pairs, vault_stats, naive_mask, midnight, stage_union, ner_spans, size_guard,
-        cascade_models, replacements, stage_one, skip_synthetic, rewrite_bodies, splice_bodies, remind_bodies, tool_blocks, content_length, response_bodies, trailing_events, other_streams, sse_chunks, sse_state, stream_idle, stream_windows, overlap_pairs, exclusion_join, replace_originals, replace_synthetics, vault_places, live_counts, config_levels,
+        cascade_models, replacements, stage_one, skip_synthetic, rewrite_bodies, splice_bodies, remind_bodies, tool_blocks, content_length, response_bodies, trailing_events, other_streams, sse_chunks, sse_state, stream_idle, stream_windows, ner_batches, slm_prompts, store_appends, overlap_pairs, exclusion_join, replace_originals, replace_synthetics, vault_places, live_counts, config_levels,
     )
 }
 
@@ -505,6 +540,9 @@ SELECT conv_id, turn, CASE WHEN k < 2 THEN 'anthropic' WHEN k < 4 THEN 'openai'
  WHEN 3 THEN '{{"messages":[{{"role":"system","content":"' || b || '"}}, {{"role":"user","content":"' || t || '"}}]}}'
  ELSE '{{"contents":["' || t || '"]}}' END) AS sha FROM c, r""",
     "tool_blocks": """SELECT conv_id, turn, sha256('[calc] {"x":' || turn || '}[result] ' || text || '[unknown] {"y":true}[result] ' || role) AS sha FROM conversations""",
+    "ner_batches": "SELECT conv_id, turn, CASE WHEN length(text) % 10 > 0 AND instr(text, ' ') > 1 THEN substr(text, 1, instr(text, ' ') - 1) END AS word, CASE WHEN length(coalesce(text, '')) % 10 = 0 THEN 'ValueError' END AS failure FROM conversations",
+    "slm_prompts": f"WITH {oracle._HITS}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY start) - 1 AS i FROM hits), l AS (SELECT conv_id, turn, string_agg(i || ': ' || entity || ' (1.00) ' || hit, chr(10) ORDER BY i) AS lines FROM n GROUP BY ALL) SELECT l.conv_id, l.turn, sha256('Which of the numbered strings in this text are personal data or secrets?' || chr(10) || chr(10) || m.text || chr(10) || chr(10) || lines || chr(10) || chr(10) || 'Answer with their numbers only, as a JSON array such as [1, 3].') AS sha, '[' || l.turn || ']' AS answer FROM l JOIN msg m ON m.conv_id = l.conv_id AND m.turn = l.turn",
+    "store_appends": "SELECT conv_id::VARCHAR AS conv_id, (2 * count(*) FILTER (EXISTS (SELECT 1 FROM customer WHERE c_custkey = conv_id)))::BIGINT AS n_messages, (2 * count(*))::BIGINT AS n_detections FROM conversations GROUP BY conv_id",
     "stream_windows": (
         "WITH e AS (SELECT *, date_trunc('hour', ts) + INTERVAL 1 HOUR AS stop, event_id % 10 = 0 AS late FROM events), "
         "w AS (SELECT max(ts) FILTER (event_id % 10 BETWEEN 1 AND 8) - INTERVAL 2 HOUR AS one, max(ts) - INTERVAL 2 HOUR AS two FROM e) "

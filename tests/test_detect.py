@@ -152,4 +152,6 @@ def test_ner_model_in_batches(spark):
     got = {r.i: [s.text for s in r.ner_spans] for r in detect.with_ner(df, model, timeout=20).collect()}
     assert len(got) == 21 and got[20] == [] and got[3] == [] and got[10] == ["Ann"] and sum(not v for v in got.values()) == 9
     slow = lambda texts: __import__("time").sleep(5) or [[] for _ in texts]
-    assert all(r.ner_spans == [] for r in detect.with_ner(df.limit(2), slow, timeout=0.1).collect())
+    assert all(r.ner_spans == [] and r.ner_spans_failure == "TimeoutError" for r in detect.with_ner(df.limit(2), slow, timeout=0.1).collect())
+    faults = {r.i: r.ner_spans_failure for r in detect.with_ner(df, model, timeout=20).collect()}
+    assert sum(f == "ValueError" for f in faults.values()) == 8 and faults[3] == "ValueError" and faults[10] is None
