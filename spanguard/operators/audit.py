@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans
 from . import terms
+from .running import running
 
 
 def turns(messages: DataFrame, order: str = "turn", conversation: str = "conv_id") -> DataFrame:
     """messages with turn_no from 0: a user's message begins a turn, system ones and those before any are left out."""
-    by = Window.partitionBy(conversation).orderBy(order)
-    n = F.sum((F.col("role") == "user").cast("int")).over(by)
-    out = messages.where(F.col("role") != "system").withColumn("__n", n).where(F.col("__n") > 0)
+    said = running(messages.where(F.col("role") != "system"), conversation, order, {"__n": F.col("role") == "user"})
+    out = said.where(F.col("__n") > 0)
     return out.withColumn("turn_no", (F.col("__n") - 1).cast("long")).withColumn("turn_label", F.concat(F.lit("T"), F.col("__n").cast("string"))).drop("__n")
 
 
@@ -39,9 +39,9 @@ def detection_log(found: DataFrame, keys: list[str]) -> DataFrame:
 
 def by_position(original: DataFrame, masked: DataFrame, order: str = "turn", conversation: str = "conv_id") -> DataFrame:
     """(conversation, position, content, content_masked): the n-th message and the n-th masked one of a conversation."""
-    at = (F.row_number().over(Window.partitionBy(conversation).orderBy(order)) - 1).alias("position")
-    left = original.select(conversation, at, F.col("text").alias("content"))
-    right = masked.select(F.col(conversation).alias("__c"), at.alias("__p"), F.col("text").alias("content_masked"))
+    numbered = lambda df: running(df.select(conversation, order, "text"), conversation, order, {"__n": F.lit(1)})
+    left = numbered(original).select(conversation, (F.col("__n") - 1).alias("position"), F.col("text").alias("content"))
+    right = numbered(masked).select(F.col(conversation).alias("__c"), (F.col("__n") - 1).alias("__p"), F.col("text").alias("content_masked"))
     return left.join(right, (F.col(conversation) == F.col("__c")) & (F.col("position") == F.col("__p")), "left").drop("__c", "__p")
 
 

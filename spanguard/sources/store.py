@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.running import running
+
 CONVERSATION = "id string, started_at string, provider string, model string, client_hint string"
 MESSAGE = "id string, conversation_id string, direction string, timestamp string, role string, content string, tokens_in bigint, tokens_out bigint, content_masked string, pii_processed boolean"
 MAPPING = "original string, synthetic string, pii_type string, tier int, confidence float, token_id string, display_value string"
@@ -156,6 +158,6 @@ def export(conversations: DataFrame, messages: DataFrame) -> DataFrame:
 def new_messages(requests: DataFrame, stored: DataFrame, order: str = "turn", conversation: str = "conv_id") -> DataFrame:
     """Messages of a resent history beyond those that are stored already, by their number."""
     have = stored.select(F.col(conversation).alias("__c"), F.col("n_stored"))
-    numbered = requests.withColumn("__n", F.row_number().over(Window.partitionBy(conversation).orderBy(order)) - 1)
+    numbered = running(requests, conversation, order, {"__n": F.lit(1)})
     out = numbered.join(have, F.col(conversation) == F.col("__c"), "left")
-    return out.where(F.col("__n") >= F.coalesce("n_stored", F.lit(0))).drop("__n", "__c", "n_stored")
+    return out.where(F.col("__n") > F.coalesce("n_stored", F.lit(0))).drop("__n", "__c", "n_stored")
