@@ -32,6 +32,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group whose five-word shingles are similar by 0.8 or more.
 
+    Pairs are found by their SimHash fingerprints and the generalised pigeonhole principle, those whose fingerprints
+    are too far apart by MinHash bands; all are verified on the whole shingle sets.
     Texts without words (null and empty too) all stay; rows that repeat id and text stay or go together. All
     columns stay, whatever their names; an empty table gives no rows.
     """

@@ -6,8 +6,10 @@ some partition i. Dynamic programming allocates the thresholds, and the number o
 that probes plus estimated candidates cost least; the estimates come from histograms over all fingerprints.
 Fingerprints are then dealt by their probe keys and verified.
 
-The pipeline's stage links by Jaccard similarity instead, which SimHash distances don't bound: its candidates
-come from MinHash bands, are joined to clusters, and each cluster is compared on the whole shingle sets.
+The pipeline's stage links by Jaccard similarity. Its candidates are the fingerprints of shingle sets within
+STAGE_TAU bits, found in the same way; pairs of the similarity that lie further apart, which fingerprints can't
+tell, come from MinHash bands. Candidates are joined to clusters, and each cluster is compared on the whole
+shingle sets.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ KEY_NS, PAIR_NS = 1500.0, 2.0
 BLOCK = 8192
 SEGMENT_BITS = 8
 MOST_PARTITIONS = 10
+#: Bits in which the fingerprints of the pipeline's stage may differ.
+STAGE_TAU = 8
 #: Minima in a band, and the share of pairs at the least similarity that no band may find.
 BAND_ROWS, MISS = 5, 1e-4
 #: Texts of a cluster that are compared at once (two such blocks at most), shingles that a step counts, and
@@ -58,10 +62,14 @@ def shingles(words: list[bytes], k: int) -> list[bytes]:
 
 def fingerprint(features: list[bytes], seed: int = 42) -> int:
     """64-bit SimHash as a signed integer: a bit is 1 if over half of the features' XXH64 have it."""
-    if not features:
-        return 0
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(x, seed) for x in features], dtype=np.uint64)
+    return majority(np.array([digest(x, seed) for x in features], dtype=np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 without hashes."""
+    if not h.size:
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for s in range(0, h.size, 4096):  # bounds the unpacked bits of a long text
         part = h[s : s + 4096]
@@ -455,19 +463,22 @@ def _grams(text: bytes | None, shingle: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, shingle: int, sketch: Sketch) -> DataFrame:
-    """(id, d1, d2, node, check, keys, sketch) of texts that have words; node and check are hashes of the words."""
-    schema = T.StructType([*(docs.schema[c] for c in ("id", "d1", "d2")), T.StructField("node", T.LongType()), T.StructField("check", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+    """(id, d1, d2, node, check, fp, keys, sketch) of texts that have words; node and check are hashes of the words,
+    fp is the SimHash of the set of shingles."""
+    schema = T.StructType([*(docs.schema[c] for c in ("id", "d1", "d2")), T.StructField("node", T.LongType()), T.StructField("check", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, 256):
             texts = [x.as_py() for x in as_column(batch, "text")]
-            low = np.array([sketch.minima(_grams(x, shingle)) for x in texts])
+            grams = [_grams(x, shingle) for x in texts]
+            fps = pa.array(np.array([majority(g) for g in grams], dtype=np.int64))
+            low = np.array([sketch.minima(g) for g in grams])
             joined = [b" ".join(_words(x)) for x in texts]
             hashes = [pa.array(np.array([xxhash.xxh64_intdigest(x, seed) for x in joined], dtype=np.uint64).view(np.int64)) for seed in (1, 2)]
             keys = sketch.keys(low).view(np.int64)
             each = pa.ListArray.from_arrays(np.arange(len(low) + 1, dtype=np.int32) * sketch.bands, keys.ravel())
             sketches = pa.array([x.tobytes() for x in low.astype(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(as_column(batch, c) for c in ("id", "d1", "d2")), *hashes, each, sketches], schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*(as_column(batch, c) for c in ("id", "d1", "d2")), *hashes, fps, each, sketches], schema.fieldNames())
 
     return map_arrow(docs.select("id", "d1", "d2", F.col("text").cast("binary").alias("text")), run, schema)
 
@@ -523,6 +534,15 @@ def _stars(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
+def simhash_links(nodes: DataFrame, tau: int) -> DataFrame:
+    """Edges (u, v) that connect all nodes (node, fp) whose fingerprints differ in tau bits or fewer."""
+    groups = cut(nodes.groupBy("fp").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")))
+    first = groups.select("fp", F.col("low").alias("node"))
+    many = groups.where("n > 1").select(F.col("fp").alias("f"), "low")
+    same = nodes.join(many, F.col("fp") == F.col("f")).where("node != low").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    return hamming_links(first, make_plan(first, tau), tau).unionByName(same)
+
+
 def sketch_links(nodes: DataFrame, sketch: Sketch) -> DataFrame:
     """Edges (u, v) that connect all nodes (node, keys, sketch) that share a key and have sketches alike."""
     shared = cut(_shared(nodes.select(F.explode("keys").alias("key"), "node")))
@@ -609,13 +629,14 @@ def _apart_nodes(rows: DataFrame) -> DataFrame:
     return cut(rows.join(own, "node", "left").withColumn("node", other).select(rows.columns))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tau: int = STAGE_TAU) -> DataFrame:
     """docs with one row left of each group of near-duplicates, the one with the smallest id (null ids last).
 
     Two texts are linked if their sets of `shingle`-word shingles (lower-cased, fewer words: the whole
     sequence) have a Jaccard similarity of `similarity` or more; groups are connected components. Candidates
-    come from MinHash bands over the same shingles, which miss such a pair with a probability of about MISS
-    whatever the edits; every link is verified on the whole sets. Texts of the same words are one node from the
+    are all pairs whose SimHash fingerprints of these sets differ in `tau` bits or fewer. For the pairs of the
+    similarity that lie further apart there are MinHash bands over the same shingles, which miss a pair with a
+    probability of about MISS whatever the edits. Every link is verified on the whole sets. Texts of the same words are one node from the
     start. Texts without words, null and empty ones too, are left alone. Rows that repeat both id and text count
     as one document: they stay or go together. All columns are kept, whatever their names; an empty table gives
     no rows.
@@ -626,7 +647,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     slim = docs.select(*known, text.alias("text"))
     spoken = slim.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     rows = _apart_nodes(cut(_sketches(spoken, shingle, sketch)))
-    clusters = connected(sketch_links(rows.select("node", "keys", "sketch").dropDuplicates(["node"]), sketch))
+    nodes = rows.select("node", "fp", "keys", "sketch").dropDuplicates(["node"])
+    found = simhash_links(nodes.select("node", "fp"), tau).unionByName(sketch_links(nodes.select("node", "keys", "sketch"), sketch))
+    clusters = connected(found)
     contents = rows.groupBy("node").agg(F.min(F.struct("d1", "d2")).alias("t")).select("node", "t.d1", "t.d2")
     comp = connected(_verified(clusters, contents, spoken, shingle, similarity))
     # The groups of two documents or more, the document of each that stays, and the others.

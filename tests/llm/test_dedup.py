@@ -190,6 +190,32 @@ def test_drop_near_duplicates_of_texts_edited_in_one_run(spark, kind):
     assert kept == {i for i, _ in rows} - copies
 
 
+def test_near_stage_links_all_fingerprints_within_its_distance(spark):
+    rnd = random.Random(12)
+    fps = [rnd.getrandbits(64) for _ in range(60)]
+    fps += [x ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 10))) for x in fps for _ in range(2)]
+    root = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    nodes = spark.createDataFrame([(i, signed(x)) for i, x in enumerate(fps)], "node long, fp long")
+    got = {r.u: r.root for r in connected(simhash.simhash_links(nodes, 8)).collect()}
+    assert got == {i: r for i, r in enumerate(root) if i != r} and 60 < len(set(root)) < 180 and len(set(fps)) < 180
+
+
+def test_drop_near_duplicates_by_fingerprints(spark, monkeypatch):
+    """What fingerprints find is found without the bands."""
+    monkeypatch.setattr(simhash, "sketch_links", lambda nodes, sketch: spark.createDataFrame([], "u long, v long"))
+    rnd = random.Random(13)
+    base = [f"w{rnd.randrange(3000)}" for _ in range(400)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "other"])), (3, " ".join(rnd.sample(base, 400)))]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_sketch_finds_pairs_at_the_least_similarity():
     sketch, rng = simhash.Sketch.make(0.8), np.random.default_rng(4)
     for _ in range(2000):
