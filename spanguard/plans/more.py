@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from ..functions import spans, synth, tokens
 from ..functions.synth import surrogate
 from ..operators import audit, detect, intervals, pseudonymize, restore, terms
-from ..session import cut, remove_at_exit, shared_dir, table
+from ..session import cut, dealt, remove_at_exit, shared_dir, table, tasks
 from ..sources import chat, config, splice, sse, store
 from ..streaming import windows
 from . import oracle
 from . import queries as q
 from .fixtures import candidates_sql
 
+#: Rows of a task that makes or counts surrogates.
+SURROGATES = 1 << 18
+
 #: The formats of surrogates, as regular expressions that both engines know, and how long a value has to be.
 FORMATS = {
     "EMAIL": r"^[a-z]+[.][a-z]+[0-9]+@example[.]com$",
@@ -42,14 +45,22 @@ FORMATS = {
 
 # ---------------------------------------------------------------- surrogates
 def synth_distinct(spark, sf_dir):
-    """Surrogates of every kind for one conversation of all customers: as many different ones as values, all well formed."""
+    """Surrogates of every kind for one conversation of all customers: as many different ones as values, all well formed.
+
+    Each surrogate is counted in the task that it is dealt to, so a task holds about SURROGATES of them.
+    """
     kinds = F.explode(F.array(*[F.lit(k) for k in FORMATS]))
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("n"), kinds.alias("entity"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("n"))
+    n = tasks(customers, SURROGATES // len(FORMATS))
+    rows = customers.repartition(n).select("n", kinds.alias("entity"))
     original = F.when(F.col("entity") == "DATE_OF_BIRTH", F.date_add(F.lit("1940-01-01").cast("date"), F.col("n").cast("int")).cast("string")).when(F.col("entity") == "PHONE", F.concat(F.when(F.col("n") % 2 == 0, "+44 ").otherwise(""), F.lit("415-555-0000"))).otherwise(F.lit("abc"))
     made = rows.withColumn("original", original).withColumn("s", surrogate("'one'", "n", "entity", "original"))
     form = F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])
     good = F.expr("s RLIKE f")
-    return made.withColumn("f", form[F.col("entity")]).groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s").alias("n_distinct"), F.count_if(good).alias("n_formed"))
+    # Formed is a matter of kind and surrogate, so of those that are equal one test holds for all.
+    each = made.select("entity", "s").repartition(n, "entity", "s").groupBy("entity", "s").agg(F.count(F.lit(1)).alias("k"))
+    formed = F.sum(F.when(good, F.col("k")).otherwise(0)).alias("n_formed")
+    return each.withColumn("f", form[F.col("entity")]).groupBy("entity").agg(F.sum("k").alias("n"), F.count(F.col("s")).alias("n_distinct"), formed)
 
 
 def synth_not_found_again(spark, sf_dir):

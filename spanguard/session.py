@@ -63,3 +63,17 @@ def spread(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(df) if name in TEXTS else df
+
+
+def dealt(df: DataFrame, per_task: int) -> DataFrame:
+    """df, dealt evenly over tasks of about `per_task` rows, and over all cores at least.
+
+    For few or narrow columns whose rows take much work or become many: Spark cuts files by their bytes, so such a
+    table is one task, or a few, however many rows it has.
+    """
+    return df.repartition(tasks(df, per_task))
+
+
+def tasks(df: DataFrame, per_task: int) -> int:
+    """How many tasks of `per_task` rows df makes, at least one for each core."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // per_task))

@@ -47,3 +47,12 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_surrogates_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(more, "SURROGATES", 10 * len(more.FORMATS))
+    customers = spark.read.parquet(f"{SF}/customer.parquet").count()
+    out = more.synth_distinct(spark, SF)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert f"{-(-customers // 10)}), REPARTITION_BY_NUM" in plan and customers > 40
+    assert {(r.n, r.n_distinct, r.n_formed) for r in out.collect()} == {(customers, customers, customers)}
