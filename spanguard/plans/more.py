@@ -219,7 +219,7 @@ def stage_one(spark, sf_dir):
     n = F.col("c_custkey").cast("int")
     r = lambda a, b, shown: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(shown).alias("display_value"), F.lit("NAME").alias("pii_type"))
     made = pseudonymize.stage_one(F.lit("dear Ann and Bob"), F.array(r(13, 16, "Y"), r(5, 8, "X")), F.col("c_custkey").cast("string"), n)
-    out = table(spark, sf_dir, "customer").select("c_custkey", made.alias("m"))
+    out = table(spark, sf_dir, "customer").select("c_custkey", spans.once(made).alias("m"))
     second = spans.outside(spans.find_literals(F.col("m.text"), F.array(F.lit("X"), F.lit("and")), F.lit("L")), F.col("m.zones"))
     return out.select("c_custkey", "m.text", F.col("m.entries")[1]["original"].alias("second_original"), F.array_join(F.transform("m.zones", lambda z: F.concat_ws("-", z["start"].cast("string"), z["end"].cast("string"))), ",").alias("zones"), F.size(second).cast("long").alias("n_left"))
 

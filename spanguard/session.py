@@ -49,6 +49,9 @@ def remove_at_exit(spark: SparkSession, folder: str) -> None:
 
 #: Tables whose rows hold whole texts, which take far more time to search than to send.
 TEXTS = ("documents", "pages", "conversations")
+#: Tables of narrow rows from each of which texts are made and searched, and how many of them a task takes.
+MADE = ("customer",)
+ROWS = 1 << 17
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXTS else df
+    return spread(df) if name in TEXTS else dealt(df, ROWS) if name in MADE else df
 
 
 def dealt(df: DataFrame, per_task: int) -> DataFrame:

@@ -56,3 +56,12 @@ def test_surrogates_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert f"{-(-customers // 10)}), REPARTITION_BY_NUM" in plan and customers > 40
     assert {(r.n, r.n_distinct, r.n_formed) for r in out.collect()} == {(customers, customers, customers)}
+
+
+def test_customers_are_dealt_over_all_cores(spark, monkeypatch):
+    from spanguard import session
+
+    assert spark.read.parquet(f"{SF}/customer.parquet").rdd.getNumPartitions() == 1
+    assert session.table(spark, SF, "customer").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "ROWS", 10)
+    assert session.table(spark, SF, "customer").rdd.getNumPartitions() == -(-session.table(spark, SF, "customer").count() // 10)
