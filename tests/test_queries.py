@@ -65,3 +65,14 @@ def test_customers_are_dealt_over_all_cores(spark, monkeypatch):
     assert session.table(spark, SF, "customer").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr(session, "ROWS", 10)
     assert session.table(spark, SF, "customer").rdd.getNumPartitions() == -(-session.table(spark, SF, "customer").count() // 10)
+
+
+def test_surrogates_are_searched_in_tasks_of_bounded_size(spark, monkeypatch):
+    from spanguard import session
+
+    monkeypatch.setattr(session, "ROWS", 10, raising=False)
+    customers = spark.read.parquet(f"{SF}/customer.parquet").count()
+    out = more.synth_not_found_again(spark, SF)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert f"({-(-customers // 10)}), REPARTITION_BY_NUM" in plan and customers > 40
+    assert {r.entity: r.n_again for r in out.collect()} == {"PHONE": 0, "IP_V6": 0, "CREDIT_CARD": customers}
